@@ -4,15 +4,20 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import seagrid
+
 #: The white space that separates words in every contract of this subpackage.
 SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
 _own_dir: str | None = None
+_shipped: str | None = None
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,8 +86,22 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     )
 
 
-def bounded_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Rows with whole texts go to Python in small batches, so that long texts don't add up in a worker's memory."""
+def ready_workers(spark: SparkSession, rows: int = 512) -> None:
+    """Prepare for functions that run in Python workers.
+
+    The package goes to the workers, once for a Spark context, as they may not have it on their path.
+    Rows with whole texts go over in small batches, so that long texts don't add up in a worker's memory.
+    """
+    global _shipped
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > rows:
         spark.conf.set(key, str(rows))
+    context = spark.sparkContext
+    if _shipped != context.applicationId:
+        package = Path(seagrid.__file__).parent
+        archive = Path(tempfile.mkdtemp(prefix="seagrid-")) / "seagrid.zip"
+        with zipfile.ZipFile(archive, "w") as z:
+            for file in sorted(package.rglob("*.py")):
+                z.write(file, file.relative_to(package.parent))
+        context.addPyFile(str(archive))
+        _shipped = context.applicationId

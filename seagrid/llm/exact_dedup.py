@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seagrid.llm.common import SPACES, materialise
+from seagrid.llm.common import SPACES, materialise, ready_workers
 
 COUNTERS = 1024
 
@@ -48,6 +48,7 @@ def summary(digests: DataFrame, counters: int = COUNTERS) -> DataFrame:
             held = _trim(held.add(batch["digest"].value_counts(), fill_value=0), counters)
         yield pd.DataFrame({"digest": held.index.astype(str), "n": held.to_numpy().astype("int64")})
 
+    ready_workers(digests.sparkSession)
     parts = digests.select("digest").mapInPandas(one_part, "digest string, n long")
     return parts.groupBy("digest").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "digest").limit(counters)
 

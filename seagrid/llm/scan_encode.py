@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seagrid.llm.common import bounded_batches, materialise
+from seagrid.llm.common import ready_workers, materialise
 from seagrid.llm.pieces import MARK, Pieces, load
 
 CHUNK = 1 << 15
@@ -251,7 +251,7 @@ def encode(docs: DataFrame, model: str, chunk_chars: int = CHUNK, id_col: str =
             yield batch[["uid", "chunk", "doc_id", "no_id", "text_hash", "ids"]]
 
     spark = docs.sparkSession
-    bounded_batches(spark)
+    ready_workers(spark)
     text = F.coalesce(F.col(text_col), F.lit(""))
     slim = docs.select(F.coalesce(F.col(id_col), F.lit(0)).cast("long").alias("doc_id"), F.col(id_col).isNull().alias("no_id"), text.alias("text"), F.xxhash64(F.translate(text, MARK, " ")).alias("text_hash"))
     short = slim.where(F.length("text") < chunk_chars).mapInPandas(alone, "doc_id long, no_id boolean, text_hash long, ids array<int>").withColumn("n_chunks", F.lit(1))

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seagrid.llm.common import bounded_batches, connected_components, materialise
+from seagrid.llm.common import ready_workers, connected_components, materialise
 
 SEED = 42
 SHINGLE = 3
@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def of(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64))
 
-    bounded_batches(docs.sparkSession)
+    ready_workers(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(F.col(id_col).alias("doc_id"), of(text).alias("fp"), F.xxhash64(text).alias("text_hash"))
 
@@ -149,6 +149,7 @@ def links(nodes: DataFrame, distance: int = DISTANCE, parts: int = PARTS, most:
     """Pairs (a, b) of distinct fingerprints `fp` that connect all those within `distance` (at most 2) bits."""
     if distance > 2:
         raise ValueError("dense neighbourhoods are linked over one value between, which needs a distance of 2 or less")
+    ready_workers(nodes.sparkSession)
     groups = correlated_parts(nodes, parts)
 
     def bins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seagrid.llm.common import bounded_batches
+from seagrid.llm.common import ready_workers
 from seagrid.llm.pieces import Pieces, load
 
 LIMIT = 4096
@@ -88,7 +88,7 @@ def prefix_counts(docs: DataFrame, model: str, limit: int = LIMIT, id_col: str =
             batch["n_tokens"], batch["fit_chars"], batch["steps"] = totals, fits, kept
             yield batch[["doc_id", "no_id", "n_bytes", "n_tokens", "fit_chars", "steps"]]
 
-    bounded_batches(docs.sparkSession)
+    ready_workers(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     slim = docs.select(
         F.coalesce(F.col(id_col), F.lit(0)).cast("long").alias("doc_id"), F.col(id_col).isNull().alias("no_id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text")

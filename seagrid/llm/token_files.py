@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seagrid.llm.common import bounded_batches, new_path
+from seagrid.llm.common import ready_workers, new_path
 
 BLOCK_IDS = 1 << 19
 CACHED_UNITS = 600_000
@@ -252,7 +252,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
         if parts:
             yield flush()
 
-    bounded_batches(docs.sparkSession)
+    ready_workers(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     slim = docs.select(F.coalesce(F.col(id_col), F.lit(0)).cast("long").alias("doc_id"), F.col(id_col).isNull().alias("no_id"), text.alias("text"))
     ordered = slim.repartitionByRange(F.desc("no_id"), "doc_id").sortWithinPartitions(F.desc("no_id"), "doc_id", F.xxhash64("text"))
