@@ -82,6 +82,16 @@ def lon_covers() -> Column:
     return (lon_offset() <= F.col("lon_span")) & (lon_offset() % F.col("lon_stride") == 0)
 
 
+def box_predicate(lat_lo: int, lat_hi: int, lon_w: int, lon_span: int, n_lon: int, lat_stride: int = 1, lon_stride: int = 1) -> Column:
+    """One snapped box as a filter on a scan; plain ranges stand beside the circular test so that file statistics prune."""
+    e = (lon_w + lon_span) % n_lon
+    lon = F.col("lon_idx")
+    plain = lon.between(lon_w, e) if lon_w + lon_span < n_lon else (lon >= lon_w) | (lon <= e)
+    off = F.pmod(lon - lon_w, F.lit(n_lon))
+    lat = F.col("lat_idx").between(lat_lo, lat_hi) & ((F.col("lat_idx") - lat_lo) % lat_stride == 0)
+    return lat & plain & (off <= lon_span) & (off % lon_stride == 0)
+
+
 def horizon_prune(forecast: DataFrame, max_hour: int) -> DataFrame:
     return forecast.where(F.col("lead_hours") <= max_hour)
 

@@ -71,6 +71,19 @@ def test_interpolation_is_the_mean_at_centres_and_exact_on_nodes(spark):
     assert {r["request_id"]: r["x"] for r in around.collect()}[1] == pytest.approx(0.0, abs=1e-9)
 
 
+def test_one_box_is_pushed_to_the_scan(spark):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    at = tempfile.mkdtemp(prefix="spark-")
+    derived.forecast(spark, SF).write.parquet(f"{at}/cube")
+    cube = spark.read.parquet(f"{at}/cube")
+    for w, span in ((3, 5), (17, 6)):
+        got = cube.where(subset.box_predicate(2, 8, w, span, 20, 2, 2))
+        inside = {(w + o) % 20 for o in range(0, span + 1, 2)}
+        assert got.count() == cube.where(F.col("lat_idx").isin(2, 4, 6, 8) & F.col("lon_idx").isin(*inside)).count() > 0
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "GreaterThanOrEqual(lat_idx,2)" in plan and f"GreaterThanOrEqual(lon_idx,{w})" in plan
+
+
 def test_tiles_meet_the_same_cells(spark):
     forecast, wanted = queries._snapped(spark, SF)
     a = subset.gridded_subset(wanted, forecast)
