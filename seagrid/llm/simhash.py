@@ -146,9 +146,9 @@ def allocate(costs: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def links(nodes: DataFrame, distance: int = DISTANCE, parts: int = PARTS, most: int = MOST) -> DataFrame:
-    """Pairs (a, b) of distinct fingerprints `fp` that connect all those within `distance` (at most 2) bits."""
-    if distance > 2:
-        raise ValueError("dense neighbourhoods are linked over one value between, which needs a distance of 2 or less")
+    """Pairs (a, b) of distinct fingerprints `fp` that connect all those within `distance` bits, which is 2."""
+    if distance != 2:
+        raise ValueError("dense neighbourhoods are linked over one value between, which fits a distance of 2 only")
     ready_workers(nodes.sparkSession)
     groups = correlated_parts(nodes, parts)
 
@@ -201,8 +201,6 @@ def links(nodes: DataFrame, distance: int = DISTANCE, parts: int = PARTS, most:
     met = probes.where("part >= 0").join(indexed, ["part", "value"]).where("fp <> x")
     close = met.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("x"))) <= distance)
     verified = close.select(F.least("fp", "x").alias("a"), F.greatest("fp", "x").alias("b")).distinct()
-    if distance == 1:  # only the value itself and its neighbours
-        raise ValueError("a distance of 2 is supported")
     filed = probes.where("part = -1").select("value", "fp")
     least = filed.groupBy("value").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
     stars = filed.join(least, "value").select("a", F.col("fp").alias("b")).where("a <> b").distinct()
