@@ -37,10 +37,11 @@ from pyspark.sql import functions as F
 from seagrid.llm.common import ready_workers, new_path
 
 BLOCK_IDS = 1 << 19
-CACHED_UNITS = 600_000
+CACHED_UNITS = 1_200_000
 _HEAD = struct.Struct("<4sHHIIQII")
 _SAMPLE = 64
-_EDGE = re.compile(r" \s|\s ")
+_SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_OTHER_SPACE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 class EliasFano:
@@ -124,10 +125,11 @@ class Block:
 
 
 class UnitEncoder:
-    """Encodes with the tokenizers library, remembering the ids of units between lone spaces.
+    """Encodes with the tokenizers library, remembering the ids of the units of texts.
 
-    A byte-level pre-tokenizer starts a new piece at a space between two characters that are not
-    white space, so the units of a text that such spaces begin are encoded alike alone and together.
+    A byte-level pre-tokenizer starts a new piece at a space between two characters that are not white
+    space, makes a lone line feed between two such characters a piece of its own, and parts a word of
+    Latin letters from the signs behind it. So these units are encoded alike alone and together.
     The memory is bounded: it is emptied when it holds CACHED_UNITS units.
     """
 
@@ -140,62 +142,100 @@ class UnitEncoder:
         vocab = self.tokenizer.get_vocab()
         self.leads = np.zeros(max(vocab.values()) + 1, bool)  # pieces that begin with a space
         self.leads[[i for piece, i in vocab.items() if piece.startswith("\u0120")]] = True
-        self.signs = {c: np.array([vocab[c]], f"<u{self.width}").tobytes() for c in ".,;:!?" if c in vocab}
-        self.known: dict[str, bytes] = {}
-        self.heads: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # after a space
+        self.bare: dict[str, bytes] = {}  # at the start of a text or line
+        self.feed = self._ids(["\n"])[0]
 
-    @staticmethod
-    def units(text: str) -> tuple[str, list[str]]:
-        """The start of the text up to the first cut, and the rest, each without its leading space."""
-        head, *rest = text.split(" ")
-        if text[:1].isspace() or text[-1:].isspace() or _EDGE.search(text):
-            whole = [head]
-            for piece in rest:
-                if whole[-1] and not whole[-1][-1].isspace() and piece and not piece[0].isspace():
-                    whole.append(piece)
-                else:
-                    whole[-1] += " " + piece
-            head, *rest = whole
-        return head, rest
-
-    def _learn(self, into: dict[str, bytes], missing: list[str], lead: str) -> None:
+    def _ids(self, texts: list[str]) -> list[bytes]:
         kind = f"<u{self.width}"
-        for unit, got in zip(missing, self.tokenizer.encode_batch([lead + u for u in missing], add_special_tokens=False), strict=True):
-            into[unit] = np.array(got.ids, kind).tobytes()
+        return [np.array(x.ids, kind).tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def _learn(self, missing: set[str]) -> None:
+        """Remember units that follow a space."""
+        known, bare = self.known, self.bare
+        parted: dict[str, str] = {}
+        plain, odd = set(), []
+        for u in missing:
+            stem = u.rstrip(_SIGNS)
+            if stem.isalpha() and max(stem) < "\u0250":
+                if len(stem) < len(u):
+                    parted[u] = stem
+                if stem not in known:
+                    plain.add(stem)
+            else:
+                odd.append(u)
+        self._learn_plain(list(plain))
+        known.update(zip(odd, self._ids([" " + u for u in odd]), strict=True))
+        tails = [t for t in {u[len(stem) :] for u, stem in parted.items()} if t not in bare]
+        bare.update(zip(tails, self._ids(tails), strict=True))
+        for u, stem in parted.items():
+            known[u] = known[stem] + bare[u[len(stem) :]]
 
     def _learn_plain(self, missing: list[str]) -> None:
-        """Many units in one call: without white space inside, each unit's ids begin at a piece with a space."""
+        """Many words in one call: the ids of each begin at a piece with a space."""
         kind = f"<u{self.width}"
         for i in range(0, len(missing), 1000):
             some = missing[i : i + 1000]
             ids = np.array(self.tokenizer.encode(" " + " ".join(some), add_special_tokens=False).ids, kind)
             starts = np.flatnonzero(self.leads[ids])
             if len(starts) != len(some):
-                self._learn(self.known, some, " ")
+                self.known.update(zip(some, self._ids([" " + u for u in some]), strict=True))
                 continue
             raw, at = ids.tobytes(), [*(starts * self.width).tolist(), len(ids) * self.width]
             self.known.update(zip(some, map(raw.__getitem__, map(slice, at[:-1], at[1:])), strict=True))
 
+    @staticmethod
+    def _lines(text: str) -> list[list[str]]:
+        """Lines of units: the first of a line follows nothing, each other follows a space."""
+        if text[:1].isspace() or text[-1:].isspace() or "  " in text or " \n" in text or "\n " in text or "\n\n" in text or _OTHER_SPACE.search(text):
+            return [UnitEncoder._safe_units(text)]
+        return [line.split(" ") for line in text.split("\n")]
+
+    @staticmethod
+    def _safe_units(text: str) -> list[str]:
+        """Cut at spaces between two characters that are surely no white space only."""
+        head, *rest = text.split(" ")
+        out = [head]
+        for piece in rest:
+            if out[-1] and not out[-1][-1].isspace() and piece and not piece[0].isspace():
+                out.append(piece)
+            else:
+                out[-1] += " " + piece
+        return out
+
     def encode(self, texts: list[str], end: bytes = b"") -> list[bytes]:
-        split = [self.units(t) for t in texts]
-        if len(self.known) > CACHED_UNITS:
-            self.known.clear()
-        if len(self.heads) > CACHED_UNITS // 8:
-            self.heads.clear()
-        new: set[str] = set()
-        for _, rest in split:
-            new.update(rest)
-        missing = [u for u in new if u not in self.known]
-        # A sign after a Latin word is a piece of its own, so only the word has to be learned.
-        stems = {u: u[:-1] for u in missing if u[-1:] in self.signs and u[:-1].isalpha() and max(u) < "\u0250"}
-        plain = {u for u in missing if u.isalpha()}
-        self._learn_plain([u for u in plain.union(stems.values()) if u not in self.known])
-        self._learn(self.known, [u for u in missing if u not in plain and u not in stems], " ")
-        for unit, stem in stems.items():
-            self.known[unit] = self.known[stem] + self.signs[unit[-1]]
-        self._learn(self.heads, [h for h in {h for h, _ in split} if h not in self.heads], "")
-        known, heads = self.known.__getitem__, self.heads
-        return [b"".join([heads[head], *map(known, rest), end]) for head, rest in split]
+        known, bare = self.known, self.bare
+        if len(known) > CACHED_UNITS:
+            known.clear()
+        if len(bare) > CACHED_UNITS // 8:
+            bare.clear()
+        split = [self._lines(t) for t in texts]
+        heads = {line[0] for lines in split for line in lines}.difference(bare)
+        bare.update(zip(heads, self._ids(list(heads)), strict=True))
+        found, missing = [], set()
+        for lines in split:
+            for line in lines:
+                got = list(map(known.get, line))
+                got[0] = bare[line[0]]
+                if None in got:
+                    missing.update(u for u, x in zip(line, got, strict=True) if x is None)
+                found.append(got)
+        if missing:
+            self._learn(missing)
+        out, at = [], 0
+        for lines in split:
+            parts = []
+            for line in lines:
+                got = found[at]
+                at += 1
+                if None in got:
+                    got = [known[u] if x is None else x for u, x in zip(line, got, strict=True)]
+                if parts:
+                    parts.append(self.feed)
+                parts += got
+            parts.append(end)
+            out.append(b"".join(parts))
+        return out
 
 
 _encoders: dict[str, UnitEncoder] = {}
