@@ -14,10 +14,16 @@ white space kept, as in the public file; anything else is refused when the model
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 MARK = "▁"
 _NEVER = float("-inf")
-_UNIT = re.compile(f"{MARK}+[^{MARK}]*")
+_UNIT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+_LINE_UNIT = re.compile(f"{MARK}+[^{MARK}\\n]*|\\n|[^{MARK}\\n]+")
+_STATES = 250_000
+_PAIRS = 400_000
+_UNITS = 300_000
+_SHORT = 64
 
 
 class Pieces:
@@ -45,25 +51,29 @@ class Pieces:
         self.byte_score = min(p.score for p in proto.pieces if p.type == kinds.NORMAL) - 10
         #: No piece goes on past the start of a new run of spaces: what stands before and after one is encoded alone.
         self.cuts = not any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids)
+        self.feeds = self.cuts and "\n" not in self.chars
+        self._states: dict[str, int] = {}
         norm.add_dummy_prefix = False
         self._bare = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._pairs: dict[int, bool] = {}
 
     def marked(self, text: str) -> str:
         """The text as the model sees it."""
         return MARK + text.replace(" ", MARK) if text else ""
 
     def units(self, marked: str) -> list[str]:
-        """Parts that are encoded independently."""
-        return _UNIT.findall(marked) if self.cuts else [marked] if marked else []
+        """Parts that are encoded independently: cut before runs of spaces and, where no piece has it, around line feeds."""
+        if not self.cuts:
+            return [marked] if marked else []
+        return (_LINE_UNIT if self.feeds else _UNIT).findall(marked)
 
     def follows(self, left: int, right: int) -> bool:
         """Whether `right` may come after `left`."""
         if not self.bpe or left < 0 or left not in self.text or right not in self.text:
             return True
-        key = (left, right)
+        key = left << 20 | right
         if (known := self._pairs.get(key)) is None:
-            if len(self._pairs) > 2_000_000:
+            if len(self._pairs) > _PAIRS:
                 self._pairs.clear()
             a, b = self.text[left], self.text[right]
             if self.cuts and b[0] == MARK and a[-1] != MARK:
@@ -92,11 +102,11 @@ class Pieces:
     def forward(self, text: str) -> tuple[list[int], list[int], list[float]]:
         """For each prefix of a marked text: its last piece, that piece's characters, the path's score."""
         n = len(text)
-        last, size, best = [-2] * (n + 1), [0] * (n + 1), [_NEVER] * (n + 1)
+        last, size, best = [-2] * (n + 1), [0] * (n + 1), [0.0 if self.bpe else _NEVER] * (n + 1)
         best[0] = 0.0
         if self.bpe:
             self._forward_bpe(text, last, size)
-            return last, size, [0.0] * (n + 1)
+            return last, size, best
         for at in range(1, n + 1):
             for piece, k, score in self.edges(text, at):
                 before = at - k
@@ -105,19 +115,33 @@ class Pieces:
         return last, size, best
 
     def _forward_bpe(self, text: str, last: list[int], size: list[int]) -> None:
-        """As above where every prefix has one path, so the first edge found is the edge."""
-        ids, pairs, longest = self.ids, self._pairs, self.longest
-        for at in range(1, len(text) + 1):
+        """As above where every prefix has one path, so the first edge found is the edge.
+
+        What is known of a prefix holds for every text that begins with it, so it is remembered.
+        """
+        ids, pairs, longest, states = self.ids, self._pairs, self.longest, self._states
+        n = len(text)
+        known = n if n <= _SHORT else 0
+        while known and text[:known] not in states:
+            known -= 1
+        for at in range(1, known + 1):
+            state = states[text[:at]]
+            last[at], size[at] = (state >> 6) - 1, state & 63
+        for at in range(known + 1, n + 1):
             for k in range(longest if at > longest else at, 0, -1):
                 if (p := ids.get(text[at - k : at])) is None:
                     continue
                 left = last[at - k]
-                if left >= 0 and (ok := pairs.get((left, p))) is not True and (ok is False or not self.follows(left, p)):
+                if left >= 0 and (ok := pairs.get(left << 20 | p)) is not True and (ok is False or not self.follows(left, p)):
                     continue
                 last[at], size[at] = p, k
                 break
             else:
                 last[at], size[at] = -1, 1
+            if at <= _SHORT and n <= _SHORT:
+                states[text[:at]] = last[at] + 1 << 6 | size[at]
+        if len(states) > _STATES:
+            states.clear()
 
     def spell(self, piece: int, text: str) -> list[int]:
         """The ids of one edge: the piece, or the bytes of its character."""
@@ -136,11 +160,59 @@ class Pieces:
         last, size, _ = self.forward(text)
         counts = [0]
         for at in range(1, len(text) + 1):
-            own = 1 if last[at] >= 0 else len(text[at - 1].encode())
-            counts.append(counts[at - size[at]] + own)
+            counts.append(counts[at - size[at]] + (1 if last[at] >= 0 else len(text[at - 1].encode())))
         return counts
 
 
+class UnitMemory:
+    """What `make` gives for each unit of a text, remembered for up to `most` units, then forgotten."""
+
+    def __init__(self, pieces: Pieces, make: Callable[[str], bytes], most: int = _UNITS):
+        self.pieces, self.make, self.most = pieces, make, most
+        self.after_space: dict[str, bytes] = {}  # by the unit without its one leading space
+        self.bare: dict[str, bytes] = {}
+        self.feed = make("\n")
+
+    def of_marked(self, marked: str) -> list[bytes]:
+        if len(self.bare) > self.most:
+            self.bare.clear()
+        bare, make, out = self.bare, self.make, []
+        for u in self.pieces.units(marked):
+            if (x := bare.get(u)) is None:
+                x = make(u)
+                if len(u) <= _SHORT:
+                    bare[u] = x
+            out.append(x)
+        return out
+
+    def of(self, text: str) -> list[bytes]:
+        """The values of a plain text's units in order."""
+        if MARK in text:
+            text = text.replace(MARK, " ")
+        if not text or not self.pieces.feeds or text[0] == " " or text[-1] == " " or "  " in text or " \n" in text or "\n " in text:
+            return self.of_marked(self.pieces.marked(text))
+        known, make, out = self.after_space, self.make, []
+        if len(known) > self.most:
+            known.clear()
+        for nth, line in enumerate(text.split("\n")):
+            words = line.split(" ")
+            got = list(map(known.get, words))
+            if nth:
+                out.append(self.feed)
+                got[0] = b"".join(self.of_marked(words[0]))
+            if None in got:
+                for i, x in enumerate(got):
+                    if x is None:
+                        w = words[i]
+                        if (x := known.get(w)) is None:
+                            x = make(MARK + w)
+                            if len(w) < _SHORT:
+                                known[w] = x
+                        got[i] = x
+            out += got
+        return out
+
+
 _loaded: dict[str, Pieces] = {}
 
 

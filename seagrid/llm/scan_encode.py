@@ -29,11 +29,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seagrid.llm.common import ready_workers, materialise
-from seagrid.llm.pieces import MARK, Pieces, load
+from seagrid.llm.pieces import MARK, Pieces, UnitMemory, load
 
 CHUNK = 1 << 15
 BLOCK = 64
-CACHED_UNITS = 600_000
 START = (-2, 0, 0)  # a state: piece, its characters, those beyond the cut
 State = tuple[int, int, int]
 Matrix = dict[State, dict[State, float]]
@@ -42,17 +41,14 @@ Matrix = dict[State, dict[State, float]]
 class ScanEncoder:
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, marked: str) -> np.ndarray:
-        """Ids of a marked text, unit by unit."""
-        units = self.pieces.units(marked)
-        known = self.known
-        if len(known) > CACHED_UNITS:
-            known.clear()
-        for u in set(units).difference(known):
-            known[u] = np.array(self.pieces.encode_unit(u), np.int32).tobytes()
-        return np.frombuffer(b"".join(map(known.__getitem__, units)), np.int32)
+        self.memory = UnitMemory(pieces, lambda u: np.array(pieces.encode_unit(u), np.int32).tobytes())
+
+    def encode(self, text: str) -> np.ndarray:
+        """Ids of a plain text, unit by unit."""
+        return np.frombuffer(b"".join(self.memory.of(text)), np.int32)
+
+    def encode_marked(self, marked: str) -> np.ndarray:
+        return np.frombuffer(b"".join(self.memory.of_marked(marked)), np.int32)
 
     def states(self, left: str, right: str) -> list[State]:
         """All states at a cut between two contexts."""
@@ -138,7 +134,7 @@ class ScanEncoder:
             return self._trace(body + right, entry, len(body), goal, last)
         a, b = cut
         head = self._trace(body[:a], entry, a, START, True) if entry[2] < a else []
-        return [*head, *self.encode(body[a:b]).tolist(), *self._trace(body[b:] + right, START, len(body) - b, goal, last)]
+        return [*head, *self.encode_marked(body[a:b]).tolist(), *self._trace(body[b:] + right, START, len(body) - b, goal, last)]
 
 
 def compose(first: Matrix, second: Matrix) -> Matrix:
@@ -241,7 +237,7 @@ def encode(docs: DataFrame, model: str, chunk_chars: int = CHUNK, id_col: str =
     def alone(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = _encoder(model)
         for batch in batches:
-            batch["ids"] = [encoder.encode(encoder.pieces.marked(t)) for t in batch["text"]]
+            batch["ids"] = [encoder.encode(t) for t in batch["text"]]
             yield batch[["doc_id", "no_id", "text_hash", "ids"]]
 
     def traced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

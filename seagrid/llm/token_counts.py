@@ -21,30 +21,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seagrid.llm.common import ready_workers
-from seagrid.llm.pieces import Pieces, load
+from seagrid.llm.pieces import Pieces, UnitMemory, load
 
 LIMIT = 4096
-CACHED_UNITS = 600_000
 
 
 class PrefixCounter:
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
-        self.known: dict[str, bytes] = {}
+        self.memory = UnitMemory(pieces, self._steps_of)
 
     def _steps_of(self, unit: str) -> bytes:
         counts = self.pieces.prefix_counts(unit)
-        return np.diff(counts).astype(np.int8).tobytes()
+        return bytes([b - a & 255 for a, b in zip(counts, counts[1:], strict=False)])
 
     def steps(self, text: str) -> np.ndarray:
         """What each code point of the text adds to the count; their running sum is the count of each prefix."""
-        units = self.pieces.units(self.pieces.marked(text))
-        known = self.known
-        if len(known) > CACHED_UNITS:
-            known.clear()
-        for u in set(units).difference(known):
-            known[u] = self._steps_of(u)
-        out = np.frombuffer(b"".join(map(known.__getitem__, units)), np.int8)
+        out = np.frombuffer(b"".join(self.memory.of(text)), np.int8)
         if len(out):
             out = out.copy()
             out[1] += out[0]  # the added space counts with the first code point
