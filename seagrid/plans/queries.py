@@ -317,10 +317,10 @@ _CORNERS = """corners AS (
         WHERE y BETWEEN 0 AND n_lat - 1), (VALUES (0), (1)) a(a), (VALUES (0), (1)) b(b))"""
 
 
-@query(f"{CTE}, {_CORNERS} SELECT request_id, lat_idx, lon_idx, round(weight, 6) AS weight FROM corners WHERE weight > 0")
+@query(f"{CTE}, {_CORNERS} SELECT request_id, lat_idx, lon_idx, round(weight, 9) AS weight FROM corners WHERE weight > 0")
 def e12_bilinear_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     spots = derived.requests(spark, sf_dir).where("kind = 'spot'")
-    return subset.bilinear_weights(spots, subset.grid_spec(derived.forecast(spark, sf_dir))).select("request_id", "lat_idx", "lon_idx", rnd("weight").alias("weight"))
+    return subset.bilinear_weights(spots, subset.grid_spec(derived.forecast(spark, sf_dir))).select("request_id", "lat_idx", "lon_idx", rnd("weight", 9).alias("weight"))
 
 
 _SPOT = f"""{_CORNERS}, spot AS (
@@ -329,21 +329,21 @@ _SPOT = f"""{_CORNERS}, spot AS (
   FROM corners JOIN forecast USING (model, lat_idx, lon_idx) WHERE weight > 0 GROUP BY request_id, lead_hours, realization)"""
 
 
-@query(f"{CTE}, {_SPOT} SELECT request_id, lead_hours, realization, round(x_wind, 6) + 0.0 AS x_wind, round(y_wind, 6) + 0.0 AS y_wind, round(current, 6) + 0.0 AS current FROM spot")
+@query(f"{CTE}, {_SPOT} SELECT request_id, lead_hours, realization, round(x_wind, 11) + 0.0 AS x_wind, round(y_wind, 11) + 0.0 AS y_wind, round(current, 11) + 0.0 AS current FROM spot")
 def e13_spot_interpolate(spark: SparkSession, sf_dir: str) -> DataFrame:
     forecast = derived.forecast(spark, sf_dir)
     spots = derived.requests(spark, sf_dir).where("kind = 'spot'")
     got = subset.spot_interpolate(spots, forecast, subset.grid_spec(forecast), ["x_wind", "y_wind", "sea_water_x_velocity"])
-    return got.select("request_id", "lead_hours", "realization", rnd("x_wind").alias("x_wind"), rnd("y_wind").alias("y_wind"), rnd("sea_water_x_velocity").alias("current"))
+    return got.select("request_id", "lead_hours", "realization", rnd("x_wind", 11).alias("x_wind"), rnd("y_wind", 11).alias("y_wind"), rnd("sea_water_x_velocity", 11).alias("current"))
 
 
 @query(
-    f"{CTE}, {_MET.replace('snap AS (', 'snap AS (', 1)}, {_SPOT} SELECT 'gridded' AS kind, request_id, lead_hours, count(*) AS n, round(sum(x_wind), 4) + 0.0 AS x FROM met GROUP BY ALL UNION ALL SELECT 'spot', request_id, lead_hours, count(*), round(sum(x_wind), 4) + 0.0 FROM spot WHERE list_contains(hours, lead_hours) GROUP BY ALL"
+    f"{CTE}, {_MET.replace('snap AS (', 'snap AS (', 1)}, {_SPOT} SELECT 'gridded' AS kind, request_id, lead_hours, count(*) AS n, round(sum(x_wind), 8) + 0.0 AS x FROM met GROUP BY ALL UNION ALL SELECT 'spot', request_id, lead_hours, count(*), round(sum(x_wind), 8) + 0.0 FROM spot WHERE list_contains(hours, lead_hours) GROUP BY ALL"
 )
 def e14_e15_answer_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     forecast = derived.forecast(spark, sf_dir)
     got = subset.answer_requests(derived.requests(spark, sf_dir), forecast, subset.grid_spec(forecast), ["x_wind", "y_wind"])
-    return got.groupBy("kind", "request_id", "lead_hours").agg(F.count("*").alias("n"), rnd(F.sum("x_wind"), 4).alias("x"))
+    return got.groupBy("kind", "request_id", "lead_hours").agg(F.count("*").alias("n"), rnd(F.sum("x_wind"), 8).alias("x"))
 
 
 @query("SELECT request_id, CAST(greatest(0, least(round_even((lat - lat0) / dlat, 0), n_lat - 1)) AS INT) AS lat_idx, CAST(round_even((lon - lon0 - 360 * floor((lon - lon0) / 360)) / dlon, 0) % n_lon AS INT) AS lon_idx FROM requests JOIN spec USING (model)")
