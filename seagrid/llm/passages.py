@@ -5,11 +5,11 @@ bands x rows values; paragraphs that agree in one band meet in a bucket. Tuned f
 of 4 rows find a pair of similarity 0.8 with probability 0.9998. In a bucket every member is compared
 by exact Jaccard similarity with the bucket's most central text, the one that meets most others in
 all its buckets, which in a group of edited copies is the unedited one. Members linked to it are
-linked to each other by it. Each other member is also compared with the eight before and the eight
-after it when the bucket is sorted by the following bands, which are those most like it. So no link of
-a bucket of up to ten is lost, and the comparisons of a member are bounded by its 16 buckets whatever
-the size of a group. Links of at least `similarity` form components, and all occurrences but the first
-of a component are to be removed. Shingles are compared by 64-bit hashes.
+linked to each other by it. Each other member is joined to all members of its buckets that can be
+similar enough, by the rarest shingles in which they differ from the central text; the bound on these
+is exact, so no link of a bucket is lost, whatever its size. Links of at least `similarity` form
+components, and all occurrences but the first of a component are to be removed. Shingles are compared
+by 64-bit hashes.
 
 A repeated passage need not be a paragraph: it can stand inside longer lines or run over several. So
 the text's windows of `WINDOW` words are winnowed: of each `CHOICE` neighbouring windows the one with
@@ -39,7 +39,6 @@ SHINGLE = 5
 SIMILARITY = 0.8
 MIN_WORDS = 50
 BANDS, ROWS = 16, 4
-NEIGHBOURS = 8
 WINDOW, CHOICE = 25, 26
 SEED = 5
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -196,13 +195,46 @@ def _shingles_of(docs: DataFrame, wanted: DataFrame, min_words: int, id_col: str
     return found.join(wanted, "h", "left_semi").groupBy("h").agg(F.first("shingles").alias("shingles"))
 
 
-def _similar(pairs: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
-    """pairs (a, b) with a column `linked`: whether the exact Jaccard similarity is enough."""
+def _similar(pairs: DataFrame, shingles: DataFrame, similarity: float, unlike: bool = False) -> DataFrame:
+    """pairs (a, b) with a column `linked`: whether the exact Jaccard similarity is enough.
+
+    With `unlike` also na, nb, the numbers of shingles, and `apart`, the shingles that only one of the two has.
+    """
     a = shingles.select(F.col("h").alias("a"), F.col("shingles").alias("sa"))
     b = shingles.select(F.col("h").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     met = pairs.join(a, "a").join(b, "b").withColumn("both", both)
-    return met.select("a", "b", (F.col("both") >= similarity * (F.size("sa") + F.size("sb") - F.col("both"))).alias("linked"))
+    more = [F.size("sa").alias("na"), F.size("sb").alias("nb"), F.concat(F.array_except("sa", "sb"), F.array_except("sb", "sa")).alias("apart")] if unlike else []
+    return met.select("a", "b", (F.col("both") >= similarity * (F.size("sa") + F.size("sb") - F.col("both"))).alias("linked"), *more)
+
+
+def _unlinked_pairs(stars: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of members of one head, one of them not linked to it, that can be similar enough; none that is gets lost.
+
+    With A and B the shingles in which the members differ from the head c, |a ^ b| = |A| + |B| - 2 |A & B|, and similar
+    enough means |a ^ b| <= r (|a| + |b|) with r = (1 - s) / (1 + s). So A and B share at least
+    (|A| + |B| - r (|a| + |b|)) / 2 of them, which is above 0 where |A| > r (|a| + |c|), and then the first shared one,
+    in any order, stands early in both. In the order from the rarest on, few others share an early one.
+    """
+    r, eps = (1 - similarity) / (1 + similarity), 1e-6
+    open_heads = stars.where(~F.col("linked")).select("b").distinct()
+    group = stars.join(open_heads, "b", "left_semi").select(F.col("b").alias("head"), F.col("a").alias("h"), "linked", F.col("na").alias("n"), F.col("nb").alias("nc"), F.size("apart").alias("size"), "apart")
+    each = group.select("head", "h", F.explode("apart").alias("x"))
+    often = each.groupBy("head", "x").agg(F.count("*").alias("often")).where("often > 1")
+    # Shingles that one member alone has come first in the order, and match none.
+    ranked = each.join(often, ["head", "x"]).groupBy("head", "h").agg(F.sort_array(F.collect_list(F.struct("often", "x"))).alias("xs"))
+    ranked = ranked.join(group.drop("apart"), ["head", "h"]).select("head", "h", "linked", "n", "nc", "size", (F.col("size") - F.size("xs")).alias("alone"), F.posexplode("xs").alias("at", "x"))
+    ranked = ranked.select("head", "h", "linked", "n", "size", "nc", (F.col("alone") + F.col("at") + 1).alias("at"), F.col("x.x").alias("x"))
+    least = lambda shared: F.greatest(F.ceil(shared / 2 - eps), F.lit(1))
+    any_other = least(F.col("size") - r * (F.col("n") + F.col("nc")))
+    a_lone = least(F.col("size") + r * (F.col("nc") - F.col("n")))
+    early = materialise(ranked.where(F.col("at") <= F.col("size") - F.when(F.col("linked"), a_lone).otherwise(F.least(any_other, a_lone)) + 1), "early")
+    left = early.where("not linked").select("head", "x", F.col("h").alias("a"), F.col("n").alias("an"), F.col("size").alias("as"), F.col("at").alias("aa"))
+    right = early.where(F.col("at") <= F.col("size") - a_lone + 1).select("head", "x", F.col("h").alias("b"), "linked", F.col("n").alias("bn"), F.col("size").alias("bs"), F.col("at").alias("ba"))
+    shared = least(F.col("as") + F.col("bs") - r * (F.col("an") + F.col("bn")))
+    fits = (F.col("l.head") == F.col("r.head")) & (F.col("l.x") == F.col("r.x")) & (F.col("linked") | (F.col("a") < F.col("b")))
+    fits &= (F.col("aa") <= F.col("as") - shared + 1) & (F.col("ba") <= F.col("bs") - shared + 1)
+    return left.alias("l").join(right.alias("r"), fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def paragraph_links(docs: DataFrame, rows: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -219,21 +251,13 @@ def paragraph_links(docs: DataFrame, rows: DataFrame, similarity: float = SIMILA
     shared = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = materialise(banded.join(shared, "key"), "members")
     central = members.groupBy("h").agg(F.sum("n").alias("met"))
-    members = members.join(central, "h").join(nodes.select("h", "keys"), "h")
-    rotated = F.substring(F.concat("keys", "keys"), (F.col("key").bitwiseAND(F.lit(BANDS - 1)) * 8 + 9).cast("int"), F.lit(8 * BANDS - 8))
-    central_first = Window.partitionBy("key").orderBy(F.desc("met"), "h")
-    members = materialise(members.select("key", "h", rotated.alias("rotated"), F.first("h").over(central_first).alias("head")), "buckets")
+    heads = members.join(central, "h").groupBy("key").agg(F.min_by("h", F.struct(-F.col("met"), F.col("h"))).alias("head"))
     shingles = materialise(_shingles_of(docs, members.select("h").distinct(), min_words, id_col, text_col), "shingles")
-    stars = members.where("h <> head").select(F.col("h").alias("a"), F.col("head").alias("b")).distinct()
-    stars = materialise(_similar(stars, shingles, similarity), "stars")
-
-    # Members linked to the head are linked to each other by it; each other one also meets its neighbours.
-    lone = stars.where(~F.col("linked")).select(F.col("a").alias("h"), F.col("b").alias("head"), F.lit(True).alias("lone"))
-    members = members.where("h <> head").join(lone, ["h", "head"], "left").withColumn("lone", F.coalesce("lone", F.lit(False)))
-    before = Window.partitionBy("key").orderBy("rotated", "h").rowsBetween(-NEIGHBOURS, -1)
-    beside = F.filter(F.collect_list(F.struct("h", "lone")).over(before), lambda o: F.col("lone") | o["lone"])
-    rest = members.select("h", beside.alias("beside")).select("h", F.explode("beside.h").alias("o"))
-    rest = rest.select(F.least("h", "o").alias("a"), F.greatest("h", "o").alias("b")).distinct()
+    stars = members.join(heads, "key").where("h <> head").select(F.col("h").alias("a"), F.col("head").alias("b")).distinct()
+    stars = materialise(_similar(stars, shingles, similarity, unlike=True), "stars")
+
+    # Members linked to the head are linked to each other by it; the others are joined to all that can be like them.
+    rest = materialise(_unlinked_pairs(stars, similarity), "rest")
     return stars.where("linked").select("a", "b").unionByName(_similar(rest, shingles, similarity).where("linked").select("a", "b"))
 
 

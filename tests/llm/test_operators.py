@@ -120,6 +120,45 @@ def test_no_pair_of_a_bucket_is_lost(spark):
         assert got[i] == got[j]
 
 
+def test_links_equal_all_pairs_in_a_dense_group(spark):
+    """Texts unlike the unedited one, each like one only of its many copies, which shares an edit."""
+    rng = np.random.default_rng(3)
+    base = [f"w{i}" for i in range(100)]
+    out = [" ".join(base)]
+    for i in range(400):
+        w = list(base)
+        places = rng.choice(np.arange(5, 95, 6), 3, replace=False)
+        w[places[0]] = f"x{i}"
+        out.append(" ".join(w))
+        if i < 60:
+            for j in places[1:]:
+                w[j] = f"y{i}"
+            out.append(" ".join(w))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(out)], "doc_id long, text string")
+    sets = [_shingles(t.split()) for t in out]
+    pairs = {(j, i) for i in range(len(out)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    got = {r["doc_id"]: r["component_id"] for r in passages.repeated_passages(df).where("kind = 'paragraph'").collect()}
+    missed = [(i, j) for i, j in pairs if got.get(i) is None or got.get(i) != got.get(j)]
+    assert not missed, (len(missed), len(pairs))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_unlinked_pairs_hold_every_similar_pair(spark, seed):
+    rng = np.random.default_rng(seed)
+    head = set(range(60))
+    sets = [head]
+    for i in range(120):
+        s = set(sets[rng.integers(len(sets))]) if i % 2 else set(head)
+        s -= set(rng.choice(60, rng.integers(0, 12), replace=False).tolist())
+        sets.append(s | set(rng.integers(60, 90, rng.integers(0, 12)).tolist()))
+    similar = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    rows = [(i, 0, similar(s, head), len(s), len(head), [int(x) for x in s ^ head]) for i, s in enumerate(sets) if i]
+    stars = spark.createDataFrame(rows, "a long, b long, linked boolean, na int, nb int, apart array<long>")
+    got = {(r["a"], r["b"]) for r in passages._unlinked_pairs(stars, 0.8).collect()}
+    want = {(i, j) for j in range(1, len(sets)) for i in range(1, j) if similar(sets[i], sets[j]) and not (similar(sets[i], head) and similar(sets[j], head))}
+    assert want and want <= got
+
+
 # 2
 
 def test_hilbert_neighbours_and_bijection():
