@@ -14,8 +14,8 @@ by 64-bit hashes.
 A repeated passage need not be a paragraph: it can stand inside longer lines or run over several. So
 the text's windows of `WINDOW` words are winnowed: of each `CHOICE` neighbouring windows the one with
 the least hash is chosen, which depends on its words only. Documents that share WINDOW + CHOICE - 1
-words (50) share a chosen window for certain. Chosen windows that several documents have are repeats;
-those that overlap or touch are joined to a span.
+words (50) share a chosen window for certain. Chosen windows that several documents have are repeats.
+In a document those that overlap or touch are joined to a span.
 
 Paragraphs of equal words are one node, so copies are never compared, and hot texts are counted
 before the shuffle. Defined cases: null and empty texts have no paragraphs; words are split at ASCII
@@ -30,7 +30,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seagrid.llm.common import ready_workers, connected_components, materialise
@@ -40,6 +41,7 @@ SIMILARITY = 0.8
 MIN_WORDS = 50
 BANDS, ROWS = 16, 4
 WINDOW, CHOICE = 25, 26
+REACH = CHOICE - 1
 SEED = 5
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -120,18 +122,21 @@ def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Paragraphs and chosen windows: rows (doc_id, no_id, first_word, n_words, h, keys); keys only for paragraphs.
+    """Rows (doc_id, no_id, own, first_word, n_words, h, keys, kind) of kind 0, paragraphs; 1, chosen windows; 2, whole texts.
 
-    first_word counts the words of the whole text from 0.
+    first_word counts the words of the whole text from 0. own tells rows apart that share an id: the text's hash, or the
+    row's place where the id is null. keys are the bands of a paragraph, or four bytes for each word of a whole text.
     """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         signer, digest = Signer(), xxhash.xxh64_intdigest
+        seen = TaskContext.get().partitionId() << 33
         for batch in batches:
-            docs_at, first, size, h, keys = [], [], [], [], []
-            for nth, text in enumerate(batch["text"]):
-                marks, before = [], 0
-                for line in text.encode().translate(_LOWER).split(b"\n"):
+            docs_at, first, size, h, keys, kind, owns = [], [], [], [], [], [], []
+            for nth, (text, no_id) in enumerate(zip(batch["text"], batch["no_id"], strict=True)):
+                marks, before, raw = [], 0, text.encode()
+                owns.append(seen + nth if no_id else digest(raw) >> 1)
+                for line in raw.translate(_LOWER).split(b"\n"):
                     words = line.split()
                     marks.append(_mark(words))
                     if len(words) >= min_words:
@@ -140,25 +145,29 @@ def paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_i
                         size.append([len(words)])
                         h.append(np.array([digest(b" ".join(words))], np.uint64))
                         keys.append(signer.keys(shingle_hashes(marks[-1])).astype("<u8").tobytes())
+                        kind.append([0])
                     before += len(words)
                 if before >= WINDOW:
-                    hashes = window_hashes(np.concatenate(marks))
+                    every = np.concatenate(marks)
+                    hashes = window_hashes(every)
                     at = winnow(hashes)
-                    docs_at.append(np.full(len(at), nth))
-                    first.append(at)
-                    size.append(np.full(len(at), WINDOW))
-                    h.append(hashes[at])
-                    keys += [None] * len(at)
+                    docs_at.append(np.full(len(at) + 1, nth))
+                    first += [at, [0]]
+                    size += [np.full(len(at), WINDOW), [before]]
+                    h += [hashes[at], np.zeros(1, np.uint64)]
+                    keys += [None] * len(at) + [(every >> np.uint64(33)).astype("<u4").tobytes()]
+                    kind += [np.ones(len(at), np.int8), [2]]
+            seen += len(batch)
             if keys:
                 own = np.concatenate(docs_at)
                 yield pd.DataFrame(
                     {
-                        "doc_id": batch["doc_id"].to_numpy()[own], "no_id": batch["no_id"].to_numpy()[own], "first_word": np.concatenate(first),
-                        "n_words": np.concatenate(size), "h": np.concatenate(h).view(np.int64), "keys": keys,
+                        "doc_id": batch["doc_id"].to_numpy()[own], "no_id": batch["no_id"].to_numpy()[own], "own": np.array(owns, np.int64)[own],
+                        "first_word": np.concatenate(first), "n_words": np.concatenate(size), "h": np.concatenate(h).view(np.int64), "keys": keys, "kind": np.concatenate(kind),
                     }
                 )
 
-    return _slim(docs, id_col, text_col).mapInPandas(read, "doc_id long, no_id boolean, first_word int, n_words int, h long, keys binary")
+    return _slim(docs, id_col, text_col).mapInPandas(read, "doc_id long, no_id boolean, own long, first_word int, n_words int, h long, keys binary, kind byte")
 
 
 def _shingles_of(docs: DataFrame, wanted: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
@@ -189,7 +198,8 @@ def _shingles_of(docs: DataFrame, wanted: DataFrame, min_words: int, id_col: str
                     at = h >> 38
                     if int(table[at >> 6]) >> (at & 63) & 1 and h not in out:
                         out[h] = shingle_hashes(_mark(w)).view(np.int64)
-            yield pd.DataFrame({"h": np.array(list(out), np.uint64).view(np.int64), "shingles": list(out.values())})
+            if out:
+                yield pd.DataFrame({"h": np.array(list(out), np.uint64).view(np.int64), "shingles": list(out.values())})
 
     found = _slim(docs, id_col, text_col).mapInPandas(read, "h long, shingles array<long>")
     return found.join(wanted, "h", "left_semi").groupBy("h").agg(F.first("shingles").alias("shingles"))
@@ -239,7 +249,7 @@ def _unlinked_pairs(stars: DataFrame, similarity: float) -> DataFrame:
 
 def paragraph_links(docs: DataFrame, rows: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Links (a, b) between distinct paragraph texts of enough similarity, from the compared pairs of all buckets."""
-    nodes = materialise(rows.where("keys is not null").groupBy("h").agg(F.first("keys").alias("keys")), "nodes")
+    nodes = materialise(rows.where("kind = 0").groupBy("h").agg(F.first("keys").alias("keys")), "nodes")
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -261,45 +271,166 @@ def paragraph_links(docs: DataFrame, rows: DataFrame, similarity: float = SIMILA
     return stars.where("linked").select("a", "b").unionByName(_similar(rest, shingles, similarity).where("linked").select("a", "b"))
 
 
-def _place() -> Column:
-    return F.struct("no_id", "doc_id", "first_word")
+_OWNER = ["no_id", "doc_id", "own"]
 
 
-def repeated_passages(docs: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per occurrence of a passage that two documents or more share.
+def _document() -> Column:
+    """Rows of one id are one document, each row without an id is one."""
+    return F.struct("no_id", "doc_id", F.when(F.col("no_id"), F.col("own")).otherwise(0).alias("own"))
 
-    doc_id, first_word (counted in the whole text from 0), n_words, kind (`paragraph` or `span`),
-    component_id, keep (the component's first occurrence).
-    """
-    rows = materialise(paragraphs(docs, min_words, id_col, text_col), "paragraphs")
-    links = materialise(paragraph_links(docs, rows, similarity, min_words, id_col, text_col), "links")
-    windows = rows.where("keys is null").select("h", "no_id", "doc_id", "first_word")
-    common = windows.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min("no_id").alias("some"), F.max("no_id").alias("none"))
-    common = common.where("lo <> hi or some <> none").select("h")
-    found = materialise(windows.join(common, "h"), "windows")
-    order = Window.partitionBy("doc_id", "no_id").orderBy("first_word", "h")
-    found = found.withColumn("starts", F.coalesce(F.lag("first_word").over(order) + WINDOW < F.col("first_word"), F.lit(True)).cast("int"))
-    found = found.withColumn("before", F.lag("h").over(order)).withColumn("run", F.sum("starts").over(order))
-    found = materialise(found, "runs")
-    edges = found.select(F.col("h").alias("a"), F.when(F.col("starts") == 0, F.col("before")).otherwise(F.col("h")).alias("b"))
-    components = materialise(connected_components(links.unionByName(edges)), "components")
-    named = components.select(F.col("node").alias("h"), "component")
-
-    whole = rows.where("keys is not null").drop("keys")
-    texts = whole.groupBy("h").agg(F.min(_place()).alias("first"), F.min(F.struct("no_id", "doc_id")).alias("lo"), F.max(F.struct("no_id", "doc_id")).alias("hi"))
+
+def _place(*document: str) -> Column:
+    return F.struct(*document or ("no_id", "doc_id", F.when(F.col("no_id"), F.col("own")).otherwise(0).alias("own")), "first_word")
+
+
+def _lines(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """Paragraphs whose component two documents or more have."""
+    named = connected_components(links).select(F.col("node").alias("h"), "component")
+    whole = rows.where("kind = 0").drop("keys", "kind")
+    texts = whole.groupBy("h").agg(F.min(_place()).alias("first"), F.min(_document()).alias("lo"), F.max(_document()).alias("hi"))
     texts = texts.join(named, "h", "left").withColumn("component", F.coalesce("component", "h"))
     shared = texts.groupBy("component").agg(F.min("first").alias("first"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi")
     shared = texts.select("h", "component").join(shared.select("component", "first"), "component")
-    lines = whole.join(shared, "h").select("doc_id", "no_id", "first_word", "n_words", "component", "first")
+    return whole.join(shared, "h").select(*_OWNER, "first_word", "n_words", "component", (_place() == F.col("first")).alias("keep"))
+
 
-    spans = found.where("starts = 1").join(named, "h").select("doc_id", "no_id", "run", "component")
-    reach = found.groupBy("doc_id", "no_id", "run").agg(F.min("first_word").alias("first_word"), (F.max("first_word") + WINDOW - F.min("first_word")).alias("n_words"))
-    spans = spans.join(reach, ["doc_id", "no_id", "run"])
-    heads = spans.groupBy("component").agg(F.min(_place()).alias("first"))
-    spans = spans.join(heads, "component").select("doc_id", "no_id", "first_word", "n_words", "component", "first")
+_NONE = 0xFFFFFFFF
+
+
+def _around(rows: DataFrame, found: DataFrame, gone: DataFrame) -> DataFrame:
+    """The found windows outside of removed paragraphs, with the REACH words before (the nearest first) and after each.
+
+    Words of removed paragraphs and places beyond the text's ends are like no word.
+    """
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        back, on = REACH - 1 - np.arange(REACH), REACH + WINDOW + np.arange(REACH)
+        for batch in batches:
+            nths, ats, hs, words = [], [], [], []
+            for nth, (text, at, h, g_at, g_n) in enumerate(zip(batch["keys"], batch["at"], batch["h"], batch["g_at"], batch["g_n"], strict=True)):
+                marks = np.full(len(text) // 4 + 2 * REACH, _NONE, np.uint32)
+                marks[REACH:-REACH] = np.frombuffer(text, "<u4")
+                if g_at is not None:
+                    for x, n in zip(g_at, g_n, strict=True):
+                        marks[REACH + x : REACH + x + n] = _NONE
+                    lost = np.concatenate([[0], np.cumsum(marks[REACH:-REACH] == _NONE)])
+                    stays = lost[at + WINDOW] == lost[at]
+                    at, h = at[stays], h[stays]
+                nths.append(np.full(len(at), nth))
+                ats.append(at)
+                hs.append(h)
+                words += [w.tobytes() for w in marks[at[:, None] + np.concatenate([back, on])]]
+            if words:
+                own = np.concatenate(nths)
+                yield pd.DataFrame({c: batch[c].to_numpy()[own] for c in _OWNER} | {"first_word": np.concatenate(ats), "h": np.concatenate(hs), "words": words})
+
+    held = found.groupBy(*_OWNER).agg(F.collect_set(F.struct("first_word", "h")).alias("w")).select(*_OWNER, F.col("w.first_word").alias("at"), F.col("w.h").alias("h"))
+    cuts = gone.groupBy(*_OWNER).agg(F.collect_set(F.struct("first_word", "n_words")).alias("g")).select(*_OWNER, F.col("g.first_word").alias("g_at"), F.col("g.n_words").alias("g_n"))
+    texts = rows.where("kind = 2").select(*_OWNER, "keys").join(held, _OWNER).join(cuts, _OWNER, "left")
+    return texts.dropDuplicates(_OWNER).mapInPandas(read, "no_id boolean, doc_id long, own long, first_word int, h long, words binary")
+
+
+def _reaches(around: DataFrame) -> DataFrame:
+    """Rows (owner, h, start, end, keep): each window but its first occurrence as far as the words agree with the first's, and what of the first that meets.
+
+    Where two texts agree on more than REACH words before or after a window, they share a chosen window there as well.
+    """
+    first = F.struct(*[F.col(c).alias(f"{c}0") for c in (*_OWNER, "first_word", "words")])
+    heads = around.groupBy("h").agg(F.min_by(first, _place(*_OWNER)).alias("head")).select("h", "head.*")
 
-    both = lines.withColumn("kind", F.lit("paragraph")).unionByName(spans.withColumn("kind", F.lit("span")))
-    return both.select(F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), "first_word", "n_words", "kind", F.col("component").alias("component_id"), (_place() == F.col("first")).alias("keep"))
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            left = right = np.zeros(len(batch), np.int64)
+            yield batch.drop(columns=["words", "words0"]).assign(left=left, right=right)
+
+    schema = "no_id boolean, doc_id long, own long, first_word int, h long, no_id0 boolean, doc_id0 long, own0 long, first_word0 int, left int, right int"
+    met = around.join(heads, "h").select(*_OWNER, "first_word", "h", "words", "no_id0", "doc_id0", "own0", "first_word0", "words0").mapInPandas(read, schema)
+    itself = _place(*_OWNER) == F.struct("no_id0", "doc_id0", "own0", "first_word0")
+    met = materialise(met.withColumn("keep", itself), "reaches")
+    others = met.where("not keep").select(*_OWNER, "h", (F.col("first_word") - F.col("left")).alias("start"), (F.col("first_word") + WINDOW + F.col("right")).alias("end"), F.lit(False).alias("keep"))
+    own = [F.when(F.col("keep"), 0).otherwise(F.col(c)) for c in ("left", "right")]
+    firsts = met.groupBy("h", "no_id0", "doc_id0", "own0", "first_word0").agg(F.max(own[0]).alias("left"), F.max(own[1]).alias("right"))
+    firsts = firsts.select(*[F.col(f"{c}0").alias(c) for c in _OWNER], "h", (F.col("first_word0") - F.col("left")).alias("start"), (F.col("first_word0") + WINDOW + F.col("right")).alias("end"), F.lit(True).alias("keep"))
+    return others.unionByName(firsts)
+
+
+def _joined(some: list[tuple[int, int, int]]) -> list[list]:
+    """[start, end, windows] of (start, end, window) in order, those that overlap or touch joined."""
+    out: list[list] = []
+    for start, end, h in some:
+        if out and start <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], end)
+            out[-1][2].append(h)
+        else:
+            out.append([start, end, [h]])
+    return out
+
+
+def _own_spans(some: list[tuple[int, int, int, bool]]) -> list[tuple[int, int, bool, list[int]]]:
+    """(start, end, keep, windows) of one document: what is removed, and what is kept less what is removed.
+
+    Windows to be kept of which nothing is left go with the removed span over them.
+    """
+    some.sort()
+    gone, kept = (_joined([x[:3] for x in some if x[3] is k]) for k in (False, True))
+    out = []
+    for start, end, hs in kept:
+        at, over = start, []
+        pieces = []
+        for g in gone:
+            if g[0] < end and g[1] > start:
+                over.append(g)
+                if g[0] > at:
+                    pieces.append((at, g[0]))
+                at = max(at, g[1])
+        if at < end:
+            pieces.append((at, end))
+        out += [(x, y, True, hs) for x, y in pieces]
+        if not pieces:
+            over[0][2].extend(hs)
+    return out + [(x, y, False, hs) for x, y, hs in gone]
+
+
+def _spans(reaches: DataFrame) -> DataFrame:
+    """Rows (owner, first_word, n_words, keep, hs) of each document's spans, with the windows in them."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for no_id, doc_id, own, start, end, h, keep in zip(*[batch[c] for c in (*_OWNER, "start", "end", "h", "keep")], strict=True):
+                for x, y, k, hs in _own_spans(list(zip(start.tolist(), end.tolist(), h.tolist(), keep.tolist(), strict=True))):
+                    out.append((no_id, doc_id, own, x, y - x, k, hs))
+            if out:
+                yield pd.DataFrame(out, columns=[*_OWNER, "first_word", "n_words", "keep", "hs"])
+
+    held = reaches.groupBy(*_OWNER).agg(F.collect_list(F.struct("start", "end", "h", "keep")).alias("w"))
+    held = held.select(*_OWNER, *[F.col(f"w.{c}").alias(c) for c in ("start", "end", "h", "keep")])
+    return held.mapInPandas(read, "no_id boolean, doc_id long, own long, first_word int, n_words int, keep boolean, hs array<long>")
+
+
+def repeated_passages(docs: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per occurrence of a passage that two documents or more share.
+
+    doc_id, first_word (counted in the whole text from 0), n_words, kind (`paragraph` or `span`), component_id, keep. Of the
+    paragraphs of a component the first is kept. Of the occurrences of each window outside of removed paragraphs the first
+    is kept, and spans of others are removed, so a removed word has an earlier place that stays.
+    """
+    rows = materialise(paragraphs(docs, min_words, id_col, text_col), "paragraphs")
+    links = materialise(paragraph_links(docs, rows, similarity, min_words, id_col, text_col), "links")
+    lines = materialise(_lines(rows, links), "lines")
+    windows = rows.where("kind = 1").select("h", *_OWNER, "first_word")
+    common = windows.groupBy("h").agg(F.min(_document()).alias("lo"), F.max(_document()).alias("hi")).where("lo <> hi").select("h")
+    around = materialise(_around(rows, windows.join(common, "h"), lines.where("not keep")), "around")
+    spans = materialise(_spans(_reaches(around)), "spans")
+    edges = spans.select(F.get("hs", F.lit(0)).alias("a"), F.explode("hs").alias("b"))
+    named = connected_components(edges).select(F.col("node").alias("h"), "component")
+    spans = spans.withColumn("h", F.get("hs", F.lit(0))).join(named, "h")
+
+    one = lambda df, kind: df.select(*_OWNER, "first_word", "n_words", F.lit(kind).alias("kind"), "component", "keep")
+    both = one(lines, "paragraph").unionByName(one(spans, "span"))
+    return both.select(F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), "first_word", "n_words", "kind", F.col("component").alias("component_id"), "keep")
 
 
 def without_repeats(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -159,6 +159,27 @@ def test_unlinked_pairs_hold_every_similar_pair(spark, seed):
     assert want and want <= got
 
 
+def _words(k, prefix):
+    return [f"{prefix}{i}" for i in range(k)]
+
+
+def test_every_repeated_word_stays_once(spark):
+    """A quotation from a text that others hold whole; excerpts that overlap in a chain; a near copy that is quoted."""
+    whole, chain, near = _words(500, "p"), _words(400, "q"), _words(300, "r")
+    near_copy = near[:100] + _words(28, "s") + near[128:]
+    texts = [_words(40, "a") + whole[200:260] + _words(40, "b"), _words(30, "c") + whole, whole + _words(30, "d")]
+    texts += [_words(20, f"e{i}.") + chain[i * 60 : i * 60 + 120] for i in range(5)]
+    texts += [near, near_copy, _words(20, "f") + near_copy[100:128] + _words(20, "g")]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = passages.repeated_passages(df)
+    left = {r["doc_id"]: (r["text"] or "").split() for r in passages.without_repeats(df, found).collect()}
+    counts = Counter(w for t in left.values() for w in t)
+    assert set(whole) | set(chain[:360]) | set(near) | set(_words(28, "s")) <= set(counts)
+    rows = found.where("kind = 'span'").collect()
+    cut = {(r["doc_id"], i) for r in rows if not r["keep"] for i in range(r["first_word"], r["first_word"] + r["n_words"])}
+    assert not cut & {(r["doc_id"], i) for r in rows if r["keep"] for i in range(r["first_word"], r["first_word"] + r["n_words"])}
+
+
 # 2
 
 def test_hilbert_neighbours_and_bijection():
