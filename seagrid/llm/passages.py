@@ -15,7 +15,8 @@ A repeated passage need not be a paragraph: it can stand inside longer lines or
 the text's windows of `WINDOW` words are winnowed: of each `CHOICE` neighbouring windows the one with
 the least hash is chosen, which depends on its words only. Documents that share WINDOW + CHOICE - 1
 words (50) share a chosen window for certain. Chosen windows that several documents have are repeats.
-In a document those that overlap or touch are joined to a span.
+Each is extended both ways while the words agree with those of its first occurrence, and in a document
+those that overlap or touch are joined to a span.
 
 Paragraphs of equal words are one node, so copies are never compared, and hot texts are counted
 before the shuffle. Defined cases: null and empty texts have no paragraphs; words are split at ASCII
@@ -342,7 +343,9 @@ def _reaches(around: DataFrame) -> DataFrame:
         for batch in batches:
             if not len(batch):
                 continue
-            left = right = np.zeros(len(batch), np.int64)
+            a, b = (np.frombuffer(b"".join(batch[c]), "<u4").reshape(-1, 2 * REACH) for c in ("words", "words0"))
+            same = (a == b) & (a != _NONE)
+            left, right = np.cumprod(same[:, :REACH], 1).sum(1), np.cumprod(same[:, REACH:], 1).sum(1)
             yield batch.drop(columns=["words", "words0"]).assign(left=left, right=right)
 
     schema = "no_id boolean, doc_id long, own long, first_word int, h long, no_id0 boolean, doc_id0 long, own0 long, first_word0 int, left int, right int"

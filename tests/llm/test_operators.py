@@ -163,6 +163,21 @@ def _words(k, prefix):
     return [f"{prefix}{i}" for i in range(k)]
 
 
+@pytest.mark.parametrize("k", [51, 60, 80, 120])
+def test_spans_reach_the_ends_of_a_repeat(spark, k):
+    """Inside longer lines and over several lines, at the start and the end of a text."""
+    p = _words(k, "p")
+    first = " ".join(_words(40, "a") + p + _words(40, "b"))
+    inside = " ".join(_words(33, "c") + p + _words(21, "d"))
+    over = " ".join(_words(30, "e")) + "\n" + " ".join(p[:20]) + "\n" + " ".join(p[20:])
+    df = spark.createDataFrame(list(enumerate([first, inside, over])), "doc_id long, text string")
+    found = passages.repeated_passages(df)
+    got = sorted((r["doc_id"], r["first_word"], r["n_words"], r["keep"]) for r in found.where("kind = 'span'").collect())
+    assert got == [(0, 40, k, True), (1, 33, k, False), (2, 30, k, False)]
+    left = {r["doc_id"]: r["text"].split() for r in passages.without_repeats(df, found).collect()}
+    assert left == {0: first.split(), 1: _words(33, "c") + _words(21, "d"), 2: _words(30, "e")}
+
+
 def test_every_repeated_word_stays_once(spark):
     """A quotation from a text that others hold whole; excerpts that overlap in a chain; a near copy that is quoted."""
     whole, chain, near = _words(500, "p"), _words(400, "q"), _words(300, "r")
@@ -175,6 +190,7 @@ def test_every_repeated_word_stays_once(spark):
     left = {r["doc_id"]: (r["text"] or "").split() for r in passages.without_repeats(df, found).collect()}
     counts = Counter(w for t in left.values() for w in t)
     assert set(whole) | set(chain[:360]) | set(near) | set(_words(28, "s")) <= set(counts)
+    assert max(counts.values()) == 1
     rows = found.where("kind = 'span'").collect()
     cut = {(r["doc_id"], i) for r in rows if not r["keep"] for i in range(r["first_word"], r["first_word"] + r["n_words"])}
     assert not cut & {(r["doc_id"], i) for r in rows if r["keep"] for i in range(r["first_word"], r["first_word"] + r["n_words"])}
