@@ -196,6 +196,14 @@ def test_every_repeated_word_stays_once(spark):
     assert not cut & {(r["doc_id"], i) for r in rows if r["keep"] for i in range(r["first_word"], r["first_word"] + r["n_words"])}
 
 
+def test_rows_without_id_are_documents_of_their_own(spark):
+    p = _words(60, "p")
+    texts = [_words(40, "a") + p + _words(40, "b"), _words(70, "c") + p, _words(300, "d")]
+    df = spark.createDataFrame([(None, " ".join(t)) for t in texts], "doc_id long, text string")
+    got = sorted((r["first_word"], r["n_words"], r["keep"]) for r in passages.repeated_passages(df).collect())
+    assert [x[:2] for x in got] == [(40, 60), (70, 60)] and sorted(x[2] for x in got) == [False, True]
+
+
 # 2
 
 def test_hilbert_neighbours_and_bijection():
