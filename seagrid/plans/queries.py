@@ -677,6 +677,14 @@ def b12_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bad.groupBy((F.col("msg_id") % 6).alias("sort"), "error").agg(F.count("*").alias("n")).where("sort IN (2, 3, 5)")
 
 
+@query("SELECT c_custkey % 6 AS sort, count(*) AS n, CASE c_custkey % 6 WHEN 2 THEN 'unknown model' WHEN 3 THEN 'no request found' WHEN 4 THEN 'bad hours' WHEN 5 THEN 'latitude out of range' END AS error FROM customer WHERE c_custkey % 6 > 1 GROUP BY ALL")
+def b12_quarantine_every_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All that is rejected; messages of sorts 0 and 1 have good requests only, and hours of 0..144 are malformed."""
+    messages, lines = derived.messages(spark, sf_dir), _lines(spark, sf_dir)
+    _, bad = rq.quarantine(rq.parse_requests(lines), messages, lines)
+    return bad.groupBy((F.col("msg_id") % 6).alias("sort"), "error").agg(F.count("*").alias("n"))
+
+
 @query(
     "SELECT request_id, CASE WHEN kind = 'spot' THEN printf('spot gefs %6.2f,%6.2f %d-%d Hours', lat, lon, hours[1], hours[-1]) ELSE printf('gridded gefs %6.2f,%6.2f,%6.2f,%6.2f %d-%d Hours', n, s, e, w, hours[1], hours[-1]) END AS summary FROM requests"
 )
