@@ -8,18 +8,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from seagrid.operators.requests import extract_request_lines, parse_requests
+from seagrid.operators.requests import extract_request_lines, parse_requests, quarantine
 from seagrid.operators.runs import latest_run
 
 
 def answer_batch(messages: DataFrame, runs: DataFrame) -> DataFrame:
-    """Typed requests of messages (msg_id, body, received_at), each with the latest run of its model at its time."""
+    """Typed requests of messages (msg_id, body, received_at), each with its text and the latest run of its model at its time.
+
+    A message without a request is a row as well, with its error and its body as text.
+    """
     lines = extract_request_lines(messages).withColumn("request_id", F.concat_ws("-", "msg_id", "line_no"))
     requests = parse_requests(lines.select("request_id", "msg_id", "text"))
     times = messages.select("msg_id", F.date_trunc("hour", "received_at").alias("as_of"))
     newest = latest_run(runs, times.select("as_of")).withColumnRenamed("error", "run_error")
     met = requests.join(times, "msg_id").join(newest, ["as_of", "model"], "left")
-    return met.withColumn("error", F.coalesce("error", "run_error")).drop("run_error")
+    met = met.withColumn("error", F.coalesce("error", "run_error")).drop("run_error").join(lines.select("request_id", "text"), "request_id")
+    _, rejected = quarantine(requests, messages, lines)
+    silent = rejected.where("request_id is null").join(times, "msg_id")
+    return met.unionByName(silent, allowMissingColumns=True)
 
 
 def answer_stream(messages: DataFrame, runs: Callable[[], DataFrame], path: str, checkpoint: str, **options) -> StreamingQuery:

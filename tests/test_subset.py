@@ -154,3 +154,9 @@ def test_stream_gives_what_the_batch_gives(spark):
     got = spark.read.parquet(f"{at}/out").drop("batch_id")
     want = answer_batch(messages, derived.runs(spark, SF)).select(*got.columns)
     assert got.count() == want.count() > 0 and got.exceptAll(want).count() == 0
+
+
+def test_messages_without_a_request_are_rows_of_the_batch(spark):
+    messages = spark.createDataFrame([(1, "Hello\nsend nomodel:1n,2n,3e,4e"), (2, "please help"), (3, None)], "msg_id int, body string").withColumn("received_at", F.timestamp_seconds(F.lit(1704200000)))
+    got = {(r["msg_id"], r["request_id"], r["text"], r["error"]) for r in answer_batch(messages, derived.runs(spark, SF)).collect()}
+    assert got == {(1, "1-1", "send nomodel:1n,2n,3e,4e", "unknown model"), (2, None, "please help", "no request found"), (3, None, None, "no request found")}
