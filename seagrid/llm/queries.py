@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seagrid.llm import exact_dedup, hilbert, isolation, mixing, passages, scan_encode, simhash, token_counts, token_files, url_filter
-from seagrid.llm.common import table
+from seagrid.llm.common import materialise, table
 
 #: Fixed values of the URL contract.
 URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
@@ -37,8 +37,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = token_counts.prefix_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), with_steps=False)
-    return counts.drop("steps")
+    counts = token_counts.prefix_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return materialise(counts, "steps").drop("steps")
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

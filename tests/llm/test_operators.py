@@ -448,6 +448,23 @@ def test_unigram_lattice_finds_the_best_score(tmp_path):
     assert scan_encode.compose(a, b)[scan_encode.START][scan_encode.START] == pytest.approx(pieces.forward(text)[2][-1])
 
 
+def test_the_query_stores_its_steps(spark):
+    from pathlib import Path
+
+    from seagrid.llm.common import shared_dir
+    from seagrid.llm.queries import op6
+    from tests.oracle import SF
+
+    at = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(at.glob("seagrid-steps-*"))
+    got = op6(spark, SF)
+    assert "steps" not in got.columns
+    (new,) = set(at.glob("seagrid-steps-*")) - before
+    stored = spark.read.parquet(f"file://{new}").collect()
+    assert len(stored) == got.count() > 0
+    assert all(token_counts.tokens_at(bytes(r["steps"]), len(r["steps"])) == r["n_tokens"] for r in stored)
+
+
 # 8
 
 def _plain(t):
