@@ -14,16 +14,51 @@ white space kept, as in the public file; anything else is refused when the model
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import chain
+
+import numpy as np
 
 MARK = "▁"
 _NEVER = float("-inf")
 _UNIT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 _LINE_UNIT = re.compile(f"{MARK}+[^{MARK}\\n]*|\\n|[^{MARK}\\n]+")
-_STATES = 250_000
 _PAIRS = 400_000
+_PAIR_SLOTS = 1 << 20
 _UNITS = 300_000
 _SHORT = 64
+_AT_ONCE = 400_000  # characters of units that go through the lattice together
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+class _Table:
+    """A fixed map from integers to integers, looked up for whole arrays; -1 where there is none."""
+
+    def __init__(self, entries: dict[int, int]):
+        bits = max(4, (4 * len(entries)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int32)
+        keys, values = (np.fromiter(x, np.int64, len(entries)) for x in (entries.keys(), entries.values()))
+        at = self._home(keys)
+        while len(keys):
+            free = self.keys[at] < 0
+            self.keys[at[free]] = keys[free]
+            own = self.keys[at] == keys
+            self.values[at[own]] = values[own]
+            keys, values, at = keys[~own], values[~own], at[~own] + 1 & self.mask
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * _MIX >> self.shift).astype(np.int64)
+
+    def __getitem__(self, keys: np.ndarray) -> np.ndarray:
+        at = self._home(keys)
+        found, out = self.keys[at], self.values[at]
+        left = np.flatnonzero((found != keys) & (found >= 0))
+        while len(left):
+            at[left] = at[left] + 1 & self.mask
+            found[left], out[left] = self.keys[at[left]], self.values[at[left]]
+            left = left[(found[left] != keys[left]) & (found[left] >= 0)]
+        return out
 
 
 class Pieces:
@@ -52,10 +87,45 @@ class Pieces:
         #: No piece goes on past the start of a new run of spaces: what stands before and after one is encoded alone.
         self.cuts = not any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids)
         self.feeds = self.cuts and "\n" not in self.chars
-        self._states: dict[str, int] = {}
+        if self.bpe and not self.chars <= self.ids.keys():
+            raise ValueError("only models with a piece for each character of a piece are supported")
         norm.add_dummy_prefix = False
         self._bare = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
         self._pairs: dict[int, bool] = {}
+        if self.bpe:
+            self._index()
+
+    def _index(self) -> None:
+        """The pieces, read backwards, as a trie of arrays, and a table of the pairs met before."""
+        self._class = np.zeros(0x110000, np.uint16)
+        self._class[[ord(c) for c in sorted(self.chars)]] = np.arange(1, len(self.chars) + 1)
+        number = {c: i + 1 for i, c in enumerate(sorted(self.chars))}
+        nodes: dict[int, int] = {}
+        ends = {}
+        for piece, i in self.ids.items():
+            at = 0
+            for c in reversed(piece):
+                at = nodes.setdefault(at << 16 | number[c], len(nodes) + 1)
+            ends[at] = i
+        self._trie = _Table(nodes)
+        self._ends = np.full(len(nodes) + 1, -1, np.int32)
+        self._ends[list(ends)] = list(ends.values())
+        self._pair_keys, self._pair_ok = np.full(_PAIR_SLOTS, -1, np.int64), np.zeros(_PAIR_SLOTS, bool)
+
+    def _follow(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """`follows` of arrays of pieces; left is negative where there is none."""
+        keys = left.astype(np.int64) << 20 | right
+        at = (keys.astype(np.uint64) * _MIX >> np.uint64(64 - _PAIR_SLOTS.bit_length() + 1)).astype(np.int64)
+        ok = self._pair_ok[at] | (left < 0)
+        new = np.flatnonzero((self._pair_keys[at] != keys) & (left >= 0))
+        if len(new):
+            pairs, which = np.unique(keys[new], return_inverse=True)
+            both = list(zip((pairs >> 20).tolist(), (pairs & (1 << 20) - 1).tolist(), strict=True))
+            alone = self._bare.encode([(self.text[a] + self.text[b]).replace(MARK, " ") for a, b in both], num_threads=1)
+            good = np.array([x == [a, b] for x, (a, b) in zip(alone, both, strict=True)], bool)
+            ok[new] = good[which]
+            self._pair_keys[at[new]], self._pair_ok[at[new]] = keys[new], ok[new]
+        return ok
 
     def marked(self, text: str) -> str:
         """The text as the model sees it."""
@@ -115,19 +185,9 @@ class Pieces:
         return last, size, best
 
     def _forward_bpe(self, text: str, last: list[int], size: list[int]) -> None:
-        """As above where every prefix has one path, so the first edge found is the edge.
-
-        What is known of a prefix holds for every text that begins with it, so it is remembered.
-        """
-        ids, pairs, longest, states = self.ids, self._pairs, self.longest, self._states
-        n = len(text)
-        known = n if n <= _SHORT else 0
-        while known and text[:known] not in states:
-            known -= 1
-        for at in range(1, known + 1):
-            state = states[text[:at]]
-            last[at], size[at] = (state >> 6) - 1, state & 63
-        for at in range(known + 1, n + 1):
+        """As above where every prefix has one path, so the first edge found is the edge."""
+        ids, pairs, longest = self.ids, self._pairs, self.longest
+        for at in range(1, len(text) + 1):
             for k in range(longest if at > longest else at, 0, -1):
                 if (p := ids.get(text[at - k : at])) is None:
                     continue
@@ -138,10 +198,52 @@ class Pieces:
                 break
             else:
                 last[at], size[at] = -1, 1
-            if at <= _SHORT and n <= _SHORT:
-                states[text[:at]] = last[at] + 1 << 6 | size[at]
-        if len(states) > _STATES:
-            states.clear()
+
+    def paths(self, units: list[str]) -> Paths:
+        """`forward` of many short units of a BPE model at once: one step for each place, over all units that reach it."""
+        n = len(units)
+        lens = np.fromiter(map(len, units), np.int64, n)
+        order = np.argsort(-lens, kind="stable")
+        text = "".join([units[i] for i in order])
+        lens = lens[order]
+        starts = np.cumsum(lens) - lens
+        codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        classes = self._class[codes].astype(np.int64)
+        place = np.arange(len(codes)) - np.repeat(starts, lens)
+
+        # All pieces that end at each place: bit k - 1 of `found` for one of k characters.
+        piece, found = np.full((self.longest, len(codes)), -1, np.int32), np.zeros(len(codes), np.int64)
+        at, node = np.arange(len(codes)), np.zeros(len(codes), np.int64)
+        for k in range(self.longest):
+            node = self._trie[node << 16 | classes[at - k]]
+            here = node >= 0
+            at, node = at[here], node[here].astype(np.int64)
+            end = self._ends[node]
+            some = end >= 0
+            piece[k, at[some]] = end[some]
+            found[at[some]] |= 1 << k
+            on = place[at] > k
+            at, node = at[on], node[on]
+            if not len(at):
+                break
+
+        last, size = np.full(len(codes), -1, np.int32), np.ones(len(codes), np.int32)
+        reach = np.searchsorted(-lens, -np.arange(int(lens[0]) if n else 0), side="left")
+        for p, m in enumerate(reach.tolist()):
+            ends = starts[:m] + p
+            left = found[ends]
+            todo = np.flatnonzero(left)
+            while len(todo):
+                k = np.frexp(left[todo].astype(np.float64))[1]
+                e = ends[todo]
+                what = piece[k - 1, e]
+                before = np.where(k <= p, last[e - np.minimum(k, p)], -2)
+                ok = self._follow(before, what)
+                last[e[ok]], size[e[ok]] = what[ok], k[ok]
+                todo, k = todo[~ok], k[~ok]
+                left[todo] ^= np.left_shift(np.int64(1), k - 1)
+                todo = todo[left[todo] != 0]
+        return Paths(self, order, starts, lens, codes, last, size, reach)
 
     def spell(self, piece: int, text: str) -> list[int]:
         """The ids of one edge: the piece, or the bytes of its character."""
@@ -155,63 +257,107 @@ class Pieces:
             at -= size[at]
         return [i for ids in reversed(out) for i in ids]
 
-    def prefix_counts(self, text: str) -> list[int]:
-        """Tokens of the encoding of every prefix of a unit, from the count at its last piece's start."""
+    def steps_of_unit(self, text: str) -> bytes:
+        """What each character adds to the tokens of the encoding of the prefix that ends with it, as signed bytes."""
         last, size, _ = self.forward(text)
         counts = [0]
         for at in range(1, len(text) + 1):
             counts.append(counts[at - size[at]] + (1 if last[at] >= 0 else len(text[at - 1].encode())))
-        return counts
+        return bytes([b - a & 255 for a, b in zip(counts, counts[1:], strict=False)])
 
 
-class UnitMemory:
-    """What `make` gives for each unit of a text, remembered for up to `most` units, then forgotten."""
-
-    def __init__(self, pieces: Pieces, make: Callable[[str], bytes], most: int = _UNITS):
-        self.pieces, self.make, self.most = pieces, make, most
-        self.after_space: dict[str, bytes] = {}  # by the unit without its one leading space
-        self.bare: dict[str, bytes] = {}
-        self.feed = make("\n")
-
-    def of_marked(self, marked: str) -> list[bytes]:
-        if len(self.bare) > self.most:
-            self.bare.clear()
-        bare, make, out = self.bare, self.make, []
-        for u in self.pieces.units(marked):
-            if (x := bare.get(u)) is None:
-                x = make(u)
-                if len(u) <= _SHORT:
-                    bare[u] = x
-            out.append(x)
+class Paths:
+    """The last piece and its characters of every prefix of many units, longest unit first, one after the other."""
+
+    def __init__(self, pieces: Pieces, order: np.ndarray, starts: np.ndarray, lens: np.ndarray, codes: np.ndarray, last: np.ndarray, size: np.ndarray, reach: np.ndarray):
+        self.pieces, self.order, self.starts, self.lens, self.last, self.size, self.reach = pieces, order, starts, lens, last, size, reach
+        self.codes = codes
+        #: Tokens of a last piece: one, or the bytes of a character without a piece.
+        self.weight = np.where(last >= 0, 1, 1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF)).astype(np.int32)
+
+    def _parts(self, raw: bytes, bounds: np.ndarray) -> list[bytes]:
+        """The slices of the units in the order in which they were given."""
+        at = bounds.tolist()
+        out: list[bytes] = [b""] * len(self.order)
+        for i, a, b in zip(self.order.tolist(), at[:-1], at[1:], strict=True):
+            out[i] = raw[a:b]
         return out
 
-    def of(self, text: str) -> list[bytes]:
-        """The values of a plain text's units in order."""
-        if MARK in text:
-            text = text.replace(MARK, " ")
-        if not text or not self.pieces.feeds or text[0] == " " or text[-1] == " " or "  " in text or " \n" in text or "\n " in text:
-            return self.of_marked(self.pieces.marked(text))
-        known, make, out = self.after_space, self.make, []
-        if len(known) > self.most:
-            known.clear()
-        for nth, line in enumerate(text.split("\n")):
-            words = line.split(" ")
-            got = list(map(known.get, words))
-            if nth:
-                out.append(self.feed)
-                got[0] = b"".join(self.of_marked(words[0]))
-            if None in got:
-                for i, x in enumerate(got):
-                    if x is None:
-                        w = words[i]
-                        if (x := known.get(w)) is None:
-                            x = make(MARK + w)
-                            if len(w) < _SHORT:
-                                known[w] = x
-                        got[i] = x
-            out += got
+    def steps(self) -> list[bytes]:
+        """As `steps_of_unit`, for each unit."""
+        counts = np.zeros(len(self.last), np.int32)
+        for p, m in enumerate(self.reach.tolist()):
+            e = self.starts[:m] + p
+            k = self.size[e]
+            counts[e] = np.where(k <= p, counts[e - np.minimum(k, p)], 0) + self.weight[e]
+        steps = np.diff(counts, prepend=np.int32(0))
+        steps[self.starts] = counts[self.starts]
+        return self._parts(steps.astype(np.int8).tobytes(), np.append(self.starts, len(counts)))
+
+    def ids(self) -> list[bytes]:
+        """As `encode_unit`, for each unit, in four bytes each."""
+        on = np.zeros(len(self.last), bool)
+        at, first = self.starts + self.lens - 1, self.starts
+        while len(at):
+            on[at] = True
+            at = at - self.size[at]
+            here = at >= first
+            at, first = at[here], first[here]
+        weight = np.where(on, self.weight, 0)
+        bounds = np.concatenate([[0], np.cumsum(weight)])
+        ids = np.repeat(self.last, weight)
+        for e in np.flatnonzero(on & (self.last < 0)).tolist():
+            ids[bounds[e] : bounds[e + 1]] = self.pieces.spell(-1, chr(self.codes[e]))
+        return self._parts(ids.tobytes(), 4 * bounds[np.append(self.starts, len(on))])
+
+
+class UnitMemory:
+    """What is made of each unit of a text, remembered for up to `most` units, then forgotten.
+
+    of_paths makes it for short units of a BPE model together, alone for one other unit.
+    """
+
+    def __init__(self, pieces: Pieces, of_paths: Callable[[Paths], list[bytes]], alone: Callable[[str], bytes], most: int = _UNITS):
+        self.pieces, self.of_paths, self.alone, self.most = pieces, of_paths, alone, most
+        self.known: dict[str, bytes] = {}
+
+    def _learn(self, missing: list[str]) -> list[str]:
+        """Remember the units; gives those that are too long to stay."""
+        short = [u for u in missing if len(u) <= _SHORT] if self.pieces.bpe else []
+        start = size = 0
+        for i, u in enumerate(short):
+            size += len(u)
+            if size > _AT_ONCE or i == len(short) - 1:
+                self.known.update(zip(short[start : i + 1], self.of_paths(self.pieces.paths(short[start : i + 1])), strict=True))
+                start, size = i + 1, 0
+        long = [u for u in missing if len(u) > _SHORT]
+        for u in missing if not self.pieces.bpe else long:
+            self.known[u] = self.alone(u)
+        return long
+
+    def of_marked(self, texts: list[str]) -> list[bytes]:
+        """The values of the units of each marked text, end to end."""
+        if len(self.known) > self.most:
+            self.known.clear()
+        units = [self.pieces.units(t) for t in texts]
+        known = self.known
+        long = self._learn(list(set(chain.from_iterable(units)).difference(known)))
+        out = [b"".join(map(known.__getitem__, u)) for u in units]
+        for u in long:
+            del known[u]
         return out
 
+    def of(self, texts: list[str]) -> Iterator[bytes]:
+        """The values of plain texts; those of few texts are held at a time."""
+        some, size = [], 0
+        for t in texts:
+            if some and size + len(t) > 10 * _AT_ONCE:
+                yield from self.of_marked(some)
+                some, size = [], 0
+            some.append(self.pieces.marked(t))
+            size += len(t)
+        yield from self.of_marked(some)
+
 
 _loaded: dict[str, Pieces] = {}
 

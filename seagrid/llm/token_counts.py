@@ -21,28 +21,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seagrid.llm.common import ready_workers
-from seagrid.llm.pieces import Pieces, UnitMemory, load
+from seagrid.llm.pieces import Paths, Pieces, UnitMemory, load
 
 LIMIT = 4096
 
 
 class PrefixCounter:
     def __init__(self, pieces: Pieces):
-        self.pieces = pieces
-        self.memory = UnitMemory(pieces, self._steps_of)
+        self.memory = UnitMemory(pieces, Paths.steps, pieces.steps_of_unit)
 
-    def _steps_of(self, unit: str) -> bytes:
-        counts = self.pieces.prefix_counts(unit)
-        return bytes([b - a & 255 for a, b in zip(counts, counts[1:], strict=False)])
-
-    def steps(self, text: str) -> np.ndarray:
-        """What each code point of the text adds to the count; their running sum is the count of each prefix."""
-        out = np.frombuffer(b"".join(self.memory.of(text)), np.int8)
-        if len(out):
-            out = out.copy()
-            out[1] += out[0]  # the added space counts with the first code point
-            out = out[1:]
-        return out
+    def steps(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """What each code point of a text adds to its count; their running sum is the count of each prefix."""
+        for raw in self.memory.of(texts):
+            out = np.frombuffer(raw, np.int8)
+            if len(out):
+                out = out.copy()
+                out[1] += out[0]  # the added space counts with the first code point
+                out = out[1:]
+            yield out
 
 
 def tokens_at(steps: bytes, prefix: int) -> int:
@@ -72,8 +68,8 @@ def prefix_counts(docs: DataFrame, model: str, limit: int = LIMIT, id_col: str =
         counter = _counters[model]
         for batch in batches:
             totals, fits, kept = [], [], []
-            for text in batch["text"]:
-                steps = counter.steps(text)
+            texts = batch["text"].tolist()
+            for text, steps in zip(texts, counter.steps(texts), strict=True):
                 n = int(steps.sum(dtype=np.int64))
                 totals.append(n)
                 fits.append(len(text) if n <= limit and (steps >= 0).all() else longest_within(steps, limit))
@@ -91,7 +87,12 @@ def prefix_counts(docs: DataFrame, model: str, limit: int = LIMIT, id_col: str =
 
 
 def truncated(docs: DataFrame, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with each text cut to its longest prefix within the limit; doc_id must be unique in both."""
-    fit = counts.select(F.col("doc_id").alias("__id"), F.col("fit_chars").alias("__fit"))
-    cut = docs.join(fit, docs[id_col] == fit["__id"], "left")
-    return cut.withColumn(text_col, F.substring(F.col(text_col), F.lit(1), F.coalesce("__fit", F.length(text_col)))).select(*docs.columns)
+    """docs with each text cut to its longest prefix within the limit; doc_id must be unique in both.
+
+    Rows without an id, and those whose id `counts` lacks, keep their text.
+    """
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    cut = rows.join(counts.select("doc_id", "fit_chars"), F.col(f"row.{id_col}") == F.col("doc_id"), "left")
+    text = F.col("row").getField(text_col)
+    short = F.substring(text, F.lit(1), F.coalesce("fit_chars", F.length(text)))
+    return cut.select(*[(short if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns])
