@@ -19,17 +19,17 @@ space, as in the library, so decoding gives a space for it.
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seagrid.llm.common import ready_workers, materialise
-from seagrid.llm.pieces import MARK, Pieces, UnitMemory, load
+from seagrid.llm.pieces import MARK, Paths, Pieces, UnitMemory, load
 
 CHUNK = 1 << 15
 BLOCK = 64
@@ -41,14 +41,14 @@ Matrix = dict[State, dict[State, float]]
 class ScanEncoder:
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
-        self.memory = UnitMemory(pieces, lambda u: np.array(pieces.encode_unit(u), np.int32).tobytes())
+        self.memory = UnitMemory(pieces, Paths.ids, lambda u: np.array(pieces.encode_unit(u), np.int32).tobytes())
 
-    def encode(self, text: str) -> np.ndarray:
-        """Ids of a plain text, unit by unit."""
-        return np.frombuffer(b"".join(self.memory.of(text)), np.int32)
+    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """Ids of plain texts, unit by unit."""
+        return (np.frombuffer(x, np.int32) for x in self.memory.of(texts))
 
     def encode_marked(self, marked: str) -> np.ndarray:
-        return np.frombuffer(b"".join(self.memory.of_marked(marked)), np.int32)
+        return np.frombuffer(self.memory.of_marked([marked])[0], np.int32)
 
     def states(self, left: str, right: str) -> list[State]:
         """All states at a cut between two contexts."""
@@ -137,6 +137,19 @@ class ScanEncoder:
         return [*head, *self.encode_marked(body[a:b]).tolist(), *self._trace(body[b:] + right, START, len(body) - b, goal, last)]
 
 
+def packed(matrix: Matrix) -> tuple[bytes, bytes]:
+    """A matrix as two arrays: six integers, the two states, and a score for each of its entries."""
+    entries = [(*s, *x, v) for s, row in matrix.items() for x, v in row.items()]
+    return np.array([e[:6] for e in entries], "<i4").tobytes(), np.array([e[6] for e in entries], "<f8").tobytes()
+
+
+def unpacked(states: bytes, scores: bytes) -> Matrix:
+    out: Matrix = {}
+    for (a, b, c, *x), v in zip(np.frombuffer(states, "<i4").reshape(-1, 6).tolist(), np.frombuffer(scores, "<f8").tolist(), strict=True):
+        out.setdefault((a, b, c), {})[tuple(x)] = v
+    return out
+
+
 def compose(first: Matrix, second: Matrix) -> Matrix:
     """The max-plus product."""
     out: Matrix = {}
@@ -200,35 +213,40 @@ def _chunks(giant: DataFrame, model: str, size: int) -> DataFrame:
 
 
 def _cut_states(chunks: DataFrame, model: str) -> DataFrame:
-    """Rows (uid, chunk, entry, goal): the states at both cuts of each chunk."""
+    """Rows (uid, chunk, ends): the states at both cuts of each chunk, three integers each."""
 
     def transfers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = _encoder(model)
         for batch in batches:
-            made = [pickle.dumps(encoder.transfer(r.before, r.body, r.after, r.chunk == 0, r.chunk == r.n_chunks - 1)) for r in batch.itertuples()]
-            yield pd.DataFrame({"uid": batch["uid"], "chunk": batch["chunk"], "block": batch["chunk"] // BLOCK, "matrix": made})
+            made = [packed(encoder.transfer(r.before, r.body, r.after, r.chunk == 0, r.chunk == r.n_chunks - 1)) for r in batch.itertuples()]
+            yield pd.DataFrame({"uid": batch["uid"], "chunk": batch["chunk"], "block": batch["chunk"] // BLOCK, "states": [m[0] for m in made], "scores": [m[1] for m in made]})
+
+    def read(pdf: pd.DataFrame) -> list[Matrix]:
+        return list(map(unpacked, pdf["states"], pdf["scores"]))
+
+    def pairs(path: list[State]) -> list[list[int]]:
+        return [[*a, *b] for a, b in zip(path[:-1], path[1:], strict=True)]
 
     def in_block(pdf: pd.DataFrame) -> pd.DataFrame:
-        matrices = [pickle.loads(m) for m in pdf.sort_values("chunk")["matrix"]]
-        whole = matrices[0]
-        for m in matrices[1:]:
-            whole = compose(whole, m)
-        return pd.DataFrame({"uid": pdf["uid"].iloc[:1], "block": pdf["block"].iloc[:1], "matrix": [pickle.dumps(whole)]})
+        states, scores = packed(reduce(compose, read(pdf.sort_values("chunk"))))
+        return pd.DataFrame({"uid": pdf["uid"].iloc[:1], "block": pdf["block"].iloc[:1], "states": [states], "scores": [scores]})
 
     def along(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("block")
-        path = states_between([pickle.loads(m) for m in pdf["matrix"]], START, START)
-        return pd.DataFrame({"uid": pdf["uid"], "block": pdf["block"], "ends": [pickle.dumps(p) for p in zip(path[:-1], path[1:], strict=True)]})
+        return pd.DataFrame({"uid": pdf["uid"], "block": pdf["block"], "ends": pairs(states_between(read(pdf), START, START))})
 
     def inside(key: tuple, matrices: pd.DataFrame, ends: pd.DataFrame) -> pd.DataFrame:
-        matrices = matrices.sort_values("chunk")
-        path = states_between([pickle.loads(m) for m in matrices["matrix"]], *pickle.loads(ends["ends"].iloc[0]))
-        return pd.DataFrame({"uid": matrices["uid"], "chunk": matrices["chunk"], "states": [pickle.dumps(p) for p in zip(path[:-1], path[1:], strict=True)]})
+        matrices, (start, goal) = matrices.sort_values("chunk"), _two_states(ends["ends"].iloc[0])
+        return pd.DataFrame({"uid": matrices["uid"], "chunk": matrices["chunk"], "ends": pairs(states_between(read(matrices), start, goal))})
+
+    matrices = materialise(chunks.mapInPandas(transfers, "uid long, chunk int, block int, states binary, scores binary"), "transfers")
+    blocks = matrices.groupBy("uid", "block").applyInPandas(in_block, "uid long, block int, states binary, scores binary")
+    ends = blocks.groupBy("uid").applyInPandas(along, "uid long, block int, ends array<int>")
+    return matrices.groupBy("uid", "block").cogroup(ends.groupBy("uid", "block")).applyInPandas(inside, "uid long, chunk int, ends array<int>")
+
 
-    matrices = materialise(chunks.mapInPandas(transfers, "uid long, chunk int, block int, matrix binary"), "transfers")
-    blocks = matrices.groupBy("uid", "block").applyInPandas(in_block, "uid long, block int, matrix binary")
-    ends = blocks.groupBy("uid").applyInPandas(along, "uid long, block int, ends binary")
-    return matrices.groupBy("uid", "block").cogroup(ends.groupBy("uid", "block")).applyInPandas(inside, "uid long, chunk int, states binary")
+def _two_states(ends: np.ndarray) -> tuple[State, State]:
+    return tuple(map(int, ends[:3])), tuple(map(int, ends[3:]))
 
 
 def encode(docs: DataFrame, model: str, chunk_chars: int = CHUNK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -237,13 +255,13 @@ def encode(docs: DataFrame, model: str, chunk_chars: int = CHUNK, id_col: str =
     def alone(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = _encoder(model)
         for batch in batches:
-            batch["ids"] = [encoder.encode(t) for t in batch["text"]]
+            batch["ids"] = list(encoder.encode(batch["text"].tolist()))
             yield batch[["doc_id", "no_id", "text_hash", "ids"]]
 
     def traced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = _encoder(model)
         for batch in batches:
-            batch["ids"] = [np.array(encoder.trace(r.before, r.body, r.after, *pickle.loads(r.states), r.chunk == r.n_chunks - 1), np.int32) for r in batch.itertuples()]
+            batch["ids"] = [np.array(encoder.trace(r.before, r.body, r.after, *_two_states(r.ends), r.chunk == r.n_chunks - 1), np.int32) for r in batch.itertuples()]
             yield batch[["uid", "chunk", "doc_id", "no_id", "text_hash", "ids"]]
 
     spark = docs.sparkSession
@@ -252,7 +270,7 @@ def encode(docs: DataFrame, model: str, chunk_chars: int = CHUNK, id_col: str =
     slim = docs.select(F.coalesce(F.col(id_col), F.lit(0)).cast("long").alias("doc_id"), F.col(id_col).isNull().alias("no_id"), text.alias("text"), F.xxhash64(F.translate(text, MARK, " ")).alias("text_hash"))
     short = slim.where(F.length("text") < chunk_chars).mapInPandas(alone, "doc_id long, no_id boolean, text_hash long, ids array<int>").withColumn("n_chunks", F.lit(1))
     chunks = _chunks(slim.where(F.length("text") >= chunk_chars), model, chunk_chars)
-    met = chunks.join(_cut_states(chunks, model), ["uid", "chunk"]).select("uid", "chunk", "n_chunks", "doc_id", "no_id", "text_hash", "before", "body", "after", "states")
+    met = chunks.join(_cut_states(chunks, model), ["uid", "chunk"]).select("uid", "chunk", "n_chunks", "doc_id", "no_id", "text_hash", "before", "body", "after", "ends")
     parts = met.mapInPandas(traced, "uid long, chunk int, doc_id long, no_id boolean, text_hash long, ids array<int>")
     whole = parts.groupBy("uid", "doc_id", "no_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("chunk", "ids"))).alias("parts"))
     whole = whole.select("doc_id", "no_id", "text_hash", F.flatten(F.col("parts.ids")).alias("ids"), F.size("parts").alias("n_chunks"))
@@ -261,7 +279,8 @@ def encode(docs: DataFrame, model: str, chunk_chars: int = CHUNK, id_col: str =
 
 
 def decoder(model: str):
-    """A function of a column of ids that gives the texts."""
+    """A function of a column of ids that gives the texts; null for null ids."""
+    ready_workers(SparkSession.active())
 
     @F.pandas_udf("string")
     def decode(ids: pd.Series) -> pd.Series:
@@ -271,7 +290,7 @@ def decoder(model: str):
             table[i] = t.replace(MARK, " ").encode()
         for b in range(256):
             table[pieces.byte0 + b] = bytes([b])
-        return pd.Series([b"".join(map(table.__getitem__, x.tolist())).decode("utf-8", "replace")[1:] for x in ids])
+        return pd.Series([None if x is None else b"".join(map(table.__getitem__, x.tolist())).decode("utf-8", "replace")[1:] for x in ids], dtype=object)
 
     return decode
 
