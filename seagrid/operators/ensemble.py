@@ -74,11 +74,19 @@ def bounding_box(df: DataFrame, by: list[str], pad: float = 0.0, pad_degrees: fl
 
 
 def central_point(df: DataFrame, by: list[str]) -> DataFrame:
-    """Rows (by..., lon, lat): the medians of the distinct longitudes, counted eastwards from the western one, and latitudes."""
+    """Rows (by..., lon, lat, error): the medians of the distinct longitudes, counted eastwards from the western one, and latitudes.
+
+    The two central longitudes must be less than 90 degrees apart, else there is an error and no longitude.
+    """
     lons = df.select(*by, angles.normalize(F.col("longitude")).alias("lon")).distinct().join(_west(df, by), by)
-    lon = lons.groupBy(*by).agg(F.percentile(F.pmod(F.col("lon") - F.col("west"), F.lit(360.0)), 0.5).alias("off"), F.first("west").alias("west"))
+    off = F.array_sort(F.collect_list(F.pmod(F.col("lon") - F.col("west"), F.lit(360.0)))).alias("offs")  # as many as the grid has columns
+    lon = lons.groupBy(*by).agg(off, F.first("west").alias("west"))
+    n = F.size("offs")
+    low, high = F.get("offs", F.floor((n - 1) / 2).cast("int")), F.get("offs", F.floor(n / 2).cast("int"))
     lat = df.select(*by, "latitude").distinct().groupBy(*by).agg(F.percentile("latitude", 0.5).alias("lat"))
-    return lon.join(lat, by).select(*by, angles.normalize(F.col("west") + F.col("off")).alias("lon"), "lat")
+    near = high - low < 90
+    middle = F.when(near, angles.normalize(F.col("west") + (low + high) / 2))
+    return lon.join(lat, by).select(*by, middle.alias("lon"), "lat", F.when(~near, F.lit("the centre is not defined")).alias("error"))
 
 
 def box_size(df: DataFrame, by: list[str], pad: float = 0.0) -> DataFrame:

@@ -200,7 +200,7 @@ def payload_manifest(payloads: DataFrame, variables: DataFrame, version: int = 1
 def read_manifest(manifest: DataFrame, version: int = 1) -> DataFrame:
     """Entries of manifests of a known version; others are errors."""
     error = F.coalesce("error", F.when(F.col("version") != version, F.lit("unknown version")))
-    return manifest.select("request_id", F.explode("entries").alias("x"), error.alias("error")).select("request_id", "x.variable", "x.size", "error")
+    return manifest.select("request_id", F.posexplode("entries").alias("nth", "x"), error.alias("error")).select("request_id", "nth", "x.variable", "x.size", "error")
 
 
 def combined_variable(df: DataFrame, parts: list[str], name: str = "combined") -> DataFrame:
@@ -209,6 +209,20 @@ def combined_variable(df: DataFrame, parts: list[str], name: str = "combined") -
     return df.withColumn(name, F.when(same, F.struct(*parts)))
 
 
+def combined_payload(payloads: DataFrame, by: list[str], parts: list[str], name: str = "combined") -> DataFrame:
+    """Rows (by..., variable, packed, error): the packed parts of rows (by..., variable, packed) side by side, in order.
+
+    A missing part or parts of different sizes are an error, and nothing is packed.
+    """
+    place = F.array_position(F.array(*[F.lit(p) for p in parts]), F.col("variable"))
+    got = payloads.where(F.col("variable").isin(parts)).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(place.alias("at"), F.hex("packed").alias("text")))).alias("parts"))
+    texts = F.transform("parts", lambda p: p["text"])
+    there = (F.size("parts") == len(parts)) & ~F.exists(texts, lambda t: t.isNull())
+    alike = F.size(F.array_distinct(F.transform(texts, F.length))) == 1
+    error = F.when(~there, F.lit("a part is missing")).when(~alike, F.lit("parts differ in size"))
+    return got.select(*by, F.lit(name).alias("variable"), F.when(there & alike, F.unhex(F.array_join(texts, ""))).alias("packed"), error.alias("error"))
+
+
 def quantization_error(df: DataFrame, value: str, decoded: str, by: list[str], circular: bool = False) -> DataFrame:
     """Rows (by..., max_error)."""
     error = F.abs(angles.diff(F.col(value), F.col(decoded), degrees=False)) if circular else F.abs(F.col(value) - F.col(decoded))

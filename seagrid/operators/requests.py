@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seagrid.functions import angles
-from seagrid.sources.dims import VARIABLES, alias_dim, model_alias_dim
+from seagrid.sources.dims import VARIABLES, alias_rows, model_alias_dim
 
 SEPARATOR = "[|/Ś]"
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)$"
@@ -83,9 +83,7 @@ def _bad(lats: Column, lons: Column, n: int) -> Column:
     )
 
 
-def parse_domain(text: Column) -> Column:
-    """struct (n, s, e, w, error) of a box given by four corners in any order."""
-    corners = _corners(text)
+def _domain_of(corners: Column) -> Column:
     lats, lons = F.array_sort(_of(corners, "lat")), angles.sorted_circular(F.transform(_of(corners, "lon"), lambda v: F.round(angles.normalize(v), 8)))
     error = F.coalesce(_bad(_of(corners, "lat"), _of(corners, "lon"), 2), F.when(F.size(corners) != 4, "expected four corners"))
     ok = error.isNull()
@@ -93,14 +91,22 @@ def parse_domain(text: Column) -> Column:
     return F.struct(pick(lats, 1).alias("n"), pick(lats, 0).alias("s"), pick(lons, 1).alias("e"), pick(lons, 0).alias("w"), error.alias("error"))
 
 
-def parse_location(text: Column) -> Column:
-    """struct (lat, lon, error) of one latitude and one longitude in either order."""
-    corners = _corners(text)
+def parse_domain(text: Column) -> Column:
+    """struct (n, s, e, w, error) of a box given by four corners in any order."""
+    return _domain_of(_corners(text))
+
+
+def _location_of(corners: Column) -> Column:
     error = F.coalesce(_bad(_of(corners, "lat"), _of(corners, "lon"), 1), F.when(F.size(corners) != 2, "expected two coordinates"))
     lat, lon = F.get(_of(corners, "lat"), F.lit(0)), F.round(angles.normalize(F.get(_of(corners, "lon"), F.lit(0))), 8)
     return F.struct(F.when(error.isNull(), lat).alias("lat"), F.when(error.isNull(), lon).alias("lon"), error.alias("error"))
 
 
+def parse_location(text: Column) -> Column:
+    """struct (lat, lon, error) of one latitude and one longitude in either order."""
+    return _location_of(_corners(text))
+
+
 def expand_hours(text: Column) -> Column:
     """An array of hours from a list with ellipses, null if it is malformed.
 
@@ -109,17 +115,24 @@ def expand_hours(text: Column) -> Column:
     tidy = F.regexp_replace(F.regexp_replace(text, r"\s+", ""), r",*\.\.+,*", "..")
     state = "struct<prev:bigint,out:array<bigint>,bad:boolean>"
 
+    def part(token: Column, nth: int) -> Column:
+        return F.substring_index(token, "..", nth).try_cast("bigint")
+
+    def read(token: Column) -> Column:
+        dots = F.length(token) - F.length(F.replace(token, F.lit(".."), F.lit("")))
+        return F.struct(part(token, 1).alias("first"), part(token, -1).alias("last"), dots.alias("dots"))
+
     def step(acc: Column, token: Column) -> Column:
-        ends = F.split(token, r"\.\.")
-        first, last = F.element_at(ends, 1).try_cast("bigint"), F.element_at(ends, -1).try_cast("bigint")
+        first, last = token["first"], token["last"]
         gap = first - acc["prev"]
-        one = F.when(F.size(ends) == 1, F.array(first)).when((F.size(ends) == 2) & (gap > 0) & (last >= first) & ((last - first) % F.nullif(gap, F.lit(0)) == 0), F.sequence(first, last, F.nullif(gap, F.lit(0))))
+        run = (token["dots"] == 2) & (gap > 0) & (last >= first) & ((last - first) % F.nullif(gap, F.lit(0)) == 0)
+        one = F.when(token["dots"] == 0, F.array(first)).when(run, F.sequence(first, last, F.nullif(gap, F.lit(0))))
         broken = acc["bad"] | one.isNull() | first.isNull() | last.isNull()
         return F.struct(F.coalesce(last, F.lit(0)).alias("prev"), F.concat(acc["out"], F.coalesce(one, F.array().cast("array<bigint>"))).alias("out"), F.coalesce(broken, F.lit(True)).alias("bad")).cast(state)
 
     start = F.struct(F.lit(0).alias("prev"), F.array().cast("array<bigint>").alias("out"), F.lit(False).alias("bad")).cast(state)
-    got = F.aggregate(F.split(tidy, ","), start, step)
-    return F.when(~got["bad"], got["out"].cast("array<int>"))
+    tokens = F.transform(F.split(tidy, ","), read)
+    return F.aggregate(tokens, start, step, lambda got: F.when(~got["bad"], got["out"].cast("array<int>")))
 
 
 def expand_days_interval(text: Column) -> tuple[Column, Column]:
@@ -143,57 +156,63 @@ def parse_resolution(text: Column) -> tuple[Column, Column, Column]:
     return value, warning, error
 
 
+def _names_met(text: Column) -> Column:
+    """Array of structs (name, variable) of the names in a comma-separated list; the variable is null for an unknown one."""
+    table = F.create_map(*[F.lit(x) for pair in alias_rows() for x in pair])
+    names = F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda x: F.lower(F.trim(x)))
+    find = lambda x: F.coalesce(F.try_element_at(table, x), F.try_element_at(table, F.regexp_replace(x, r"[\W_]", "")))
+    return F.transform(F.array_distinct(F.filter(names, lambda x: x != "")), lambda x: F.struct(x.alias("name"), find(x).alias("variable")))
+
+
+def _resolved(met: Column) -> tuple[Column, Column, Column]:
+    """(variables, unknown, error) of the names met."""
+    found = F.sort_array(F.array_distinct(F.array_compact(F.transform(met, lambda x: x["variable"]))))
+    unknown = F.sort_array(F.transform(F.filter(met, lambda x: x["variable"].isNull()), lambda x: x["name"]))
+    none = F.size(found) == 0
+    return F.when(~none, found).when(F.size(met) == 0, F.array(F.lit("wind"))), unknown, F.when(none & (F.size(met) > 0), F.lit("no known variable"))
+
+
 def resolve_variables(requests: DataFrame, key: str = "request_id", text: str = "variables_text") -> DataFrame:
     """Rows (key, variables, unknown, error): the variables of a comma-separated list, by name or alias.
 
     Nothing asked means wind; unknown names are listed; nothing known is an error.
     """
-    names = requests.select(key, F.explode_outer(F.split(F.col(text), ",")).alias("raw"))
-    names = names.withColumn("name", F.lower(F.trim("raw"))).where("name <> '' or name is null").distinct()
-    dim = F.broadcast(alias_dim(requests.sparkSession))
-    plain = F.regexp_replace("name", r"[\W_]", "")
-    met = names.join(dim.select(F.col("alias").alias("a1"), F.col("variable").alias("v1")), F.col("name") == F.col("a1"), "left")
-    met = met.join(dim.select(F.col("alias").alias("a2"), F.col("variable").alias("v2")), plain == F.col("a2"), "left")
-    met = met.withColumn("variable", F.coalesce("v1", "v2"))
-    got = met.groupBy(key).agg(F.sort_array(F.collect_set("variable")).alias("found"), F.sort_array(F.collect_set(F.when(F.col("variable").isNull(), F.col("name")))).alias("unknown"))
-    got = requests.select(key).join(got, key, "left")
-    none = F.coalesce(F.size("found"), F.lit(0)) == 0
-    asked = F.coalesce(F.size("unknown"), F.lit(0)) > 0
-    variables = F.when(~none, F.col("found")).when(~asked, F.array(F.lit("wind")))
-    return got.select(key, variables.alias("variables"), F.coalesce("unknown", F.array().cast("array<string>")).alias("unknown"), F.when(none & asked, "no known variable").alias("error"))
+    variables, unknown, error = _resolved(F.col("met"))
+    return requests.select(key, _names_met(F.col(text)).alias("met")).select(key, variables.alias("variables"), unknown.alias("unknown"), error.alias("error"))
 
 
 def parse_requests(lines: DataFrame) -> DataFrame:
-    """Typed requests from rows (request_id, msg_id, text).
+    """Typed requests from rows (request_id, msg_id, text); a projection, without a shuffle.
 
     request_id, msg_id, kind, model, n, s, e, w, lat, lon, resolution, hours, variables, send_image, warnings, error.
     """
-    routed = route_request(lines)
     field = lambda i: F.get("fields", F.lit(i))
     spot = F.col("kind") == "spot"
-    got = routed.withColumns({"box": parse_domain(field(0)), "place": parse_location(field(0))})
     value, r_warning, r_error = parse_resolution(field(1))
-    spot_hours, d_warning = expand_days_interval(field(1))
+    hours, d_warning = expand_days_interval(field(1))
     grid_text = F.coalesce(F.nullif(field(2), F.lit("")), F.lit("24,48,72"))
+    got = route_request(lines).withColumns({"corners": _corners(field(0)), "met": _names_met(F.when(spot, field(2)).otherwise(field(3)))})
+    variables, unknown, v_error = _resolved(F.col("met"))
     got = got.withColumns(
         {
+            "box": F.when(~spot, _domain_of(F.col("corners"))),
+            "place": F.when(spot, _location_of(F.col("corners"))),
             "resolution": F.when(~spot, value),
-            "hours": F.when(spot, spot_hours).otherwise(expand_hours(grid_text)),
-            "variables_text": F.when(spot, field(2)).otherwise(field(3)),
+            "hours": F.when(spot, hours).otherwise(expand_hours(grid_text)),
+            "variables": variables,
+            "unknown": F.transform(unknown, lambda u: F.concat(F.lit("unknown variable "), u)),
             "send_image": F.coalesce(F.exists(F.slice("fields", 4, F.greatest(F.size("fields"), F.lit(1))), lambda f: f == "image"), F.lit(False)),
             "more": F.array_compact(F.array(F.when(~spot, r_warning), F.when(spot, d_warning), F.when(~spot & (F.coalesce(field(2), F.lit("")) == ""), F.lit("no hours given, 24,48,72 used")))),
             "r_error": F.when(~spot, r_error),
+            "v_error": v_error,
         }
     )
-    named = resolve_variables(got).withColumnRenamed("error", "v_error")
-    got = got.join(named, "request_id")
-    unknown = F.transform("unknown", lambda u: F.concat(F.lit("unknown variable "), u))
     error = F.coalesce(F.col("error"), F.when(spot, F.col("place.error")).otherwise(F.col("box.error")), F.when(F.col("hours").isNull(), F.lit("bad hours")), F.col("r_error"), F.col("v_error"))
     return got.select(
         "request_id", "msg_id", "kind", "model",
-        *[F.when(~spot, F.col(f"box.{c}")).alias(c) for c in "nsew"],
-        *[F.when(spot, F.col(f"place.{c}")).alias(c) for c in ("lat", "lon")],
-        "resolution", "hours", "variables", "send_image", F.concat("warnings", "more", unknown).alias("warnings"), error.alias("error"),
+        *[F.col(f"box.{c}").alias(c) for c in "nsew"],
+        *[F.col(f"place.{c}").alias(c) for c in ("lat", "lon")],
+        "resolution", "hours", "variables", "send_image", F.concat("warnings", "more", "unknown").alias("warnings"), error.alias("error"),
     )
 
 
@@ -241,9 +260,11 @@ def available_variables(forecast: DataFrame) -> DataFrame:
 
 
 def the_variable(available: DataFrame) -> DataFrame:
-    """Rows (model, run_time, variable, error): the one variable of each run; several are an error."""
-    got = available.groupBy("model", "run_time").agg(F.min("variable").alias("variable"), F.count("*").alias("n"))
-    return got.select("model", "run_time", F.when(F.col("n") == 1, F.col("variable")).alias("variable"), F.when(F.col("n") > 1, "several variables").alias("error"))
+    """Rows (model, run_time, variable, error): the one variable of each run besides its coordinates; several are an error."""
+    own = F.when(~F.col("variable").isin("latitude", "longitude"), F.col("variable"))
+    got = available.groupBy("model", "run_time").agg(F.min(own).alias("variable"), F.countDistinct(own).alias("n"))
+    error = F.when(F.col("n") > 1, "several variables").when(F.col("n") == 0, "no variable")
+    return got.select("model", "run_time", F.when(F.col("n") == 1, F.col("variable")).alias("variable"), error.alias("error"))
 
 
 def delivery_policy(payloads: DataFrame, limit: int = 25_000) -> DataFrame:

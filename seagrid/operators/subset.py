@@ -12,22 +12,25 @@ from pyspark.sql import functions as F
 
 from seagrid.functions import angles
 
-TILE = 8
+TILE = 2
+FEW = 64
 _EPS = 1e-9
 
 
 def grid_spec(forecast: DataFrame) -> DataFrame:
-    """One row per model: origin, step and length of both axes, whether longitude wraps, whether both are uniform."""
-    out = None
-    for axis, idx, s in (("latitude", "lat_idx", "lat"), ("longitude", "lon_idx", "lon")):
-        cells = forecast.select("model", idx, axis).distinct()
-        along = Window.partitionBy("model").orderBy(idx)
-        steps = cells.withColumn("step", F.round(angles.diff_lag(F.col(axis), along), 4))
-        one = steps.groupBy("model").agg(
-            F.min_by(axis, idx).alias(f"{s}0"), F.max("step").alias(f"d{s}"), F.count("*").cast("int").alias(f"n_{s}"), (F.countDistinct("step") <= 1).alias(f"uniform_{s}")
-        )
-        out = one if out is None else out.join(one, "model")
-    return out.withColumn("lon_wraps", F.abs(F.abs(F.col("dlon")) * F.col("n_lon") - 360) < 1e-3)
+    """One row per model: origin, step and length of both axes, whether longitude wraps, whether both are uniform.
+
+    One pass over the cells; a row holds the values of two axes, as many as the grid has lines.
+    """
+    pairs = {"lat": F.struct(F.col("lat_idx").alias("i"), F.col("latitude").alias("x")), "lon": F.struct(F.col("lon_idx").alias("i"), F.col("longitude").alias("x"))}
+    axes = forecast.groupBy("model").agg(*[F.array_sort(F.collect_set(x)).alias(s) for s, x in pairs.items()])
+    out = {}
+    for s in pairs:
+        values = F.transform(s, lambda v: v["x"])
+        steps = F.zip_with(F.slice(values, F.lit(1), F.size(values) - 1), F.slice(values, F.lit(2), F.size(values)), lambda l, r: F.round(angles.diff(r, l), 4))
+        out |= {f"{s}0": F.get(values, F.lit(0)), f"d{s}": F.array_max(steps), f"n_{s}": F.size(s), f"uniform_{s}": F.size(F.array_distinct(steps)) <= 1}
+    spec = axes.select("model", *[c.alias(name) for name, c in out.items()])
+    return spec.withColumn("lon_wraps", F.abs(F.abs(F.col("dlon")) * F.col("n_lon") - 360) < 1e-3)
 
 
 def stride(resolution: Column, native: Column) -> Column:
@@ -97,41 +100,56 @@ def horizon_prune(forecast: DataFrame, max_hour: int) -> DataFrame:
 
 
 def select_hours(requests: DataFrame, leads: DataFrame) -> DataFrame:
-    """Rows (request_id, model, lead_hours, available) for each hour that a request asks for."""
-    asked = requests.select("request_id", "model", F.explode("hours").alias("lead_hours"))
-    there = leads.select("model", "lead_hours").distinct().withColumn("available", F.lit(True))
-    return asked.join(F.broadcast(there), ["model", "lead_hours"], "left").withColumn("available", F.coalesce("available", F.lit(False)))
+    """Rows (request_id, model, lead_hours, available) for each hour that a request asks for; by run where both tables have run_time."""
+    run = _run(requests, leads)
+    asked = requests.select("request_id", *run, F.explode("hours").alias("lead_hours"))
+    there = leads.select(*run, "lead_hours").distinct().withColumn("available", F.lit(True))
+    return asked.join(there, [*run, "lead_hours"], "left").withColumn("available", F.coalesce("available", F.lit(False)))
 
 
 def project_variables(forecast: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     return forecast.select(*keys, *columns)
 
 
-def _wanted(requests: DataFrame) -> DataFrame:
-    keep = ["request_id", "model", "lat_lo", "lat_hi", "lat_stride", "lon_w", "lon_span", "lon_stride", "n_lon"]
-    return requests.where("error is null").select(*keep, F.explode("hours").alias("lead_hours"))
+def _run(requests: DataFrame, forecast: DataFrame) -> list[str]:
+    """What names the run that a request is answered from: its model, and its run time where both tables have one."""
+    return ["model"] + ["run_time"] * ("run_time" in requests.columns and "run_time" in forecast.columns)
+
+
+def _wanted(requests: DataFrame, run: list[str]) -> DataFrame:
+    keep = ["request_id", *run, "lat_lo", "lat_hi", "lat_stride", "lon_w", "lon_span", "lon_stride", "n_lat", "n_lon"]
+    return requests.where("error is null").select(*keep, F.explode(F.array_distinct("hours")).alias("lead_hours"))
 
 
-def gridded_subset(requests: DataFrame, forecast: DataFrame) -> DataFrame:
+def gridded_subset(requests: DataFrame, forecast: DataFrame, few: int = FEW, tile: int = TILE) -> DataFrame:
     """Cells of every snapped request: request_id, lon_off, and the forecast's columns.
 
-    For requests few enough to broadcast: Catalyst hashes on model and hour and tests the ranges.
+    Up to `few` requests are broadcast, which leaves the forecast where it is: Catalyst hashes on model and hour and tests
+    the ranges. More are dealt to tiles, as each cell of an hour would else meet every request of that hour.
     """
-    met = forecast.join(_wanted(requests), ["model", "lead_hours"]).where(lat_covers() & lon_covers())
+    if requests.limit(few + 1).count() > few:
+        return gridded_subset_tiled(requests, forecast, tile)
+    run = _run(requests, forecast)
+    met = forecast.join(F.broadcast(_wanted(requests, run)), [*run, "lead_hours"]).where(lat_covers() & lon_covers())
     return met.select("request_id", *forecast.columns, lon_offset().alias("lon_off"))
 
 
-def gridded_subset_tiled(requests: DataFrame, forecast: DataFrame, n_lat: int, n_lon: int, tile: int = TILE) -> DataFrame:
+def gridded_subset_tiled(requests: DataFrame, forecast: DataFrame, tile: int = TILE) -> DataFrame:
     """The same for large request tables: requests are dealt to the tiles they touch, and joined on the tile.
 
-    n_lat and n_lon bound the axes. Each cell is in one tile, so nothing is met twice.
+    Each cell is in one tile, so nothing is met twice. A range over the seam touches the tiles from its western end to the
+    last, then those from the first to its eastern end.
     """
-    wanted = _wanted(requests)
-    lats = F.sequence(F.expr(f"lat_lo div {tile}"), F.least(F.expr(f"lat_hi div {tile}"), F.lit((n_lat - 1) // tile).cast("bigint")))
-    lons = F.array_distinct(F.transform(F.sequence(F.lit(0), F.col("lon_span")), lambda o: F.floor(F.pmod(F.col("lon_w") + o, F.col("n_lon")) / tile)))
-    wanted = wanted.withColumn("lat_tile", F.explode(lats)).withColumn("lon_tile", F.explode(lons))
-    cells = forecast.withColumns({"lat_tile": F.expr(f"lat_idx div {tile}"), "lon_tile": F.expr(f"cast(lon_idx div {tile} as bigint)")})
-    met = cells.join(wanted, ["model", "lead_hours", "lat_tile", "lon_tile"]).where(lat_covers() & lon_covers())
+    of = lambda c: F.floor(c / tile)
+    last = F.col("lon_w") + F.col("lon_span")
+    plain = F.sequence(of(F.col("lon_w")), of(last))
+    seam = F.concat(F.sequence(of(F.col("lon_w")), of(F.col("n_lon") - 1)), F.sequence(F.lit(0).cast("bigint"), of(F.greatest(last - F.col("n_lon"), F.lit(0)))))
+    lons = F.when(last < F.col("n_lon"), plain).otherwise(F.array_distinct(seam))
+    lats = F.sequence(of(F.col("lat_lo")), of(F.least("lat_hi", F.col("n_lat") - 1)))
+    run = _run(requests, forecast)
+    wanted = _wanted(requests, run).withColumn("lat_tile", F.explode(lats)).withColumn("lon_tile", F.explode(lons)).drop("n_lat")
+    cells = forecast.withColumns({"lat_tile": of(F.col("lat_idx")), "lon_tile": of(F.col("lon_idx"))})
+    met = cells.join(wanted, [*run, "lead_hours", "lat_tile", "lon_tile"]).where(lat_covers() & lon_covers())
     return met.select("request_id", *forecast.columns, lon_offset().alias("lon_off"))
 
 
@@ -141,17 +159,22 @@ def point_to_domain(requests: DataFrame) -> DataFrame:
     return requests.withColumns({"n": lat, "s": lat, "e": lon, "w": lon, "resolution": F.lit(None).cast("double")})
 
 
-def point_in_range(requests: DataFrame, spec: DataFrame) -> DataFrame:
-    """Spots with a column `inside`: whether the forecast reaches around the point."""
+def _in_range(requests: DataFrame, spec: DataFrame) -> DataFrame:
+    """Spots with the columns of their model's grid and `inside`."""
     met = requests.join(F.broadcast(spec), "model", "left")
     y, x = (F.col("lat") - F.col("lat0")) / F.col("dlat"), F.pmod(F.col("lon") - F.col("lon0"), F.lit(360.0)) / F.col("dlon")
     inside = y.between(0, F.col("n_lat") - 1) & (F.col("lon_wraps") | (x <= F.col("n_lon") - 1))
-    return met.withColumn("inside", F.coalesce(inside, F.lit(False))).select(*requests.columns, "inside")
+    return met.withColumn("inside", F.coalesce(inside, F.lit(False)))
 
 
-def bilinear_weights(requests: DataFrame, spec: DataFrame) -> DataFrame:
-    """Up to four rows (request_id, model, lat_idx, lon_idx, weight) per spot inside the forecast; weights add up to 1."""
-    met = point_in_range(requests, spec).where("inside").join(F.broadcast(spec), "model")
+def point_in_range(requests: DataFrame, spec: DataFrame) -> DataFrame:
+    """Spots with a column `inside`: whether the forecast reaches around the point."""
+    return _in_range(requests, spec).select(*requests.columns, "inside")
+
+
+def bilinear_weights(requests: DataFrame, spec: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Up to four rows (request_id, model, lat_idx, lon_idx, weight, carried columns) per spot inside the forecast; weights add up to 1."""
+    met = _in_range(requests, spec).where("inside")
     y = (F.col("lat") - F.col("lat0")) / F.col("dlat")
     x = F.pmod(F.col("lon") - F.col("lon0"), F.lit(360.0)) / F.col("dlon")
 
@@ -160,18 +183,13 @@ def bilinear_weights(requests: DataFrame, spec: DataFrame) -> DataFrame:
         part = F.when(at - low < _EPS, 0.0).otherwise(at - low)
         return F.array(F.struct(low.cast("int").alias("idx"), (1 - part).alias("wt")), F.struct((low + 1).cast("int").alias("idx"), part.alias("wt")))
 
-    rows = met.select("request_id", "model", "n_lon", F.explode(ends(y)).alias("a"), ends(x).alias("xs")).select("request_id", "model", "n_lon", "a", F.explode("xs").alias("b"))
-    rows = rows.select("request_id", "model", F.col("a.idx").alias("lat_idx"), F.expr("pmod(b.idx, n_lon)").alias("lon_idx"), (F.col("a.wt") * F.col("b.wt")).alias("weight"))
+    rows = met.select("request_id", "model", "n_lon", *carry, F.explode(ends(y)).alias("a"), ends(x).alias("xs")).select("request_id", "model", "n_lon", *carry, "a", F.explode("xs").alias("b"))
+    rows = rows.select("request_id", "model", F.col("a.idx").alias("lat_idx"), F.expr("pmod(b.idx, n_lon)").alias("lon_idx"), (F.col("a.wt") * F.col("b.wt")).alias("weight"), *carry)
     return rows.where("weight > 0")
 
 
-def spot_interpolate(requests: DataFrame, forecast: DataFrame, spec: DataFrame, variables: list[str], circular: tuple[str, ...] = ()) -> DataFrame:
-    """Rows (request_id, lead_hours, realization, variables...): the weighted sum over the corners of each spot.
-
-    A corner without a value makes the result null. Variables in `circular`, in degrees, go over unit vectors.
-    """
-    corners = bilinear_weights(requests, spec)
-    met = forecast.join(corners, ["model", "lat_idx", "lon_idx"])
+def _interpolated(corners: DataFrame, forecast: DataFrame, on: list[str], variables: list[str], circular: tuple[str, ...] = ()) -> DataFrame:
+    met = forecast.join(corners, on)
 
     def total(name: str) -> Column:
         if name in circular:
@@ -184,20 +202,34 @@ def spot_interpolate(requests: DataFrame, forecast: DataFrame, spec: DataFrame,
     return met.groupBy("request_id", "lead_hours", "realization").agg(*[total(v) for v in variables])
 
 
-def spot_subset(requests: DataFrame, forecast: DataFrame, spec: DataFrame, variables: list[str]) -> DataFrame:
-    """Spots cut out at native resolution for their hours, then interpolated."""
-    asked = select_hours(requests, forecast).where("available").select("request_id", F.col("lead_hours"))
-    return spot_interpolate(requests, forecast, spec, variables).join(asked, ["request_id", "lead_hours"])
+def spot_interpolate(requests: DataFrame, forecast: DataFrame, spec: DataFrame, variables: list[str], circular: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (request_id, lead_hours, realization, variables...): the weighted sum over the corners of each spot, at every hour.
+
+    A corner without a value makes the result null. Variables in `circular`, in degrees, go over unit vectors.
+    """
+    return _interpolated(bilinear_weights(requests, spec), forecast, ["model", "lat_idx", "lon_idx"], variables, circular)
+
+
+def spot_subset(requests: DataFrame, forecast: DataFrame, spec: DataFrame, variables: list[str], circular: tuple[str, ...] = ()) -> DataFrame:
+    """Spots cut out at native resolution for their hours, then interpolated: only asked hours are met. Hours that the forecast lacks are left out."""
+    run = _run(requests, forecast)
+    corners = bilinear_weights(requests, spec, ("hours", *run[1:]))
+    asked = corners.select("request_id", *run, "lat_idx", "lon_idx", "weight", F.explode(F.array_distinct("hours")).alias("lead_hours"))
+    return _interpolated(asked, forecast, [*run, "lead_hours", "lat_idx", "lon_idx"], variables, circular)
 
 
 def answer_requests(requests: DataFrame, forecast: DataFrame, spec: DataFrame, variables: list[str]) -> DataFrame:
-    """Both kinds in one table: request_id, kind, lead_hours, realization, latitude, longitude, variables."""
+    """Both kinds in one table: request_id, kind, lead_hours, realization, lat_idx, lon_off, latitude, longitude, variables.
+
+    lat_idx and lon_off order the cells of a request; both are 0 for a spot.
+    """
     grid = gridded_subset(snap_bounds(requests.where("kind = 'gridded'"), spec), forecast)
-    grid = grid.select("request_id", F.lit("gridded").alias("kind"), "lead_hours", "realization", "latitude", "longitude", *[F.col(v).cast("double").alias(v) for v in variables])
+    keys = ["lead_hours", "realization", F.col("lat_idx").cast("int").alias("lat_idx"), F.col("lon_off").cast("int").alias("lon_off"), "latitude", "longitude"]
+    grid = grid.select("request_id", F.lit("gridded").alias("kind"), *keys, *[F.col(v).cast("double").alias(v) for v in variables])
     spots = requests.where("kind = 'spot'")
     spot = spot_subset(spots, forecast, spec, variables).join(spots.select("request_id", "lat", "lon"), "request_id")
-    spot = spot.select("request_id", F.lit("spot").alias("kind"), "lead_hours", "realization", F.col("lat").alias("latitude"), F.col("lon").alias("longitude"), *variables)
-    return grid.unionByName(spot)
+    at = [F.lit(0).alias("lat_idx"), F.lit(0).alias("lon_off"), F.col("lat").alias("latitude"), F.col("lon").alias("longitude")]
+    return grid.unionByName(spot.select("request_id", F.lit("spot").alias("kind"), "lead_hours", "realization", *at, *variables))
 
 
 def nearest_cell(points: DataFrame, spec: DataFrame) -> DataFrame:
@@ -215,6 +247,17 @@ def take_index(df: DataFrame, axis: str, position: int, by: list[str]) -> DataFr
     return df.join(values.where(F.col("__nth") == (position + 1 if position >= 0 else -position)).drop("__nth"), [*by, axis])
 
 
+def single_value(df: DataFrame, axes: list[str], by: list[str]) -> DataFrame:
+    """Rows (by..., axes..., error): the one value of the axes, together, that a group must have; several are an error.
+
+    Used where one time or one place is required. A group has one row; the axes of a group in error are null.
+    """
+    one = F.struct(*axes)
+    got = df.groupBy(*by).agg(F.min(one).alias("lo"), F.max(one).alias("hi"))
+    same = F.col("lo") == F.col("hi")
+    return got.select(*by, *[F.when(same, F.col(f"lo.{a}")).alias(a) for a in axes], F.when(~same, F.lit(f"several values of {' and '.join(axes)}")).alias("error"))
+
+
 def forecast_kind(df: DataFrame, by: str = "request_id") -> DataFrame:
     """Rows (by, n_times, n_places, kind): `spot`, `one_time` or `many_times`."""
     got = df.groupBy(by).agg(F.countDistinct("lead_hours").alias("n_times"), F.countDistinct("latitude", "longitude").alias("n_places"))

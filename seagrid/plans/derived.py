@@ -7,6 +7,9 @@ tables of these shapes; only the registered queries use the derived ones.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 FORECAST = """
@@ -81,6 +84,16 @@ def forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _from(spark, sf_dir, "orders", FORECAST)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share; a temporary one of this machine only in local mode."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
+        named = "file://" + tempfile.mkdtemp(prefix="seagrid-")
+    return f"{named.rstrip('/')}/seagrid-{uuid.uuid4().hex}"
+
+
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _from(spark, sf_dir, "customer", REQUESTS)
 

@@ -37,6 +37,7 @@ CF_NAMES = {
     "lon": "longitude",
     "ens": "realization",
 }
+#: Unit of each variable.
 CF_UNITS = {
     "x_wind": "m/s",
     "y_wind": "m/s",
@@ -98,10 +99,14 @@ def variable_dim(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(VARIABLES, "name string, kind string, source_cols array<string>, unit string, edges array<double>, wrap boolean, digits int, ord int")
 
 
-def alias_dim(spark: SparkSession) -> DataFrame:
-    """Rows (alias, variable) of all names a request may use; names without a variable are left out."""
+def alias_rows() -> list[tuple[str, str]]:
+    """(alias, variable) of all names a request may use; names without a variable are left out."""
     known = {v[0] for v in VARIABLES}
-    return spark.createDataFrame([a for a in ALIASES if a[1] in known] + [(v, v) for v in sorted(known)], "alias string, variable string")
+    return [a for a in ALIASES if a[1] in known] + [(v, v) for v in sorted(known)]
+
+
+def alias_dim(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(alias_rows(), "alias string, variable string")
 
 
 def model_alias_dim(spark: SparkSession) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from seagrid.functions import angles
+from seagrid.functions.units import unit_dim
 from seagrid.sources.dims import CF_NAMES, CF_UNITS, export_dim
 
 KEYS = ["model", "run_time", "valid_time", "lead_hours", "realization", "lat_idx", "lon_idx", "latitude", "longitude"]
@@ -42,17 +43,22 @@ def kelvin_to_celsius(df: DataFrame, column: str) -> DataFrame:
 
 
 def zero_base_members(df: DataFrame, label: str = "realization") -> DataFrame:
-    """Member labels become 0..k-1 in each run; numbered on the distinct labels only."""
+    """Member labels become 0..k-1 in each run, numbered on the distinct labels only; rows without a label keep null."""
     run = Window.partitionBy("model", "run_time").orderBy(label)
-    labels = df.select("model", "run_time", label).distinct().withColumn("__member", (F.dense_rank().over(run) - 1).cast("int"))
-    return df.join(labels, ["model", "run_time", label]).withColumn(label, F.col("__member")).drop("__member")
+    labels = df.select("model", "run_time", label).where(F.col(label).isNotNull()).distinct().withColumn("__member", (F.dense_rank().over(run) - 1).cast("int"))
+    own, other = df.alias("own"), labels.alias("other")
+    same = F.col(f"own.{label}") == F.col(f"other.{label}")
+    for c in ("model", "run_time"):
+        same &= F.col(f"own.{c}").eqNullSafe(F.col(f"other.{c}"))
+    return own.join(other, same, "left").select(*[F.col("other.__member").alias(label) if c == label else F.col(f"own.{c}") for c in df.columns])
 
 
 def add_lead_hours(df: DataFrame) -> DataFrame:
-    """Hours since the run's first time; null where they are no whole number."""
-    first = df.groupBy("model", "run_time").agg(F.min("valid_time").alias("__first"))
+    """Hours since the run's first time; null where they are no whole number. Rows without a run time are a run of their own."""
+    first = df.groupBy(F.col("model").alias("__model"), F.col("run_time").alias("__run")).agg(F.min("valid_time").alias("__first"))
+    met = df.join(first, F.col("model").eqNullSafe(F.col("__model")) & F.col("run_time").eqNullSafe(F.col("__run")))
     seconds = F.unix_seconds(F.col("valid_time").cast("timestamp")) - F.unix_seconds(F.col("__first").cast("timestamp"))
-    return df.join(first, ["model", "run_time"]).withColumn("lead_hours", F.when(seconds % 3600 == 0, (seconds / 3600).cast("int"))).drop("__first")
+    return met.withColumn("lead_hours", F.when(seconds % 3600 == 0, (seconds / 3600).cast("int"))).drop("__first", "__model", "__run")
 
 
 def normalize_longitude(df: DataFrame, column: str = "longitude") -> DataFrame:
@@ -70,11 +76,11 @@ def level_counts(df: DataFrame, column: str = "lev") -> DataFrame:
 
 
 def squeeze_level(df: DataFrame, column: str = "lev") -> DataFrame:
-    """df without a level column of one value; several levels are an error."""
-    seen = df.agg(F.min(column).alias("lo"), F.max(column).alias("hi")).first()
-    if seen["lo"] != seen["hi"]:
-        raise ValueError(f"{column} has several values")
-    return df.drop(column)
+    """df without a level column of one value in each run; a run of several levels fails when its rows are read."""
+    many = df.groupBy("model", "run_time").agg(F.min(column).alias("__lo"), F.max(column).alias("__hi")).where("__lo <> __hi")
+    told = many.select(F.col("model").alias("__model"), F.col("run_time").alias("__run"), F.raise_error(F.concat(F.lit(f"{column} has several values in a run of "), F.coalesce("model", F.lit("no model")))).alias("__error"))
+    met = df.join(F.broadcast(told), F.col("model").eqNullSafe(F.col("__model")) & F.col("run_time").eqNullSafe(F.col("__run")), "left")
+    return met.where("__error is null").select(*[c for c in df.columns if c != column])
 
 
 def concat_along(dfs: list[DataFrame], dim: str | None = None) -> DataFrame:
@@ -126,10 +132,31 @@ def grid_description(df: DataFrame, by: list[str]) -> DataFrame:
 
 
 def to_grib_codes(slices: DataFrame) -> DataFrame:
-    """Slices with parameter code, name, unit and level; values of temperatures in kelvin as the table has them."""
-    dim = export_dim(slices.sparkSession)
-    met = slices.join(F.broadcast(dim), "variable")
-    return met.withColumn("value", F.when(F.col("code_unit") == "K", F.col("value") + 273.15).otherwise(F.col("value")))
+    """Slices with parameter code, name, unit and level, values in the table's unit, and error.
+
+    A row's unit is its column `unit` where slices have one, else the variable's own. Between units of one family values
+    go by factor; degrees Celsius and kelvin by offset; other names are taken for the same unit. A lead that is no whole
+    number of hours, or a unit of another family, is an error, and the value is null.
+    """
+    spark = slices.sparkSession
+    met = slices.join(F.broadcast(export_dim(spark)), "variable")
+    own = F.create_map(*[F.lit(x) for pair in CF_UNITS.items() for x in pair])
+    unit = F.try_element_at(own, F.col("variable"))
+    met = met.withColumn("unit", F.coalesce("unit", unit) if "unit" in slices.columns else unit)
+    dim = unit_dim(spark)
+    for name in ("unit", "code_unit"):
+        side = dim.select(F.col("unit").alias(name), F.col("family").alias(f"{name}_family"), F.col("factor").alias(f"{name}_factor"))
+        met = met.join(F.broadcast(side), name, "left")
+    kelvin = (F.col("unit") == "degC") & (F.col("code_unit") == "K")
+    foreign = F.coalesce(F.col("unit_family") != F.col("code_unit_family"), F.lit(False))
+    error = F.when(foreign, F.lit("unit of another family"))
+    if "lead_hours" in slices.columns:
+        lead = F.col("lead_hours").cast("double")
+        error = F.when(lead.isNull() | (lead != F.floor(lead)), F.lit("lead is no whole hour")).otherwise(error)
+    factor = F.coalesce(F.col("unit_factor") / F.col("code_unit_factor"), F.lit(1.0))
+    value = F.when(kelvin, F.col("value") + 273.15).otherwise(F.col("value") * factor)
+    met = met.withColumn("error", error).withColumn("value", F.when(F.col("error").isNull(), value))
+    return met.drop("unit_family", "unit_factor", "code_unit_family", "code_unit_factor")
 
 
 def write_payloads(df: DataFrame, path: str) -> None:

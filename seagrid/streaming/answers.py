@@ -8,33 +8,48 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from seagrid.operators.payloads import sent, source_columns
 from seagrid.operators.requests import extract_request_lines, parse_requests, quarantine
 from seagrid.operators.runs import latest_run
+from seagrid.operators.subset import answer_requests, grid_spec, select_hours
 
 
-def answer_batch(messages: DataFrame, runs: DataFrame) -> DataFrame:
-    """Typed requests of messages (msg_id, body, received_at), each with its text and the latest run of its model at its time.
+def answer_batch(messages: DataFrame, runs: DataFrame, forecast: DataFrame, spec: DataFrame | None = None) -> DataFrame:
+    """Answers to messages (msg_id, body, received_at): one row per request, one for each message without a request.
 
-    A message without a request is a row as well, with its error and its body as text.
+    A request has its typed fields, its text, the latest run of its model at its time, and what is sent: the manifest
+    (version, entries, total_bytes) and payloads, a map from variable to packed bytes. What cannot be answered has an error
+    instead; hours that the run lacks are warnings. spec is `grid_spec(forecast)`, or a stored table of it.
     """
+    spec = grid_spec(forecast) if spec is None else spec
     lines = extract_request_lines(messages).withColumn("request_id", F.concat_ws("-", "msg_id", "line_no"))
     requests = parse_requests(lines.select("request_id", "msg_id", "text"))
     times = messages.select("msg_id", F.date_trunc("hour", "received_at").alias("as_of"))
     newest = latest_run(runs, times.select("as_of")).withColumnRenamed("error", "run_error")
     met = requests.join(times, "msg_id").join(newest, ["as_of", "model"], "left")
     met = met.withColumn("error", F.coalesce("error", "run_error")).drop("run_error").join(lines.select("request_id", "text"), "request_id")
+
+    good = met.where("error is null").drop("error")
+    columns = source_columns(forecast)
+    cells = answer_requests(good, forecast, spec, columns).join(good.select("request_id", "variables"), "request_id")
+    missing = select_hours(good, forecast).where("not available").groupBy("request_id").agg(F.sort_array(F.collect_set("lead_hours")).alias("missing"))
+    met = met.join(sent(cells), "request_id", "left").join(missing, "request_id", "left")
+    nothing = F.when(F.col("version").isNull(), F.lit("nothing of the forecast fits the request"))
+    met = met.withColumn("error", F.coalesce("error", "manifest_error", nothing)).drop("manifest_error")
+    lacks = F.transform(F.coalesce("missing", F.array().cast("array<int>")), lambda h: F.concat(F.lit("no forecast for hour "), h.cast("string")))
+    met = met.withColumn("warnings", F.concat("warnings", lacks)).drop("missing")
     _, rejected = quarantine(requests, messages, lines)
     silent = rejected.where("request_id is null").join(times, "msg_id")
     return met.unionByName(silent, allowMissingColumns=True)
 
 
-def answer_stream(messages: DataFrame, runs: Callable[[], DataFrame], path: str, checkpoint: str, **options) -> StreamingQuery:
-    """Start answering a stream. `runs` is called for each batch, so new runs count at once.
+def answer_stream(messages: DataFrame, runs: Callable[[], DataFrame], forecast: Callable[[], DataFrame], path: str, checkpoint: str, **options) -> StreamingQuery:
+    """Start answering a stream. `runs` and `forecast` are called for each batch, so new runs count at once.
 
     Each batch overwrites its own folder, so a batch that runs again leaves its answers once.
     """
 
     def answer(batch: DataFrame, batch_id: int) -> None:
-        answer_batch(batch, runs()).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        answer_batch(batch, runs(), forecast()).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     return messages.writeStream.foreachBatch(answer).option("checkpointLocation", checkpoint).trigger(**(options or {"availableNow": True})).start()

@@ -86,9 +86,13 @@ def test_one_box_is_pushed_to_the_scan(spark):
 
 def test_tiles_meet_the_same_cells(spark):
     forecast, wanted = queries._snapped(spark, SF)
-    a = subset.gridded_subset(wanted, forecast)
-    b = subset.gridded_subset_tiled(wanted, forecast, 15, 20)
-    assert a.count() == b.count() > 0 and a.exceptAll(b).count() == 0
+    wanted = wanted.where("request_id % 7 = 1").cache()
+    a = subset.gridded_subset(wanted, forecast, few=10_000)
+    for tile in (1, 2, 8):
+        b = subset.gridded_subset_tiled(wanted, forecast, tile)
+        assert a.count() == b.count() > 0 and a.exceptAll(b).count() == 0
+    plans = [subset.gridded_subset(wanted, forecast, few=n)._jdf.queryExecution().executedPlan().toString() for n in (10, 10_000)]
+    assert "lat_tile" in plans[0] and "lat_tile" not in plans[1]
 
 
 def test_plans_have_no_python_and_no_nested_loops(spark):
@@ -97,7 +101,7 @@ def test_plans_have_no_python_and_no_nested_loops(spark):
         df.write.parquet(f"{at}/{name}")
     forecast = spark.read.parquet(f"{at}/cube")
     wanted = subset.snap_bounds(spark.read.parquet(f"{at}/requests"), subset.grid_spec(forecast))
-    plan = subset.gridded_subset_tiled(wanted, forecast, 15, 20)._jdf.queryExecution().executedPlan().toString()
+    plan = subset.gridded_subset_tiled(wanted, forecast)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan
 
 
@@ -129,10 +133,17 @@ def test_candidates_step_back_within_the_day(spark):
 
 
 def test_levels_must_be_one(spark):
-    df = spark.createDataFrame([(0, 1), (0, 2)], "lev int, x int")
-    assert ingest.squeeze_level(df).columns == ["x"]
-    with pytest.raises(ValueError):
-        ingest.squeeze_level(df.withColumn("lev", F.col("x")))
+    df = spark.createDataFrame([("a", 0, 1), ("a", 0, 2), ("b", 7, 3), (None, 1, 4)], "model string, lev int, x int").withColumn("run_time", F.lit(1))
+    assert sorted(r["x"] for r in ingest.squeeze_level(df).collect()) == [1, 2, 3, 4] and ingest.squeeze_level(df).columns == ["model", "x", "run_time"]
+    with pytest.raises(Exception, match="several values in a run of a"):
+        ingest.squeeze_level(df.withColumn("lev", F.col("x"))).collect()
+
+
+def test_rows_without_member_or_run_stay(spark):
+    df = spark.createDataFrame([("a", 1, 5, 0), ("a", 1, 8, 3600), ("a", 1, None, 7200), ("a", None, 9, 3600)], "model string, run_time int, realization int, at int").withColumn("valid_time", F.timestamp_seconds("at"))
+    assert sorted((str(r["run_time"]), r["realization"], r["at"]) for r in ingest.zero_base_members(df).where("realization is not null").collect()) == [("1", 0, 0), ("1", 1, 3600), ("None", 0, 3600)]
+    assert ingest.zero_base_members(df).count() == 4 and ingest.zero_base_members(df).columns == df.columns
+    assert sorted((r["at"], r["lead_hours"]) for r in ingest.add_lead_hours(df).collect()) == [(0, 0), (3600, 0), (3600, 1), (7200, 2)]
 
 
 def test_payloads_and_slices_can_be_written(spark):
@@ -147,16 +158,17 @@ def test_payloads_and_slices_can_be_written(spark):
 
 def test_stream_gives_what_the_batch_gives(spark):
     at = tempfile.mkdtemp(prefix="spark-")
-    messages = derived.messages(spark, SF).withColumn("received_at", F.timestamp_seconds(F.lit(1704200000) + F.col("msg_id") * 1000))
+    messages = derived.messages(spark, SF).withColumn("received_at", F.timestamp_seconds(F.lit(1388563200) + F.col("msg_id")))
     messages.repartition(3).write.parquet(f"{at}/in")
     stream = spark.readStream.schema(messages.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
-    answer_stream(stream, lambda: derived.runs(spark, SF), f"{at}/out", f"{at}/state").awaitTermination()
-    got = spark.read.parquet(f"{at}/out").drop("batch_id")
-    want = answer_batch(messages, derived.runs(spark, SF)).select(*got.columns)
-    assert got.count() == want.count() > 0 and got.exceptAll(want).count() == 0
+    forecast = derived.forecast(spark, SF).cache()
+    answer_stream(stream, lambda: forecast.select("model", "run_time"), lambda: forecast, f"{at}/out", f"{at}/state").awaitTermination()
+    got = spark.read.parquet(f"{at}/out").drop("batch_id").withColumn("payloads", F.array_sort(F.map_entries("payloads")))
+    want = answer_batch(messages, forecast.select("model", "run_time"), forecast).withColumn("payloads", F.array_sort(F.map_entries("payloads"))).select(*got.columns)
+    assert got.count() == want.count() > 0 and got.exceptAll(want).count() == 0 and got.where("total_bytes > 0").count() > 0
 
 
 def test_messages_without_a_request_are_rows_of_the_batch(spark):
     messages = spark.createDataFrame([(1, "Hello\nsend nomodel:1n,2n,3e,4e"), (2, "please help"), (3, None)], "msg_id int, body string").withColumn("received_at", F.timestamp_seconds(F.lit(1704200000)))
-    got = {(r["msg_id"], r["request_id"], r["text"], r["error"]) for r in answer_batch(messages, derived.runs(spark, SF)).collect()}
+    got = {(r["msg_id"], r["request_id"], r["text"], r["error"]) for r in answer_batch(messages, derived.runs(spark, SF), derived.forecast(spark, SF)).collect()}
     assert got == {(1, "1-1", "send nomodel:1n,2n,3e,4e", "unknown model"), (2, None, "please help", "no request found"), (3, None, None, "no request found")}
