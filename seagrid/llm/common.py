@@ -25,11 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share; one of this machine only in local mode, where the session names none."""
     global _own_dir
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if _own_dir is None:
         _own_dir = "file://" + tempfile.mkdtemp(prefix="seagrid-")
     return _own_dir
@@ -48,12 +50,23 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def release(*tables: DataFrame) -> None:
+    """Remove tables of `materialise` that nothing reads any more."""
+    for df in tables:
+        session = df.sparkSession
+        jvm, conf = session._jvm, session._jsc.hadoopConfiguration()
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if "/seagrid-" in folder:
+                at = jvm.org.apache.hadoop.fs.Path(folder)
+                at.getFileSystem(conf).delete(at, True)
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Rows (node, component) for every node of the edges; component is the smallest node reachable.
 
     Alternates large-star and small-star steps until no edge changes. Every step is made of
-    grouped minima and equi-joins, so a node with very many neighbours is never gathered in one
-    place. Self-loops are ignored except that they name a node; null ends are dropped; an empty
+    grouped minima and equi-joins: a node's neighbours are never gathered into a row, and the join
+    on a node with very many edges is one that Spark splits. Self-loops are ignored except that they name a node; null ends are dropped; an empty
     input gives an empty result.
     """
     start = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")

@@ -1,8 +1,8 @@
 """Substring deduplication by MinHash banding of paragraphs.
 
 A paragraph is a line of at least `min_words` words. Its 5-word shingles give a MinHash signature of
-bands x rows values; paragraphs that agree in one band meet in a bucket. Tuned for recall, 16 bands
-of 4 rows find a pair of similarity 0.8 with probability 0.9998. In a bucket every member is compared
+bands x rows values; paragraphs that agree in one band meet in a bucket. Tuned for recall, 10 bands
+of 3 rows find a pair of similarity 0.8 with probability 0.9992. In a bucket every member is compared
 by exact Jaccard similarity with the bucket's most central text, the one that meets most others in
 all its buckets, which in a group of edited copies is the unedited one. Members linked to it are
 linked to each other by it. Each other member is joined to all members of its buckets that can be
@@ -18,35 +18,67 @@ words (50) share a chosen window for certain. Chosen windows that several docume
 Each is extended both ways while the words agree with those of its first occurrence, and in a document
 those that overlap or touch are joined to a span.
 
-Paragraphs of equal words are one node, so copies are never compared, and hot texts are counted
-before the shuffle. Defined cases: null and empty texts have no paragraphs; words are split at ASCII
-white space and A-Z lower-cased; null ids sort last among occurrences; repeated rows are occurrences
-like any other; an empty table gives an empty result; only the id and text columns are read.
+Equal texts are one document to all of this, and the row of the least id stands for them; each other
+row of such a text is one passage, of kind `text`. So copies are never compared, and a hot text is
+counted before the shuffle. A text is known by two 64-bit hashes, a row by its text and its place in
+the input.
+
+Defined cases: null and empty texts have no passages; words are split at ASCII white space and A-Z
+lower-cased; rows without an id come last among occurrences and are documents of their own; a row
+repeated exactly is a `text` that goes; rows of one id with different texts are different documents;
+an empty table gives an empty result; only the id and text columns are read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seagrid.llm.common import ready_workers, connected_components, materialise
+from seagrid.llm.bloom import among
+from seagrid.llm.common import connected_components, materialise, ready_workers, release
 
 SHINGLE = 5
 SIMILARITY = 0.8
-MIN_WORDS = 50
-BANDS, ROWS = 16, 4
+MIN_WORDS = 25
+BANDS, ROWS = 10, 3
 WINDOW, CHOICE = 25, 26
 REACH = CHOICE - 1
 SEED = 5
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
+class Sums:
+    """Running sums of mark * factor**place over words, from which the hash of any run of words follows."""
+
+    def __init__(self, marks: np.ndarray):
+        n = len(marks)
+        up, self.down = np.full(n + 1, _FACTOR, np.uint64), np.full(n + 1, _INVERSE, np.uint64)
+        up[0] = self.down[0] = 1
+        self.down = np.cumprod(self.down)
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(marks * np.cumprod(up)[:n])])
+
+    def hashes(self, starts: np.ndarray, lengths: np.ndarray | int) -> np.ndarray:
+        """A 64-bit hash of each run of words."""
+        h = (self.sums[starts + lengths] - self.sums[starts]) * self.down[starts]
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        return h ^ (h >> np.uint64(32))
+
+
+_FACTOR = 0x9E3779B97F4A7C15 | 1
+_INVERSE = pow(_FACTOR, -1, 1 << 64)
+
+
+def window_hashes(marks: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    return Sums(marks).hashes(np.arange(max(0, len(marks) - window + 1)), window)
+
+
 def shingle_hashes(marks: np.ndarray, k: int = SHINGLE) -> np.ndarray:
     """Distinct 64-bit hashes of the word shingles, as unsigned, from the marks of the words."""
     return np.unique(window_hashes(marks, min(k, len(marks))))
@@ -59,35 +91,18 @@ class Signer:
         self.a = rng.integers(1, 1 << 63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.b = rng.integers(0, 1 << 63, bands * rows, dtype=np.uint64)
 
-    def keys(self, shingles: np.ndarray) -> np.ndarray:
-        """One key per band, the number of the band in its low four bits."""
+    def keys(self, shingles: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """One key per band for each run of shingles, the number of the band in its low four bits; `starts` of the runs, none empty."""
         mixed = shingles ^ (shingles >> np.uint64(31))
-        least = np.min((mixed[:, None] * self.a[None, :] + self.b[None, :]) >> np.uint64(16), axis=0)
-        out = np.arange(self.bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        for column in least.reshape(self.bands, self.rows).T:
-            out = (out ^ column) * np.uint64(0xFF51AFD7ED558CCD)
-            out ^= out >> np.uint64(33)
+        out = np.tile(np.arange(self.bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), (len(starts), 1))
+        for i, (a, b) in enumerate(zip(self.a, self.b, strict=True)):
+            band = out[:, i // self.rows]
+            band ^= np.minimum.reduceat((mixed * a + b) >> np.uint64(16), starts)
+            band *= np.uint64(0xFF51AFD7ED558CCD)
+            band ^= band >> np.uint64(33)
         return out & ~np.uint64(15) | np.arange(self.bands, dtype=np.uint64)
 
 
-_FACTOR = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_FACTOR, -1, 1 << 64)
-
-
-def window_hashes(marks: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """A 64-bit hash of each window of words, from differences of running sums of mark * factor**place."""
-    n = len(marks)
-    if n < window:
-        return np.zeros(0, np.uint64)
-    up, down = np.full(n, _FACTOR, np.uint64), np.full(n, _INVERSE, np.uint64)
-    up[0] = down[0] = 1
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(marks * np.cumprod(up))])
-    h = (sums[window:] - sums[:-window]) * np.cumprod(down)[: n - window + 1]
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(32))
-
-
 def winnow(hashes: np.ndarray, choice: int = CHOICE) -> np.ndarray:
     """Places of the least hash, the last of equal ones, of each `choice` neighbours (of all, if fewer)."""
     if not len(hashes):
@@ -110,100 +125,115 @@ def _mark(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
-def _long_lines(text: str, min_words: int) -> Iterator[list[bytes]]:
-    for line in text.encode().translate(_LOWER).split(b"\n"):
-        words = line.split()
-        if len(words) >= min_words:
-            yield words
+def _words(text: str) -> list[bytes]:
+    return text.encode().translate(_LOWER).split()
+
+
+#: What names a text, and the row that stands for it.
+_OWNER = ["t1", "t2", "no_id", "doc_id"]
 
 
 def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows (t1, t2, no_id, doc_id, text) of the documents with a text."""
     ready_workers(docs.sparkSession)
-    return docs.select(F.coalesce(F.col(id_col), F.lit(0)).cast("long").alias("doc_id"), F.col(id_col).isNull().alias("no_id"), F.col(text_col).alias("text")).where("text is not null")
+    text = F.col(text_col)
+    named = docs.select(F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("second"), text).alias("t2"), F.col(id_col).isNull().alias("no_id"), F.coalesce(F.col(id_col), F.lit(0)).cast("long").alias("doc_id"), text.alias("text"))
+    return named.where("text is not null")
+
+
+def _slices(texts: list[str], most: int = 2 << 20) -> Iterator[tuple[int, int]]:
+    start = size = 0
+    for i, t in enumerate(texts):
+        if size and size + len(t) > most:
+            yield start, i
+            start, size = i, 0
+        size += len(t)
+    if start < len(texts):
+        yield start, len(texts)
+
+
+def _runs(starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places of the runs, one run after the other, and where each begins among them."""
+    at = np.cumsum(lengths) - lengths
+    return np.arange(int(lengths.sum())) - np.repeat(at - starts, lengths), at
 
 
 def paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, no_id, own, first_word, n_words, h, keys, kind) of kind 0, paragraphs; 1, chosen windows; 2, whole texts.
+    """Rows (t1, t2, no_id, doc_id, first_word, n_words, h, keys, kind) of kind 0, paragraphs; 1, chosen windows; 2, whole texts.
 
-    first_word counts the words of the whole text from 0. own tells rows apart that share an id: the text's hash, or the
-    row's place where the id is null. keys are the bands of a paragraph, or four bytes for each word of a whole text.
+    first_word counts the words of the whole text from 0; keys are the bands of a paragraph.
     """
+    if min_words < SHINGLE:
+        raise ValueError("a paragraph has as many words as a shingle at least")
+
+    def found(texts: list[str], signer: Signer) -> Iterator[tuple]:
+        """(kind, text of the slice, first word, words, hash, keys) as arrays, for each kind."""
+        words, per_line, per_text = [], [], []
+        for text in texts:
+            lines = [line.split() for line in text.encode().translate(_LOWER).split(b"\n")]
+            per_line += map(len, lines)
+            per_text.append(len(lines))
+            words += chain.from_iterable(lines)
+        sums = Sums(_mark(words))
+        size, owner = np.array(per_line, np.int64), np.repeat(np.arange(len(texts)), per_text)
+        start, whole = np.cumsum(size) - size, np.bincount(owner, size, len(texts)).astype(np.int64)
+        first = np.cumsum(whole) - whole
+        long = np.flatnonzero(size >= min_words)
+        if len(long):
+            places, runs = _runs(start[long], size[long] - SHINGLE + 1)
+            keys = signer.keys(sums.hashes(places, SHINGLE), runs).view(np.int64)
+            yield 0, owner[long], start[long] - first[owner[long]], size[long], sums.hashes(start[long], size[long]), list(keys)
+        some = np.flatnonzero(whole >= WINDOW)
+        chosen = []
+        for i in some:
+            h = sums.hashes(np.arange(first[i], first[i] + whole[i] - WINDOW + 1), WINDOW)
+            at = winnow(h)
+            chosen.append((np.full(len(at), i), at, h[at]))
+        if chosen:
+            own, at, h = (np.concatenate(x) for x in zip(*chosen, strict=True))
+            yield 1, own, at, np.full(len(at), WINDOW), h, [None] * len(at)
+        yield 2, np.arange(len(texts)), np.zeros(len(texts), np.int64), whole, np.zeros(len(texts), np.uint64), [None] * len(texts)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        signer, digest = Signer(), xxhash.xxh64_intdigest
-        seen = TaskContext.get().partitionId() << 33
+        signer = Signer()
         for batch in batches:
-            docs_at, first, size, h, keys, kind, owns = [], [], [], [], [], [], []
-            for nth, (text, no_id) in enumerate(zip(batch["text"], batch["no_id"], strict=True)):
-                marks, before, raw = [], 0, text.encode()
-                owns.append(seen + nth if no_id else digest(raw) >> 1)
-                for line in raw.translate(_LOWER).split(b"\n"):
-                    words = line.split()
-                    marks.append(_mark(words))
-                    if len(words) >= min_words:
-                        docs_at.append([nth])
-                        first.append([before])
-                        size.append([len(words)])
-                        h.append(np.array([digest(b" ".join(words))], np.uint64))
-                        keys.append(signer.keys(shingle_hashes(marks[-1])).astype("<u8").tobytes())
-                        kind.append([0])
-                    before += len(words)
-                if before >= WINDOW:
-                    every = np.concatenate(marks)
-                    hashes = window_hashes(every)
-                    at = winnow(hashes)
-                    docs_at.append(np.full(len(at) + 1, nth))
-                    first += [at, [0]]
-                    size += [np.full(len(at), WINDOW), [before]]
-                    h += [hashes[at], np.zeros(1, np.uint64)]
-                    keys += [None] * len(at) + [(every >> np.uint64(33)).astype("<u4").tobytes()]
-                    kind += [np.ones(len(at), np.int8), [2]]
-            seen += len(batch)
-            if keys:
-                own = np.concatenate(docs_at)
-                yield pd.DataFrame(
-                    {
-                        "doc_id": batch["doc_id"].to_numpy()[own], "no_id": batch["no_id"].to_numpy()[own], "own": np.array(owns, np.int64)[own],
-                        "first_word": np.concatenate(first), "n_words": np.concatenate(size), "h": np.concatenate(h).view(np.int64), "keys": keys, "kind": np.concatenate(kind),
-                    }
-                )
-
-    return _slim(docs, id_col, text_col).mapInPandas(read, "doc_id long, no_id boolean, own long, first_word int, n_words int, h long, keys binary, kind byte")
-
-
-def _shingles_of(docs: DataFrame, wanted: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
-    """Rows (h, shingles) of the wanted paragraphs, read again from the texts.
-
-    A bitmap of fixed size (8 MB) goes to the tasks; it lets few others through, and the join drops those.
+            texts, owners = batch["text"].tolist(), {c: batch[c].to_numpy() for c in _OWNER}
+            for a, b in _slices(texts):
+                for kind, own, at, n, h, keys in found(texts[a:b], signer):
+                    yield pd.DataFrame({c: x[a + own] for c, x in owners.items()} | {"first_word": at, "n_words": n, "h": h.view(np.int64), "keys": keys, "kind": kind})
+
+    return _slim(docs, id_col, text_col).mapInPandas(read, "t1 long, t2 long, no_id boolean, doc_id long, first_word int, n_words int, h long, keys array<long>, kind byte")
+
+
+def _read_again(docs: DataFrame, wanted: DataFrame, read: Callable, schema: str, id_col: str, text_col: str) -> DataFrame:
+    """read of batches with a text, its owner and its rows of `wanted`, a list for each further column; one row for each text.
+
+    Only rows that stand for a wanted text are shuffled; rows of equal id and text are one before that.
     """
-    size = 1 << 26
+    rest = [c for c in wanted.columns if c not in _OWNER]
+    held = wanted.groupBy(*_OWNER).agg(F.collect_list(F.struct(*rest)).alias("w"))
+    held = materialise(held.select(*_OWNER, F.xxhash64(*_OWNER).alias("key"), *[F.col(f"w.{c}").alias(c) for c in rest]), "wanted")
+    near = among(_slim(docs, id_col, text_col).withColumn("key", F.xxhash64(*_OWNER)), held.select("key"), exact=False)
+    texts = near.groupBy(*_OWNER).agg(F.first("text").alias("text"))
+    return texts.join(held.drop("key"), _OWNER).mapInPandas(read, schema)
 
-    def bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            at = (batch["h"].to_numpy(np.int64).view(np.uint64) >> np.uint64(38)).astype(np.int64)
-            got = pd.DataFrame({"word": at >> 6, "bit": np.left_shift(np.uint64(1), (at & 63).astype(np.uint64)).view(np.int64)})
-            yield got
 
-    words = wanted.mapInPandas(bits, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bit")).toPandas()
-    bitmap = np.zeros(size >> 6, np.uint64)
-    bitmap[words["word"].to_numpy(np.int64)] = words["bit"].to_numpy(np.int64).view(np.uint64)
-    held = docs.sparkSession.sparkContext.broadcast(bitmap)
+def _shingles_of(docs: DataFrame, rows: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows (h, shingles) of the wanted paragraphs, read again from the texts."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table, digest = held.value, xxhash.xxh64_intdigest
         for batch in batches:
-            out = {}
-            for text in batch["text"]:
-                for w in _long_lines(text, min_words):
-                    h = digest(b" ".join(w))
-                    at = h >> 38
-                    if int(table[at >> 6]) >> (at & 63) & 1 and h not in out:
-                        out[h] = shingle_hashes(_mark(w)).view(np.int64)
-            if out:
-                yield pd.DataFrame({"h": np.array(list(out), np.uint64).view(np.int64), "shingles": list(out.values())})
+            hs, out = [], []
+            for text, first, n, h in zip(batch["text"], batch["first_word"], batch["n_words"], batch["h"], strict=True):
+                words = _words(text)
+                for a, k, x in zip(first, n, h, strict=True):
+                    hs.append(x)
+                    out.append(shingle_hashes(_mark(words[a : a + k])).view(np.int64))
+            yield pd.DataFrame({"h": np.array(hs, np.int64), "shingles": out})
 
-    found = _slim(docs, id_col, text_col).mapInPandas(read, "h long, shingles array<long>")
-    return found.join(wanted, "h", "left_semi").groupBy("h").agg(F.first("shingles").alias("shingles"))
+    one = F.min(F.struct("no_id", "doc_id", "t1", "t2", "first_word", "n_words")).alias("at")
+    at = among(rows.where("kind = 0").withColumn("key", F.col("h")), wanted.select(F.col("h").alias("key"))).groupBy("h").agg(one)
+    return _read_again(docs, at.select(*[f"at.{c}" for c in (*_OWNER, "first_word", "n_words")], "h"), read, "h long, shingles array<long>", id_col, text_col)
 
 
 def _similar(pairs: DataFrame, shingles: DataFrame, similarity: float, unlike: bool = False) -> DataFrame:
@@ -248,87 +278,92 @@ def _unlinked_pairs(stars: DataFrame, similarity: float) -> DataFrame:
     return left.alias("l").join(right.alias("r"), fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def paragraph_links(docs: DataFrame, rows: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def paragraph_links(docs: DataFrame, rows: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Links (a, b) between distinct paragraph texts of enough similarity, from the compared pairs of all buckets."""
-    nodes = materialise(rows.where("kind = 0").groupBy("h").agg(F.first("keys").alias("keys")), "nodes")
-
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                keys = np.frombuffer(b"".join(batch["keys"]), "<i8")
-                yield pd.DataFrame({"key": keys, "h": np.repeat(batch["h"].to_numpy(), BANDS)})
-
-    banded = nodes.select("h", "keys").mapInPandas(split, "key long, h long")
-    shared = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = materialise(banded.join(shared, "key"), "members")
-    central = members.groupBy("h").agg(F.sum("n").alias("met"))
+    banded = rows.where("kind = 0").select(F.explode("keys").alias("key"), "h")
+    shared = materialise(banded.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("key"), "buckets")
+    members = materialise(among(banded, shared).distinct(), "members")
+    met = members.join(members.groupBy("key").agg(F.count("*").alias("n")), "key")
+    central = met.groupBy("h").agg(F.sum("n").alias("met"))
     heads = members.join(central, "h").groupBy("key").agg(F.min_by("h", F.struct(-F.col("met"), F.col("h"))).alias("head"))
-    shingles = materialise(_shingles_of(docs, members.select("h").distinct(), min_words, id_col, text_col), "shingles")
+    wanted = materialise(members.select("h").distinct(), "wanted")
+    shingles = materialise(_shingles_of(docs, rows, wanted, id_col, text_col), "shingles")
     stars = members.join(heads, "key").where("h <> head").select(F.col("h").alias("a"), F.col("head").alias("b")).distinct()
     stars = materialise(_similar(stars, shingles, similarity, unlike=True), "stars")
 
     # Members linked to the head are linked to each other by it; the others are joined to all that can be like them.
     rest = materialise(_unlinked_pairs(stars, similarity), "rest")
-    return stars.where("linked").select("a", "b").unionByName(_similar(rest, shingles, similarity).where("linked").select("a", "b"))
+    links = stars.where("linked").select("a", "b").unionByName(_similar(rest, shingles, similarity).where("linked").select("a", "b"))
+    links = materialise(links, "links")
+    release(shared, members, wanted, shingles, stars, rest)
+    return links
 
 
-_OWNER = ["no_id", "doc_id", "own"]
+def _place(*at: str) -> Column:
+    """The order of occurrences."""
+    return F.struct("no_id", "doc_id", "t1", "t2", *at)
 
 
-def _document() -> Column:
-    """Rows of one id are one document, each row without an id is one."""
-    return F.struct("no_id", "doc_id", F.when(F.col("no_id"), F.col("own")).otherwise(0).alias("own"))
-
-
-def _place(*document: str) -> Column:
-    return F.struct(*document or ("no_id", "doc_id", F.when(F.col("no_id"), F.col("own")).otherwise(0).alias("own")), "first_word")
+def _one_of_copies(rows: DataFrame, *columns: str) -> DataFrame:
+    """Of rows of equal texts that of the least id."""
+    own = F.min(F.struct("no_id", "doc_id")).alias("own")
+    return rows.groupBy("t1", "t2", *columns).agg(own).select("t1", "t2", "own.no_id", "own.doc_id", *columns)
 
 
 def _lines(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """Paragraphs whose component two documents or more have."""
+    """Paragraphs whose component two texts or more have."""
     named = connected_components(links).select(F.col("node").alias("h"), "component")
-    whole = rows.where("kind = 0").drop("keys", "kind")
-    texts = whole.groupBy("h").agg(F.min(_place()).alias("first"), F.min(_document()).alias("lo"), F.max(_document()).alias("hi"))
-    texts = texts.join(named, "h", "left").withColumn("component", F.coalesce("component", "h"))
+    whole = rows.where("kind = 0").select(*_OWNER, "first_word", "n_words", "h")
+    texts = whole.groupBy("h").agg(F.min(_place("first_word")).alias("first"), F.min("t1").alias("lo"), F.max("t1").alias("hi"))
+    texts = texts.join(named, "h", "left").where("component is not null or lo <> hi").withColumn("component", F.coalesce("component", "h"))
+    texts = materialise(texts, "texts")
     shared = texts.groupBy("component").agg(F.min("first").alias("first"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi")
-    shared = texts.select("h", "component").join(shared.select("component", "first"), "component")
-    return whole.join(shared, "h").select(*_OWNER, "first_word", "n_words", "component", (_place() == F.col("first")).alias("keep"))
+    shared = materialise(texts.select("h", "component").join(shared.select("component", "first"), "component"), "shared")
+    found = _one_of_copies(among(whole.withColumn("key", F.col("h")), shared.select(F.col("h").alias("key"))), "first_word", "n_words", "h")
+    lines = materialise(found.join(shared, "h").select(*_OWNER, "first_word", "n_words", "component", (_place("first_word") == F.col("first")).alias("keep")), "lines")
+    release(texts, shared)
+    return lines
 
 
 _NONE = 0xFFFFFFFF
 
 
-def _around(rows: DataFrame, found: DataFrame, gone: DataFrame) -> DataFrame:
+def _around(docs: DataFrame, found: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The found windows outside of removed paragraphs, with the REACH words before (the nearest first) and after each.
 
     Words of removed paragraphs and places beyond the text's ends are like no word.
     """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        back, on = REACH - 1 - np.arange(REACH), REACH + WINDOW + np.arange(REACH)
+        places = np.concatenate([REACH - 1 - np.arange(REACH), REACH + WINDOW + np.arange(REACH)])
         for batch in batches:
-            nths, ats, hs, words = [], [], [], []
-            for nth, (text, at, h, g_at, g_n) in enumerate(zip(batch["keys"], batch["at"], batch["h"], batch["g_at"], batch["g_n"], strict=True)):
-                marks = np.full(len(text) // 4 + 2 * REACH, _NONE, np.uint32)
-                marks[REACH:-REACH] = np.frombuffer(text, "<u4")
-                if g_at is not None:
-                    for x, n in zip(g_at, g_n, strict=True):
-                        marks[REACH + x : REACH + x + n] = _NONE
-                    lost = np.concatenate([[0], np.cumsum(marks[REACH:-REACH] == _NONE)])
-                    stays = lost[at + WINDOW] == lost[at]
-                    at, h = at[stays], h[stays]
+            nths, ats, hs, around = [], [], [], []
+            for nth, (text, first, n, h, cut) in enumerate(zip(*[batch[c] for c in ("text", "first_word", "n_words", "h", "cut")], strict=True)):
+                cut = cut.astype(bool)
+                at, h = first[~cut], h[~cut]
+                if not len(at):
+                    continue
+                words = _words(text)
+                marks = np.full(len(words) + 2 * REACH, _NONE, np.uint32)
+                inside = marks[REACH:-REACH]
+                inside[:] = _mark(words) >> np.uint64(33)
+                for x, k in zip(first[cut], n[cut], strict=True):
+                    inside[x : x + k] = _NONE
+                lost = np.concatenate([[0], np.cumsum(inside == _NONE)])
+                stays = lost[at + WINDOW] == lost[at]
+                at, h = at[stays], h[stays]
                 nths.append(np.full(len(at), nth))
                 ats.append(at)
                 hs.append(h)
-                words += [w.tobytes() for w in marks[at[:, None] + np.concatenate([back, on])]]
-            if words:
+                around += [w.tobytes() for w in marks[at[:, None] + places]]
+            if around:
                 own = np.concatenate(nths)
-                yield pd.DataFrame({c: batch[c].to_numpy()[own] for c in _OWNER} | {"first_word": np.concatenate(ats), "h": np.concatenate(hs), "words": words})
+                yield pd.DataFrame({c: batch[c].to_numpy()[own] for c in _OWNER} | {"first_word": np.concatenate(ats), "h": np.concatenate(hs), "words": around})
 
-    held = found.groupBy(*_OWNER).agg(F.collect_set(F.struct("first_word", "h")).alias("w")).select(*_OWNER, F.col("w.first_word").alias("at"), F.col("w.h").alias("h"))
-    cuts = gone.groupBy(*_OWNER).agg(F.collect_set(F.struct("first_word", "n_words")).alias("g")).select(*_OWNER, F.col("g.first_word").alias("g_at"), F.col("g.n_words").alias("g_n"))
-    texts = rows.where("kind = 2").select(*_OWNER, "keys").join(held, _OWNER).join(cuts, _OWNER, "left")
-    return texts.dropDuplicates(_OWNER).mapInPandas(read, "no_id boolean, doc_id long, own long, first_word int, h long, words binary")
+    with_window = found.select("t1", "t2").distinct()
+    cuts = gone.join(with_window, ["t1", "t2"], "left_semi").select(*_OWNER, "first_word", "n_words", F.lit(0).cast("long").alias("h"), F.lit(True).alias("cut"))
+    wanted = found.select(*_OWNER, "first_word", F.lit(WINDOW).alias("n_words"), "h", F.lit(False).alias("cut")).unionByName(cuts)
+    return _read_again(docs, wanted, read, "t1 long, t2 long, no_id boolean, doc_id long, first_word int, h long, words binary", id_col, text_col)
 
 
 def _reaches(around: DataFrame) -> DataFrame:
@@ -337,7 +372,7 @@ def _reaches(around: DataFrame) -> DataFrame:
     Where two texts agree on more than REACH words before or after a window, they share a chosen window there as well.
     """
     first = F.struct(*[F.col(c).alias(f"{c}0") for c in (*_OWNER, "first_word", "words")])
-    heads = around.groupBy("h").agg(F.min_by(first, _place(*_OWNER)).alias("head")).select("h", "head.*")
+    heads = around.groupBy("h").agg(F.min_by(first, _place("first_word")).alias("head")).select("h", "head.*")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -348,13 +383,13 @@ def _reaches(around: DataFrame) -> DataFrame:
             left, right = np.cumprod(same[:, :REACH], 1).sum(1), np.cumprod(same[:, REACH:], 1).sum(1)
             yield batch.drop(columns=["words", "words0"]).assign(left=left, right=right)
 
-    schema = "no_id boolean, doc_id long, own long, first_word int, h long, no_id0 boolean, doc_id0 long, own0 long, first_word0 int, left int, right int"
-    met = around.join(heads, "h").select(*_OWNER, "first_word", "h", "words", "no_id0", "doc_id0", "own0", "first_word0", "words0").mapInPandas(read, schema)
-    itself = _place(*_OWNER) == F.struct("no_id0", "doc_id0", "own0", "first_word0")
+    schema = "t1 long, t2 long, no_id boolean, doc_id long, first_word int, h long, t10 long, t20 long, no_id0 boolean, doc_id0 long, first_word0 int, left int, right int"
+    met = around.join(heads, "h").select(*_OWNER, "first_word", "h", "words", *[f"{c}0" for c in _OWNER], "first_word0", "words0").mapInPandas(read, schema)
+    itself = F.struct(*_OWNER, "first_word") == F.struct(*[f"{c}0" for c in _OWNER], "first_word0")
     met = materialise(met.withColumn("keep", itself), "reaches")
     others = met.where("not keep").select(*_OWNER, "h", (F.col("first_word") - F.col("left")).alias("start"), (F.col("first_word") + WINDOW + F.col("right")).alias("end"), F.lit(False).alias("keep"))
     own = [F.when(F.col("keep"), 0).otherwise(F.col(c)) for c in ("left", "right")]
-    firsts = met.groupBy("h", "no_id0", "doc_id0", "own0", "first_word0").agg(F.max(own[0]).alias("left"), F.max(own[1]).alias("right"))
+    firsts = met.groupBy("h", *[f"{c}0" for c in _OWNER], "first_word0").agg(F.max(own[0]).alias("left"), F.max(own[1]).alias("right"))
     firsts = firsts.select(*[F.col(f"{c}0").alias(c) for c in _OWNER], "h", (F.col("first_word0") - F.col("left")).alias("start"), (F.col("first_word0") + WINDOW + F.col("right")).alias("end"), F.lit(True).alias("keep"))
     return others.unionByName(firsts)
 
@@ -397,47 +432,66 @@ def _own_spans(some: list[tuple[int, int, int, bool]]) -> list[tuple[int, int, b
 
 
 def _spans(reaches: DataFrame) -> DataFrame:
-    """Rows (owner, first_word, n_words, keep, hs) of each document's spans, with the windows in them."""
+    """Rows (owner, first_word, n_words, keep, hs) of each text's spans, with the windows in them."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for no_id, doc_id, own, start, end, h, keep in zip(*[batch[c] for c in (*_OWNER, "start", "end", "h", "keep")], strict=True):
+            for *own, start, end, h, keep in zip(*[batch[c] for c in (*_OWNER, "start", "end", "h", "keep")], strict=True):
                 for x, y, k, hs in _own_spans(list(zip(start.tolist(), end.tolist(), h.tolist(), keep.tolist(), strict=True))):
-                    out.append((no_id, doc_id, own, x, y - x, k, hs))
+                    out.append((*own, x, y - x, k, hs))
             if out:
                 yield pd.DataFrame(out, columns=[*_OWNER, "first_word", "n_words", "keep", "hs"])
 
     held = reaches.groupBy(*_OWNER).agg(F.collect_list(F.struct("start", "end", "h", "keep")).alias("w"))
     held = held.select(*_OWNER, *[F.col(f"w.{c}").alias(c) for c in ("start", "end", "h", "keep")])
-    return held.mapInPandas(read, "no_id boolean, doc_id long, own long, first_word int, n_words int, keep boolean, hs array<long>")
+    return held.mapInPandas(read, "t1 long, t2 long, no_id boolean, doc_id long, first_word int, n_words int, keep boolean, hs array<long>")
+
+
+def _window_spans(docs: DataFrame, rows: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows (owner, first_word, n_words, component, keep) of the spans of windows that several texts have."""
+    windows = rows.where("kind = 1").select(*_OWNER, "first_word", "h")
+    common = materialise(windows.groupBy("h").agg(F.min("t1").alias("lo"), F.max("t1").alias("hi")).where("lo <> hi").select(F.col("h").alias("key")), "common")
+    found = _one_of_copies(among(windows.withColumn("key", F.col("h")), common), "first_word", "h")
+    found = materialise(found, "found")
+    around = materialise(_around(docs, found, gone, id_col, text_col), "around")
+    spans = materialise(_spans(_reaches(around)), "spans")
+    named = connected_components(spans.select(F.get("hs", F.lit(0)).alias("a"), F.explode("hs").alias("b"))).select(F.col("node").alias("h"), "component")
+    out = materialise(spans.withColumn("h", F.get("hs", F.lit(0))).join(named, "h").select(*_OWNER, "first_word", "n_words", "component", "keep"), "spans")
+    release(common, found, around, spans)
+    return out
+
+
+def _copies(places: DataFrame, rows: DataFrame, min_words: int) -> DataFrame:
+    """All rows of texts of at least `min_words` words that several rows have, as passages; the first stays."""
+    texts = places.groupBy("t1", "t2").agg(F.count("*").alias("n"), F.min(_place("row")).alias("first")).where("n > 1").drop("n")
+    sizes = rows.where((F.col("kind") == 2) & (F.col("n_words") >= min_words)).select("t1", "t2", "n_words").distinct()
+    hot = materialise(texts.join(sizes, ["t1", "t2"]), "copies")
+    near = among(places.withColumn("key", F.col("t1")), hot.select(F.col("t1").alias("key")), exact=False)
+    return near.join(hot, ["t1", "t2"]).select(*_OWNER, F.lit(0).alias("first_word"), "n_words", F.col("t1").alias("component"), (_place("row") == F.col("first")).alias("keep"))
 
 
 def repeated_passages(docs: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per occurrence of a passage that two documents or more share.
 
-    doc_id, first_word (counted in the whole text from 0), n_words, kind (`paragraph` or `span`), component_id, keep. Of the
-    paragraphs of a component the first is kept. Of the occurrences of each window outside of removed paragraphs the first
-    is kept, and spans of others are removed, so a removed word has an earlier place that stays.
+    doc_id, text_hash (xxhash64 of the whole text), first_word (counted in the whole text from 0), n_words, kind, component_id,
+    keep. Of the rows of one text (kind `text`) the first is kept; the other kinds speak of that row only. Of the paragraphs
+    of a component (kind `paragraph`) the first is kept. Of the occurrences of each window outside of removed paragraphs the
+    first is kept, and spans of others (kind `span`) are removed, so a removed word has an earlier place that stays.
     """
+    places = materialise(_slim(docs, id_col, text_col).drop("text").withColumn("row", F.monotonically_increasing_id()), "rows")
     rows = materialise(paragraphs(docs, min_words, id_col, text_col), "paragraphs")
-    links = materialise(paragraph_links(docs, rows, similarity, min_words, id_col, text_col), "links")
-    lines = materialise(_lines(rows, links), "lines")
-    windows = rows.where("kind = 1").select("h", *_OWNER, "first_word")
-    common = windows.groupBy("h").agg(F.min(_document()).alias("lo"), F.max(_document()).alias("hi")).where("lo <> hi").select("h")
-    around = materialise(_around(rows, windows.join(common, "h"), lines.where("not keep")), "around")
-    spans = materialise(_spans(_reaches(around)), "spans")
-    edges = spans.select(F.get("hs", F.lit(0)).alias("a"), F.explode("hs").alias("b"))
-    named = connected_components(edges).select(F.col("node").alias("h"), "component")
-    spans = spans.withColumn("h", F.get("hs", F.lit(0))).join(named, "h")
-
-    one = lambda df, kind: df.select(*_OWNER, "first_word", "n_words", F.lit(kind).alias("kind"), "component", "keep")
-    both = one(lines, "paragraph").unionByName(one(spans, "span"))
-    return both.select(F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), "first_word", "n_words", "kind", F.col("component").alias("component_id"), "keep")
+    links = paragraph_links(docs, rows, similarity, id_col, text_col)
+    lines = _lines(rows, links)
+    spans = _window_spans(docs, rows, lines.where("not keep"), id_col, text_col)
+    copies = materialise(_copies(places, rows, min_words), "copies")
+    release(rows, places, links)
+    one = lambda df, kind: df.select(F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), F.col("t1").alias("text_hash"), "first_word", "n_words", F.lit(kind).alias("kind"), F.col("component").alias("component_id"), "keep")
+    return one(lines, "paragraph").unionByName(one(spans, "span")).unionByName(one(copies, "text"))
 
 
 def without_repeats(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the words of passages that are not kept; lines left empty by that go. Null ids keep their text."""
+    """docs without the words of passages that are not kept; lines left empty by that go, a text of which all goes is empty."""
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, cuts: pd.Series) -> pd.Series:
@@ -460,7 +514,20 @@ def without_repeats(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id"
                 elif not lost.all():
                     lines.append(b" ".join(w for w, x in zip(words, lost, strict=True) if not x))
             out.append(b"\n".join(lines).decode())
-        return pd.Series(out)
+        return pd.Series(out, dtype=object)
 
-    gone = passages.where(~F.col("keep")).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("first_word", "n_words")).alias("__cuts"))
-    return docs.join(gone, docs[id_col] == gone["__id"], "left").withColumn(text_col, cut(F.col(text_col), F.col("__cuts"))).select(*docs.columns)
+    ready_workers(docs.sparkSession)
+    whole = F.col("kind") == "text"
+    own = passages.groupBy(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("text_hash").alias("t1")).agg(
+        F.collect_list(F.when(~whole & ~F.col("keep"), F.struct("first_word", "n_words"))).alias("cuts"), F.max(whole & F.col("keep")).alias("stays"), F.max(whole & ~F.col("keep")).alias("goes")
+    )
+    rows = docs.select(F.struct(*docs.columns).alias("in"), F.col(id_col).isNull().alias("no_id"), F.coalesce(F.col(id_col), F.lit(0)).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("t1"))
+    met = rows.join(own, ["no_id", "doc_id", "t1"], "left")
+    text = F.col("in").getField(text_col)
+    several = F.coalesce(F.col("stays") & F.col("goes"), F.lit(False))
+    alone = met.where(~several).select("in", F.when(F.col("goes"), "").otherwise(cut(text, F.col("cuts"))).alias("text"))
+    # Rows of equal id and text are alike: one of them is the first.
+    alike = materialise(met.where(several).withColumn("row", F.monotonically_increasing_id()), "alike")
+    first = alike.groupBy("no_id", "doc_id", "t1").agg(F.min("row").alias("row"), F.lit(True).alias("is_first"))
+    alike = alike.join(first, ["no_id", "doc_id", "t1", "row"], "left").select("in", F.when(F.col("is_first"), cut(text, F.col("cuts"))).otherwise("").alias("text"))
+    return alone.unionByName(alike).select(*[(F.col("text") if c == text_col else F.col("in").getField(c)).alias(c) for c in docs.columns])
