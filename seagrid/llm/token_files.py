@@ -1,16 +1,17 @@
 """Token ids in binary blocks whose document boundaries are Elias-Fano coded.
 
-File format, version 1, all integers little-endian. A file of blocks is a Parquet table in the
+File format, version 2, all integers little-endian. A file of blocks is a Parquet table in the
 store that Spark writes to; each row's `blob` is one block, complete in itself:
 
-    magic "EFTK", version u16, bytes per id u16, documents u32, low bits per boundary u32,
-    ids u64, bytes of the high part u32, select samples u32,
-    doc_ids (i64 each), flags of null doc_ids (u8 each), low part, high part, samples (u32), ids
+    magic "EFTK", version u16, bytes per id u16, documents u32, documents without doc_id u32,
+    ids u64, least doc_id i64, boundaries, doc_ids, ids
 
-The n + 1 boundaries 0 = b[0] <= ... <= b[n] = ids are coded as in Elias (1974) and Fano (1971):
-the low l = floor(log2(ids / (n + 1))) bits of each in fixed width, the rest as unary gaps in a bit
-vector, 2 + l bits a boundary. select(i), the place of the i-th one, starts from a sample of every
-64th one. Ids take two bytes when the vocabulary fits, four otherwise.
+Boundaries and doc_ids (less the least one) are ascending integers, coded as in Elias (1974) and Fano
+(1971): the low l = floor(log2(last / n)) bits of each in fixed width, the rest as unary gaps in a bit
+vector, 2 + l bits an integer: integers u32, l u32, bytes of the high part u32, select samples u32, low
+part, high part, samples (u32). select(i), the place of the i-th one, starts from a sample of every
+64th one. The n + 1 boundaries 0 = b[0] <= ... <= b[n] = ids give each document's start and length
+without a table of offsets. Ids take two bytes when the vocabulary fits, four otherwise.
 
 Documents are written in ascending doc_id order: partitions are ranges of doc_id, blocks in a
 partition are in order, and `start_in_part` counts the ids before the block in its partition.
@@ -22,6 +23,7 @@ than a block makes a block of its own. Only the id and text columns are read.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -38,8 +40,10 @@ from seagrid.llm.common import ready_workers, new_path
 
 BLOCK_IDS = 1 << 19
 CACHED_UNITS = 1_200_000
-_HEAD = struct.Struct("<4sHHIIQII")
+_HEAD = struct.Struct("<4sHHIIQq")
+_PART = struct.Struct("<IIII")
 _SAMPLE = 64
+_LONG = 64
 _SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _OTHER_SPACE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
@@ -80,48 +84,59 @@ class EliasFano:
         raw = int.from_bytes(self.low[first >> 3 : (first + self.low_bits + 7) >> 3], "little") >> (first & 7)
         return (self.select(i) - i) << self.low_bits | raw & ((1 << self.low_bits) - 1)
 
-    def values(self) -> np.ndarray:
-        """The whole sequence at once."""
-        ones = np.flatnonzero(np.unpackbits(np.frombuffer(self.high, np.uint8), bitorder="little"))[: self.n]
-        bits = np.unpackbits(np.frombuffer(self.low, np.uint8), bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits)
-        low = bits.astype(np.int64) @ (1 << np.arange(self.low_bits, dtype=np.int64))
-        return (ones - np.arange(self.n) << self.low_bits) + low
+    def packed(self) -> bytes:
+        return _PART.pack(self.n, self.low_bits, len(self.high), len(self.samples)) + self.low + self.high + self.samples.astype("<u4").tobytes()
+
+    @classmethod
+    def read(cls, blob: bytes, at: int) -> tuple[EliasFano, int]:
+        """The sequence that is packed at a place of a blob, and the place behind it."""
+        n, low_bits, n_high, n_samples = _PART.unpack_from(blob, at)
+        low = at + _PART.size
+        high = low + (n * low_bits + 7) // 8
+        end = high + n_high + 4 * n_samples
+        return cls(n, low_bits, blob[low:high], blob[high : high + n_high], np.frombuffer(blob, "<u4", n_samples, high + n_high)), end
 
 
 def pack_block(doc_ids: list[int | None], parts: list[bytes], width: int) -> bytes:
-    """One block of documents, given the little-endian ids of each."""
+    """One block of documents in the order of their doc_ids, those without first, given the little-endian ids of each."""
+    known = [d for d in doc_ids if d is not None]
+    n_null = len(doc_ids) - len(known)
+    if any(d is not None for d in doc_ids[:n_null]) or known != sorted(known):
+        raise ValueError("documents must come in ascending order of doc_id")
     bounds = np.concatenate([[0], np.cumsum([len(p) // width for p in parts])])
-    ef = EliasFano.of(bounds)
-    ids = np.array([d or 0 for d in doc_ids], "<i8").tobytes()
-    nulls = bytes(d is None for d in doc_ids)
-    head = _HEAD.pack(b"EFTK", 1, width, len(parts), ef.low_bits, int(bounds[-1]), len(ef.high), len(ef.samples))
-    return b"".join([head, ids, nulls, ef.low, ef.high, ef.samples.astype("<u4").tobytes(), *parts])
+    least = known[0] if known else 0
+    head = _HEAD.pack(b"EFTK", 2, width, len(parts), n_null, int(bounds[-1]), least)
+    return b"".join([head, EliasFano.of(bounds).packed(), EliasFano.of(np.array([d - least for d in known], np.uint64)).packed(), *parts])
 
 
 class Block:
-    """A packed block: `bounds` for all boundaries, `ids(i)` for one document's ids without a table of offsets."""
+    """A packed block: starts and lengths of documents by select over the boundaries."""
 
     def __init__(self, blob: bytes):
-        magic, version, self.width, n, low_bits, self.n_ids, n_high, n_samples = _HEAD.unpack_from(blob)
-        if magic != b"EFTK" or version != 1:
-            raise ValueError("not a token block of version 1")
-        at = _HEAD.size
-        doc_ids = np.frombuffer(blob, "<i8", n, at)
-        nulls = blob[at + 8 * n : at + 9 * n]
-        at += 9 * n
-        n_low = ((n + 1) * low_bits + 7) // 8
-        samples = np.frombuffer(blob, "<u4", n_samples, at + n_low + n_high)
-        self.bounds = EliasFano(n + 1, low_bits, blob[at : at + n_low], blob[at + n_low : at + n_low + n_high], samples)
-        self.doc_ids = [None if null else int(d) for d, null in zip(doc_ids, nulls, strict=True)]
-        self._from = at + n_low + n_high + 4 * n_samples
+        magic, version, self.width, self.n, self._n_null, self.n_ids, self._least = _HEAD.unpack_from(blob)
+        if magic != b"EFTK" or version != 2:
+            raise ValueError("not a token block of version 2")
+        self.bounds, at = EliasFano.read(blob, _HEAD.size)
+        self._known, self._from = EliasFano.read(blob, at)
         self._blob = blob
 
+    def doc_id(self, i: int) -> int | None:
+        return None if i < self._n_null else self._least + self._known[i - self._n_null]
+
+    def span(self, i: int) -> tuple[int, int]:
+        """Where the ids of a document start and end."""
+        return self.bounds[i], self.bounds[i + 1]
+
     def ids(self, i: int) -> np.ndarray:
-        a, b = self.bounds[i], self.bounds[i + 1]
+        a, b = self.span(i)
         return np.frombuffer(self._blob, f"<u{self.width}", b - a, self._from + a * self.width)
 
-    def all_ids(self) -> np.ndarray:
-        return np.frombuffer(self._blob, f"<u{self.width}", self.n_ids, self._from)
+
+def _parts_alike(tokenizer: object) -> bool:
+    """Whether the file cuts texts as `UnitEncoder` takes for granted: byte level with its own pattern, nothing before it."""
+    spec = json.loads(tokenizer.to_str())
+    cut = spec["pre_tokenizer"] or {}
+    return spec["normalizer"] is None and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space", True)
 
 
 class UnitEncoder:
@@ -130,7 +145,8 @@ class UnitEncoder:
     A byte-level pre-tokenizer starts a new piece at a space between two characters that are not white
     space, makes a lone line feed between two such characters a piece of its own, and parts a word of
     Latin letters from the signs behind it. So these units are encoded alike alone and together.
-    The memory is bounded: it is emptied when it holds CACHED_UNITS units.
+    The memory is bounded: it is emptied when it holds CACHED_UNITS units, and long units don't stay.
+    With a file of another kind whole texts go to the library.
     """
 
     def __init__(self, path: str):
@@ -138,6 +154,7 @@ class UnitEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.in_units = _parts_alike(self.tokenizer)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         vocab = self.tokenizer.get_vocab()
         self.leads = np.zeros(max(vocab.values()) + 1, bool)  # pieces that begin with a space
@@ -204,6 +221,8 @@ class UnitEncoder:
         return out
 
     def encode(self, texts: list[str], end: bytes = b"") -> list[bytes]:
+        if not self.in_units:
+            return [x + end for x in self._ids(texts)]
         known, bare = self.known, self.bare
         if len(known) > CACHED_UNITS:
             known.clear()
@@ -235,6 +254,10 @@ class UnitEncoder:
                 parts += got
             parts.append(end)
             out.append(b"".join(parts))
+        for memory, new in ((known, missing), (bare, heads)):
+            for u in new:
+                if len(u) > _LONG:
+                    del memory[u]
         return out
 
 
@@ -311,10 +334,12 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for part, nth, start, blob in zip(batch["part"], batch["block"], batch["start_in_part"], batch["blob"], strict=True):
                 block = Block(blob)
-                bounds = block.bounds.values()
-                ids = memoryview(block.all_ids().astype("<u4")).cast("B")
-                crc = [zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                yield pd.DataFrame({"doc_id": pd.array(block.doc_ids, "Int64"), "in_part": start + bounds[:-1], "n_tokens": np.diff(bounds), "ids_crc32": crc, "part": part, "block": nth, "nth": np.arange(len(crc))})
+                rows = []
+                for i in range(block.n):
+                    ids = block.ids(i)
+                    rows.append((block.doc_id(i), start + block.span(i)[0], len(ids), zlib.crc32(ids.astype("<u4").tobytes()), part, nth, i))
+                out = pd.DataFrame(rows, columns=["doc_id", "in_part", "n_tokens", "ids_crc32", "part", "block", "nth"])
+                yield out.assign(doc_id=pd.array([r[0] for r in rows], "Int64"))
 
     rows = blocks.select("part", "block", "start_in_part", "blob").mapInPandas(decode, "doc_id long, in_part long, n_tokens long, ids_crc32 long, part int, block int, nth int")
     return rows.join(F.broadcast(parts), "part").select("doc_id", (F.col("part_start") + F.col("in_part")).alias("start"), "n_tokens", "ids_crc32", "part", "block", "nth")
