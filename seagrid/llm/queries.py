@@ -57,8 +57,10 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = spark.createDataFrame([(rule, verdict) for verdict, rule in URL_RULES], "rule string, verdict string")
-    return url_filter.url_verdicts(table(spark, sf_dir, "pages"), listed)
+    """Rules of the contract; listed are the canonical URLs that more than one page has, that is, those fetched again in another form."""
+    pages = table(spark, sf_dir, "pages")
+    rules = spark.createDataFrame([(rule, verdict) for verdict, rule in URL_RULES], "rule string, verdict string")
+    return url_filter.url_verdicts(pages, rules, materialise(url_filter.repeated_urls(pages), "listed"))
 
 
 OP8_SQL = r"""
@@ -87,11 +89,16 @@ u AS (
          coalesce(strpos(url, '://'), 0) > 0 AS ok
   FROM pages),
 v AS (SELECT page_id, nth, CASE WHEN ok THEN h ELSE '' END AS host, CASE WHEN ok THEN p ELSE '' END AS path FROM u),
+c AS (
+  SELECT nth, regexp_replace(regexp_replace(host, '^(www|m)[.]', ''), ':(80|443)$', '') || regexp_replace(path, '(/|[.]html)$', '') AS url
+  FROM v WHERE host <> ''),
+l AS (SELECT url FROM c GROUP BY url HAVING count(*) > 1),
 m AS (
   SELECT v.nth, max_by(struct_pack(rule := rule, verdict := verdict), length(rule)) AS best
   FROM v JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY v.nth)
-SELECT page_id, host, path, m.best.rule AS rule, coalesce(m.best.verdict, 'allow') AS verdict
-FROM v LEFT JOIN m USING (nth)
+SELECT page_id, host, path, m.best.rule AS rule, 
+       coalesce(m.best.verdict, CASE WHEN l.url IS NOT NULL THEN 'block' END, 'allow') AS verdict
+FROM v LEFT JOIN m USING (nth) LEFT JOIN c USING (nth) LEFT JOIN l ON c.url = l.url
 """
 
 
