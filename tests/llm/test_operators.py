@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from seagrid.llm import exact_dedup, hilbert, isolation, mixing, passages, scan_encode, simhash, token_counts, token_files, url_filter
+from seagrid.llm import bloom, exact_dedup, hilbert, isolation, mixing, passages, scan_encode, simhash, token_counts, token_files, url_filter
 from seagrid.llm.common import connected_components
 from tests.llm.corpus import empty, frame, texts
 
@@ -67,37 +67,90 @@ def _shingles(words):
 
 def test_passages(spark, docs, rows):
     got = [r.asDict() for r in passages.repeated_passages(docs).collect()]
-    words = {r["doc_id"]: (r["text"] or "").encode().lower().split() for r in rows if r["doc_id"] is not None}
+    texts = Counter(r["text"] for r in rows if r["text"] is not None and len(r["text"].encode().split()) >= passages.MIN_WORDS)
+    copies = Counter((r["doc_id"], len(r["text"].encode().split())) for r in rows if texts[r["text"]] > 1)
+    assert Counter((r["doc_id"], r["n_words"]) for r in got if r["kind"] == "text") == copies and copies
+    assert sum(r["keep"] for r in got if r["kind"] == "text") == sum(n > 1 for n in texts.values())
+
+    least: dict = {}  # of equal texts one is looked at
+    for r in sorted(rows, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0)):
+        if r["text"] is not None:
+            least.setdefault(r["text"], r["doc_id"])
+    words = {(d, t): t.encode().lower().split() for t, d in least.items()}
     lines = []
-    for d, t in {r["doc_id"]: r["text"] or "" for r in rows if r["doc_id"] is not None}.items():
+    for t, d in least.items():
         at = 0
         for x in t.encode().lower().split(b"\n"):
             w = x.split()
-            if len(w) >= 50:
-                lines.append((d, at, w))
+            if len(w) >= passages.MIN_WORDS:
+                lines.append(((d, t), at, w))
             at += len(w)
-    linked = {(a[0], a[1]) for a in lines for b in lines if a[0] != b[0] and len(_shingles(a[2]) & _shingles(b[2])) >= 0.8 * len(_shingles(a[2]) | _shingles(b[2]))}
-    assert linked <= {(r["doc_id"], r["first_word"]) for r in got if r["kind"] == "paragraph"}
+    linked = {(a[0][0], a[1]) for a in lines for b in lines if a[0] != b[0] and len(_shingles(a[2]) & _shingles(b[2])) >= 0.8 * len(_shingles(a[2]) | _shingles(b[2]))}
+    assert linked == {(r["doc_id"], r["first_word"]) for r in got if r["kind"] == "paragraph"} and linked
     windows = defaultdict(set)
     for d, w in words.items():
         for i in range(len(w) - 49):
             windows[tuple(w[i : i + 50])].add(d)
-    share = {d for ds in windows.values() if len(ds) > 1 for d in ds}
+    share = {d[0] for ds in windows.values() if len(ds) > 1 for d in ds}
     assert share <= {r["doc_id"] for r in got}
     short = defaultdict(set)
     for d, w in words.items():
         for i in range(len(w) - 24):
             short[tuple(w[i : i + 25])].add(d)
-    assert {r["doc_id"] for r in got if r["kind"] == "span"} <= {d for ds in short.values() if len(ds) > 1 for d in ds}
+    assert {r["doc_id"] for r in got if r["kind"] == "span"} <= {d[0] for ds in short.values() if len(ds) > 1 for d in ds}
     assert all(sum(x["keep"] for x in got if (x["component_id"], x["kind"]) == k) >= 1 for k in {(r["component_id"], r["kind"]) for r in got})
     left = passages.without_repeats(docs, passages.repeated_passages(docs))
     assert left.columns == docs.columns and left.count() == docs.count()
-    again = defaultdict(set)
-    for r in left.where("doc_id is not null").collect():
+    again = defaultdict(int)
+    for r in left.collect():
         w = (r["text"] or "").encode().lower().split()
-        for i in range(len(w) - 49):
-            again[tuple(w[i : i + 50])].add(r["doc_id"])
-    assert not [ds for ds in again.values() if len(ds) > 1]
+        for x in {tuple(w[i : i + 50]) for i in range(len(w) - 49)}:
+            again[x] += 1
+    assert again and max(again.values()) == 1
+
+
+def test_paragraph_components_equal_brute_force(spark):
+    """Random edits of several texts, of 25 words up, in one and in several documents; components and kept rows."""
+    rng = np.random.default_rng(17)
+    out = []
+    for b in range(12):
+        base = [f"b{b}w{i}" for i in range(int(rng.integers(25, 90)))]
+        for i in range(14):
+            w = list(base)
+            for j in rng.choice(len(w), min(len(w), int(rng.integers(0, 4))), replace=False):
+                w[j] = f"x{b}.{i // 2}"
+            out.append(w)
+    order = rng.permutation(len(out))
+    lines = [(int(i) // 2, out[k]) for i, k in enumerate(order)]  # two lines a document
+    docs: dict = {}
+    for d, w in lines:
+        docs.setdefault(d, []).append(" ".join(w))
+    df = spark.createDataFrame([(d, "\n".join(ls)) for d, ls in docs.items()], "doc_id long, text string")
+    got = {(r["doc_id"], r["first_word"]): (r["component_id"], r["keep"]) for r in passages.repeated_passages(df).where("kind = 'paragraph'").collect()}
+    at = [(d, sum(len(w) for e, w in lines[:i] if e == d)) for i, (d, _) in enumerate(lines)]
+    sets = [_shingles(w) for _, w in lines]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    groups = defaultdict(list)
+    for i, c in _components(range(len(sets)), pairs).items():
+        groups[c].append(i)
+    shared = [g for g in groups.values() if len({lines[i][0] for i in g}) > 1]
+    assert set(got) == {at[i] for g in shared for i in g}
+    for g in shared:
+        assert len({got[at[i]][0] for i in g}) == 1
+        assert [at[i] for i in g if got[at[i]][1]] == [min(at[i] for i in g)]
+    assert len({c for c, _ in got.values()}) == len(shared) > 12
+
+
+def test_repeated_rows_and_rows_of_one_id(spark):
+    """A row given twice; two texts of one id that share a passage; copies without an id."""
+    p, q, z = _words(60, "p"), _words(70, "q"), _words(80, "z")
+    texts = [(1, q), (1, q), (2, _words(40, "a") + p), (2, _words(40, "b") + p), (None, z), (None, z), (None, z)]
+    df = spark.createDataFrame([(d, " ".join(t)) for d, t in texts], "doc_id long, text string")
+    found = passages.repeated_passages(df)
+    got = Counter((r["doc_id"], r["first_word"], r["n_words"], r["kind"], r["keep"]) for r in found.collect())
+    assert got == {(1, 0, 70, "text", True): 1, (1, 0, 70, "text", False): 1, (None, 0, 80, "text", True): 1, (None, 0, 80, "text", False): 2, (2, 40, 60, "span", True): 1, (2, 40, 60, "span", False): 1}
+    left = Counter(w for r in passages.without_repeats(df, found).collect() for w in r["text"].split())
+    assert set(left.values()) == {1} and set(p) | set(q) | set(z) <= set(left)
 
 
 def test_no_pair_of_a_bucket_is_lost(spark):
@@ -228,9 +281,24 @@ def test_shards(docs, rows, n_shards):
 
 
 def test_shard_files_prune(spark, docs, tmp_path):
-    hilbert.write_hilbert_shards(docs.drop("shard"), f"{tmp_path}/x", 4)
+    hilbert.write_hilbert_shards(docs, f"{tmp_path}/x", 4)
     back = spark.read.parquet(f"{tmp_path}/x")
     assert back.count() == docs.count() and back.select("shard").distinct().count() == 4
+    assert sorted(back.columns) == sorted(docs.columns)
+
+    real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    hilbert.write_hilbert_shards(real, f"{tmp_path}/y", 24)
+    bounds = "lang, source, n_chars".split(", ")
+    stats = spark.read.parquet(f"{tmp_path}/y").groupBy("shard").agg(*[f(c).alias(f"{c}_{k}") for c in bounds for k, f in (("lo", F.min), ("hi", F.max))]).toPandas()
+    every = real.select(*bounds).toPandas()
+    cut = every["n_chars"].quantile([0, 0.25, 0.5, 0.75, 1.0]).tolist()
+    met, holds = 0, 0
+    for lang in sorted(every["lang"].unique()):
+        for lo, hi in zip(cut, cut[1:], strict=False):
+            box = every[(every["lang"] == lang) & every["n_chars"].between(lo, hi)]
+            holds += len(box) > 0
+            met += int(((stats["lang_lo"] <= lang) & (stats["lang_hi"] >= lang) & (stats["n_chars_lo"] <= hi) & (stats["n_chars_hi"] >= lo)).sum())
+    assert met <= 0.6 * 24 * holds, met / 24 / holds
 
 
 # 3
@@ -304,15 +372,30 @@ def test_elias_fano():
     for n, top in ((1, 1), (5, 10), (1000, 10**6), (3000, 3000), (70, 10**9)):
         v = np.sort(rng.integers(0, top, n))
         ef = token_files.EliasFano.of(v)
-        assert ef.values().tolist() == v.tolist() == [ef[i] for i in range(n)]
+        assert v.tolist() == [ef[i] for i in range(n)]
+        packed = ef.packed()
+        back, end = token_files.EliasFano.read(b"xyz" + packed + b"more", 3)
+        assert end == 3 + len(packed) and v.tolist() == [back[i] for i in range(n)]
         assert 8 * (len(ef.low) + len(ef.high)) <= n * (2 + np.ceil(np.log2(max(top / n, 1)) + 1)) + 16
     parts = [b"\1\0\2\0", b"", b"\5\0"]
-    block = token_files.Block(token_files.pack_block([7, None, 9], parts, 2))
-    assert block.doc_ids == [7, None, 9] and [block.ids(i).tolist() for i in range(3)] == [[1, 2], [], [5]]
+    block = token_files.Block(token_files.pack_block([None, 7, 9], parts, 2))
+    assert [block.doc_id(i) for i in range(3)] == [None, 7, 9] and [block.ids(i).tolist() for i in range(3)] == [[1, 2], [], [5]]
+    assert token_files.Block(token_files.pack_block([], [], 2)).n == 0
+    assert [token_files.Block(token_files.pack_block([-5, -5, 1 << 60], parts, 2)).doc_id(i) for i in range(3)] == [-5, -5, 1 << 60]
+    with pytest.raises(ValueError):
+        token_files.pack_block([2, 1], parts[:2], 2)
     with pytest.raises(ValueError):
         token_files.Block(b"X" * 64)
 
 
+def test_a_tokenizer_of_another_kind_gets_whole_texts():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder, tk = token_files.UnitEncoder(path), Tokenizer.from_file(path)
+    some = ["Hello there  world", "a\nb", ""]
+    assert not encoder.in_units and token_files.UnitEncoder(BYTES).in_units
+    assert [np.frombuffer(x, f"<u{encoder.width}").tolist() for x in encoder.encode(some)] == [tk.encode(t, add_special_tokens=False).ids for t in some]
+
+
 def test_units_encode_like_whole_texts():
     encoder, tk = token_files.UnitEncoder(BYTES), Tokenizer.from_file(BYTES)
     rng = np.random.default_rng(5)
@@ -359,7 +442,7 @@ def test_forest_finds_held_out_bad_documents(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     model = isolation.fit(docs, labels.where("doc_id % 2 = 0"))
-    rest = isolation.judged(docs.join(labels.where("doc_id % 2 = 1"), "doc_id"), model).select("quality", "__q.kept", "__q.base_failed").toPandas()
+    rest = isolation.judged(docs.join(labels.where("doc_id % 2 = 1"), "doc_id"), model).select("row.quality", "q.kept", "q.base_failed").toPandas()
     bad, good = rest[rest.quality == 0], rest[(rest.quality == 1) & ~rest.base_failed]
     assert (~bad.kept).mean() > 0.95 and good.kept.mean() > 0.97
 
@@ -383,7 +466,7 @@ def test_prefix_counts(docs, rows, library):
     assert Counter((r["doc_id"], r["n_bytes"], r["n_tokens"]) for r in got) == Counter((r["doc_id"], len((r["text"] or "").encode()), len(library.encode(r["text"] or ""))) for r in rows)
     text = {r["doc_id"]: r["text"] or "" for r in rows if r["doc_id"] is not None}
     for r in got:
-        if r["doc_id"] is None or r["doc_id"] in (9, 11):
+        if r["doc_id"] is None:
             continue
         t = text[r["doc_id"]]
         assert r["over_limit"] == (r["n_tokens"] > 40) and len(r["steps"]) == len(t)
@@ -393,11 +476,42 @@ def test_prefix_counts(docs, rows, library):
             assert r["fit_chars"] == max(p for p in range(len(t) + 1) if len(library.encode(t[:p])) <= 40)
 
 
-def test_truncated(docs):
+def test_units_together_are_units_alone(library):
+    """The lattice of many units at once against that of one unit, and both against the library."""
+    from seagrid.llm.pieces import load
+
+    pieces = load(MODEL)
+    rng = np.random.default_rng(11)
+    units = ["▁" * int(rng.integers(0, 4)) + "".join(rng.choice(list("aeinrstéß日\U0001f600#%1,."), rng.integers(1, 30))) for _ in range(2000)] + ["▁", "\n", "▁the", "é", "日本"]
+    got = pieces.paths(units)
+    for u, ids, steps in zip(units, got.ids(), got.steps(), strict=True):
+        assert np.frombuffer(ids, np.int32).tolist() == pieces.encode_unit(u)
+        assert steps == pieces.steps_of_unit(u)
+        if u.startswith("▁") and len(u) > 1:
+            assert pieces.encode_unit(u) == library.encode(u[1:])
+    assert pieces.paths([]).ids() == []
+
+
+def test_truncated(spark, docs):
     unique = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
+    unique = unique.withColumns({"__id": F.lit("a"), "__fit": F.lit("b"), "fit_chars": F.lit("c")})
     cut = token_counts.truncated(unique, token_counts.prefix_counts(unique, MODEL, limit=40))
+    assert cut.columns == unique.columns and cut.select("__id", "__fit", "fit_chars").distinct().collect() == [("a", "b", "c")]
+    cut = cut.select(*docs.columns)
     again = token_counts.prefix_counts(cut, MODEL, limit=40).where("over_limit")
-    assert cut.columns == docs.columns and again.count() == 0
+    assert again.count() == 0
+    nameless = spark.createDataFrame([(None, "word " * 100)], "doc_id long, text string")
+    assert token_counts.truncated(nameless, token_counts.prefix_counts(nameless, MODEL, limit=40)).collect() == nameless.collect()
+
+
+def test_decode_gives_null_for_null(spark):
+    df = spark.createDataFrame([(None,), ([],), ([450, 29871],)], "ids array<int>")
+    assert [r[0] for r in df.select(scan_encode.decode("ids", MODEL)).collect()][:2] == [None, ""]
+
+
+def test_matrices_travel_as_arrays():
+    m = {(-2, 0, 0): {(5, 3, 1): 0.5, (7, 2, 0): -1.0}, (4, 2, 1): {(5, 3, 1): 0.0}}
+    assert scan_encode.unpacked(*scan_encode.packed(m)) == m and scan_encode.unpacked(*scan_encode.packed({})) == {}
 
 
 @pytest.mark.parametrize("chunk", [24, 300, 1 << 15])
@@ -439,7 +553,7 @@ def test_unigram_lattice_finds_the_best_score(tmp_path):
     pieces, library = Pieces(path), sentencepiece.SentencePieceProcessor(model_file=path)
     encoder = scan_encode.ScanEncoder(pieces)
     for t in ["hello there general", "internationalisation of everything"]:
-        ids = encoder.encode(t).tolist()
+        ids = next(encoder.encode([t])).tolist()
         assert sum(pieces.score[i] for i in ids) >= sum(pieces.score[i] for i in library.encode(t)) - 1e-3
     text = pieces.marked("internationalisationofeverything")
     cut = len(text) // 2
@@ -486,6 +600,19 @@ def test_exact_dedup(docs, rows):
         assert Counter(r["doc_id"] for r in left.collect()) == Counter(r["doc_id"] for r in got if r["kept"])
 
 
+def test_copies_without_ids_and_columns_of_any_name(spark):
+    df = spark.createDataFrame([(None, "same text", "a")] * 40 + [(3, "same  text", "b"), (2, "other", "c"), (2, "other", "c")], "doc_id long, text string, row string")
+    got = exact_dedup.exact_duplicates(df, counters=2).collect()
+    assert len(got) == 43 and sum(r["kept"] for r in got) == 2
+    assert Counter((r["doc_id"], r["text"], r["row"]) for r in exact_dedup.drop_exact_duplicates(df, counters=2).collect()) == {(3, "same  text", "b"): 1, (2, "other", "c"): 1}
+    odd = df.withColumns({c: F.lit(c) for c in ("__q", "q", "__curve", "curve", "cell", "part", "__row", "__id", "copy", "nth", "n_chars", "lang", "source")})
+    labels = spark.createDataFrame([(2, 1), (2, 1), (3, 0)], "doc_id long, quality int")
+    assert isolation.keep_good(odd.withColumn("text", F.repeat(F.lit("some words here "), 3)), labels).columns == odd.columns
+    assert isolation.keep_good(odd.withColumn("text", F.concat_ws(" ", F.sequence(F.lit(1), F.lit(80)).cast("array<string>"))), labels).select("__q", "q").distinct().collect() == [("__q", "q")]
+    assert hilbert.hilbert_shards(odd, 3).count() == 43
+    assert mixing.mixed_documents(odd).columns == odd.columns and simhash.drop_near_duplicates(odd).columns == odd.columns
+
+
 def test_hot_texts_are_found(spark):
     df = spark.createDataFrame([(f"d{i % 500}" if i % 3 else "hot",) for i in range(6000)], "digest string").repartition(7)
     got = {r["digest"]: r["n"] for r in exact_dedup.summary(df, 16).collect()}
@@ -556,7 +683,7 @@ URLS = [
 ]
 
 
-def _judge(url):
+def _judge(url, listed=()):
     host = path = ""
     if url and "://" in url:
         rest = url.split("://", 1)[1]
@@ -564,22 +691,43 @@ def _judge(url):
         path = re.match(r"[^?#]*", rest[len(host) :])[0]
         host = host.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
     fits = [(len(r), r, v) for r, v in RULES if (host == r.split("/", 1)[0] or host.endswith("." + r.split("/", 1)[0])) and path.startswith("/" + r.split("/", 1)[1])]
-    _, rule, verdict = max(fits, default=(0, None, "allow"))
+    plain = re.sub(r":(80|443)\Z", "", re.sub(r"^(www|m)\.", "", host)) + re.sub(r"(/|\.html)\Z", "", path)
+    _, rule, verdict = max(fits, default=(0, None, "block" if host and plain in listed else "allow"))
     return host, path, rule, verdict
 
 
 @pytest.mark.parametrize("broadcast", [0, 1 << 20])
 def test_urls(spark, broadcast):
-    pages = spark.createDataFrame([(i, u, "x", "y") for i, u in enumerate(URLS + URLS[:5])], "page_id long, url string, host string, rule string")
-    listed = spark.createDataFrame(RULES + [(f"filler{i}.example/x", "block") for i in range(500)], "rule string, verdict string")
-    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.url_verdicts(pages, listed, broadcast_bytes=broadcast).collect()}
-    assert got == {i: _judge(u) for i, u in enumerate(URLS + URLS[:5])}
+    urls = URLS + URLS[:5] + ["https://WWW.a.org:443/x/", "http://m.a.org/x.html?q=1", "http://a.org/x/y", "http://a.org/x", "http://m.m.a.org/x", "http://www.example.com/en/7.html"]
+    pages = spark.createDataFrame([(i, u, "x", "y") for i, u in enumerate(urls)], "page_id long, url string, host string, rule string")
+    rules = spark.createDataFrame(RULES + [(f"filler{i}.example/x", "block") for i in range(500)], "rule string, verdict string")
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.url_verdicts(pages, rules, broadcast_bytes=broadcast).collect()}
+    assert got == {i: _judge(u) for i, u in enumerate(urls)}
+    listed = ["a.org/x", "example.com/en/7", "u.org"]
+    table = spark.createDataFrame([(u,) for u in [*listed, None, *[f"filler{i}" for i in range(500)]]], "url string")
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.url_verdicts(pages, rules, table, broadcast_bytes=broadcast).collect()}
+    assert got == {i: _judge(u, listed) for i, u in enumerate(urls)}
+    assert sum(v[3] == "block" and v[2] is None for v in got.values()) == 4
+    assert {r["url"] for r in url_filter.repeated_urls(pages).collect()} == {u for u, n in Counter(_plain_url(x) for x in urls).items() if n > 1 and u}
+
+
+def _plain_url(url):
+    host, path, *_ = _judge(url)
+    return host and re.sub(r":(80|443)\Z", "", re.sub(r"^(www|m)\.", "", host)) + re.sub(r"(/|\.html)\Z", "", path)
+
+
+def test_rules_given_twice_without_path_or_in_capitals(spark):
+    pages = spark.createDataFrame([(1, "http://a.b.org/x"), (2, "http://c.net/q/1"), (3, "http://d.net"), (4, None), (5, None)], "page_id long, url string")
+    for order in (1, -1):
+        rules = spark.createDataFrame([("b.org", "block"), ("C.net/q", "allow"), ("C.net/q", "block"), (None, "block")][::order], "rule string, verdict string")
+        got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.url_verdicts(pages, rules).collect()}
+        assert got == {1: ("b.org", "block"), 2: ("C.net/q", "block"), 3: (None, "allow"), 4: (None, "allow"), 5: (None, "allow")}
 
 
 def test_bloom_filter_has_no_false_negatives_and_few_positives(spark):
     keys = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("key"))
     probes = spark.range(6000).select(F.concat(F.lit("k"), "id").alias("key"))
-    hits = {r["key"] for r in url_filter.possible_hits(probes, keys).collect()}
+    hits = {r["key"] for r in bloom.possible_hits(probes, keys).collect()}
     assert {f"k{i}" for i in range(3000)} <= hits and len(hits) < 3060
 
 
