@@ -54,7 +54,7 @@ def summary(digests: DataFrame, counters: int = COUNTERS) -> DataFrame:
 
 
 def _rank() -> Column:
-    return F.struct((-F.col("n_cp")).alias("longest"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"))
+    return F.struct((-F.col("n_cp")).alias("longest"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"), F.col("row").alias("row"))
 
 
 def heavy_winners(rows: DataFrame, counters: int = COUNTERS) -> DataFrame:
@@ -72,18 +72,16 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             F.col(id_col).alias("doc_id"),
             F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_cp"),
             digest(F.col(text_col)).alias("digest"),
+            F.monotonically_increasing_id().alias("row"),
         ),
         "digests",
     )
     heavy = materialise(heavy_winners(rows, counters), "heavy")
     split = rows.join(F.broadcast(heavy), "digest", "left")
-    best = _rank() == F.col("best")
-    losers = split.where(F.col("best").isNotNull() & ~best).select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", F.lit(False).alias("kept"), "digest")
-    # Rows that tie with a hot winner in length and id are repeats of one row: number them, keep the first.
-    tied = split.where(best).withColumn("nth", F.row_number().over(Window.partitionBy("digest").orderBy("doc_id")))
-    tied = tied.select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("nth") == 1).alias("kept"), "digest")
+    # The row's place decides between repeated rows, so the winner of a hot text is known where it is read.
+    hot = split.where(F.col("best").isNotNull()).select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (_rank() == F.col("best")).alias("kept"), "digest")
     group = Window.partitionBy("digest")
-    order = group.orderBy(F.desc("n_cp"), F.asc_nulls_last("doc_id"))
+    order = group.orderBy(F.desc("n_cp"), F.asc_nulls_last("doc_id"), "row")
     light = split.where(F.col("best").isNull()).select(
         "doc_id",
         F.first("doc_id").over(order).alias("keep_id"),
@@ -91,15 +89,16 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         (F.row_number().over(order) == 1).alias("kept"),
         "digest",
     )
-    return losers.unionByName(tied).unionByName(light).withColumnRenamed("digest", "text_sha256")
+    return hot.unionByName(light).withColumnRenamed("digest", "text_sha256")
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS) -> DataFrame:
     """docs without the copies, all columns kept. Losers of hot texts go where they are read, without a shuffle."""
     key = F.struct((-F.length(F.coalesce(F.col(text_col), F.lit("")))).cast("long").alias("longest"), F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("doc_id"))
     keyed = docs.select(F.struct(*docs.columns).alias("row"), digest(F.col(text_col)).alias("digest"), key.alias("key"))
-    slim = materialise(keyed.select("digest", (-F.col("key.longest")).alias("n_cp"), F.col("key.doc_id").alias("doc_id")), "digests")
+    slim = materialise(keyed.select("digest", (-F.col("key.longest")).alias("n_cp"), F.col("key.doc_id").alias("doc_id"), F.lit(0).alias("row")), "digests")
     heavy = materialise(heavy_winners(slim, counters), "heavy")
-    rest = keyed.join(F.broadcast(heavy.select("digest", "best")), "digest", "left").where(F.col("best").isNull() | (F.col("key") == F.col("best")))
-    nth = F.row_number().over(Window.partitionBy("digest").orderBy("key"))
-    return rest.withColumn("nth", nth).where("nth = 1").select("row.*")
+    best = F.struct("best.longest", "best.no_id", "best.doc_id")
+    rest = keyed.join(F.broadcast(heavy.select("digest", "best")), "digest", "left").where(F.col("best").isNull() | (F.col("key") == best))
+    # Repeated rows of a winner are alike; partial aggregation leaves one of each task before the shuffle.
+    return rest.groupBy("digest").agg(F.min_by("row", "key").alias("row")).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

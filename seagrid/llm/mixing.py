@@ -63,10 +63,10 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
     return rows.select("source", "source_size", "n_docs", target.alias("target"))
 
 
-def _fold(items: Column, seed: int) -> Column:
+def _fold(items: Column, seed: int, key_type: str) -> Column:
     """Pivotal rounding along an array of structs (key, p, s): struct (open, done), done with p of 0 or 1."""
-    none = F.lit(None).cast("struct<key:bigint,p:double,s:double>")
-    done = F.array().cast("array<struct<key:bigint,p:double,s:double>>")
+    item = f"struct<key:{key_type},p:double,s:double>"
+    none, done = F.lit(None).cast(item), F.array().cast(f"array<{item}>")
 
     def step(acc: Column, b: Column) -> Column:
         a = acc["open"]
@@ -92,6 +92,7 @@ def _fold(items: Column, seed: int) -> Column:
 
 def pivotal_round(items: DataFrame, fan_in: int = FAN_IN, seed: int = SEED) -> DataFrame:
     """Rows (source, key, taken) with taken 0 or 1 from rows (source, key, p, s), 0 < p < 1, s > 0."""
+    kind = items.schema["key"].dataType.simpleString()
     counts = items.groupBy("source").agg(F.count("*").alias("m"))
     most = counts.agg(F.max("m")).first()[0] or 0
     groups = F.greatest(F.ceil(F.col("m") / fan_in), F.lit(1)).cast("long")
@@ -103,7 +104,7 @@ def pivotal_round(items: DataFrame, fan_in: int = FAN_IN, seed: int = SEED) -> D
     while True:
         gathered = level.groupBy("source", "g", "groups").agg(F.sort_array(F.collect_list(F.struct("s", "key", "p"))).alias("items"))
         items_in = F.transform("items", lambda x: F.struct(x["key"].alias("key"), x["p"].alias("p"), x["s"].alias("s")))
-        folded = materialise(gathered.select("source", "g", "groups", _fold(items_in, seed).alias("r")), "pivot")
+        folded = materialise(gathered.select("source", "g", "groups", _fold(items_in, seed, kind).alias("r")), "pivot")
         done = folded.select("source", F.explode("r.done").alias("x")).select("source", "x.key", F.col("x.p").cast("int").alias("taken"))
         out = done if out is None else out.unionByName(done)
         level = folded.where("r.open is not null").select("source", "r.open.key", "r.open.p", "r.open.s", "g", "groups")
@@ -132,7 +133,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     part = F.greatest(F.col("rate") - F.col("whole"), F.lit(0.0))
     named = named.withColumn("sure", F.floor(part * F.col("m") + _EPS).cast("long"))
     named = named.withColumn("p", F.greatest(part * F.col("m") - F.col("sure"), F.lit(0.0)))
-    named = named.withColumn("key", F.xxhash64(F.lit(seed), "doc_id", "text_hash", F.coalesce("source", F.lit(""))))
+    # Two hashes, so that rows of a source don't share a key.
+    named = named.withColumn("key", F.struct(*[F.xxhash64(F.lit(seed + i), "doc_id", "text_hash", "size").alias(f"h{i}") for i in range(2)]))
     open_ = (F.col("size") > 0) & (F.col("p") > _EPS) & (F.col("p") < 1 - _EPS)
     taken = pivotal_round(named.where(open_).select("source", "key", "p", F.col("size").cast("double").alias("s")), fan_in, seed)
     taken = taken.select(F.col("key").alias("k"), F.col("source").alias("of"), "taken")
@@ -150,9 +152,17 @@ def taken_words(mixed: DataFrame) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """docs with each row as often as the mix takes it, all columns kept; rows taken 0 times go."""
-    mixed = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options).select(F.col("doc_id").alias("__id"), F.col("source").alias("__of"), F.col("text_hash").alias("__h"), "whole", "extra")
-    keyed = docs.select(F.struct(*docs.columns).alias("__row"), F.col(id_col).alias("__own"), F.col(source_col).alias("__source"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("__hash"))
-    met = keyed.join(mixed, F.col("__own").eqNullSafe(F.col("__id")) & F.col("__source").eqNullSafe(F.col("__of")) & (F.col("__hash") == F.col("__h")))
-    nth = F.row_number().over(Window.partitionBy("__own", "__source", "__hash").orderBy(F.lit(1)))
+    key = ["no_id", "own", "no_source", "of", "hash"]
+
+    def named(i: Column, source: Column, h: Column) -> list[Column]:
+        parts = [i.isNull(), F.coalesce(i, F.lit(0)).cast("long"), source.isNull(), F.coalesce(source, F.lit("")), h]
+        return [c.alias(k) for c, k in zip(parts, key, strict=True)]
+
+    mixed = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
+    mixed = mixed.select(*named(F.col("doc_id"), F.col("source"), F.col("text_hash")), "whole", "extra")
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), *named(F.col(id_col), F.col(source_col), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))))
+    met = keyed.join(mixed, key)  # the window has the join's key, so whole rows are shuffled once
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(1)))
     copies = F.col("whole") + F.when(F.col("nth") <= F.col("extra"), 1).otherwise(0)
-    return met.withColumn("nth", nth).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), copies))).where("copy > 0").select("__row.*")
+    each = met.withColumn("nth", nth).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), copies))).where("copy > 0")
+    return each.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -230,10 +230,14 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
-    """docs with one document of each component, the one of the smallest id, all columns kept."""
+    """docs with one document of each component, the one of the smallest id, all columns kept.
+
+    Whole rows are shuffled once; of rows equal in id and text one is left by each task before that.
+    """
     rows = materialise(fingerprints(docs, id_col, text_col), "fingerprints")
-    keepers = near_duplicate_groups(rows, distance).select("keeper").distinct().select(F.col("keeper.doc_id").alias("__id"), F.col("keeper.text_hash").alias("__text"))
-    keyed = docs.select(F.struct(*docs.columns).alias("__row"), F.col(id_col).alias("__own"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("__hash"))
-    kept = keyed.join(keepers, F.col("__own").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__text")))
-    first = Window.partitionBy("__own", "__hash").orderBy(F.lit(1))
-    return kept.withColumn("__nth", F.row_number().over(first)).where("__nth = 1").select("__row.*")
+    keeper = near_duplicate_groups(rows, distance).select("keeper.*").distinct()
+    named = lambda i, h: [i.isNull().alias("no_id"), F.coalesce(i, F.lit(0)).cast("long").alias("own"), h.alias("hash")]
+    keepers = keeper.select(*named(F.col("doc_id"), F.col("text_hash")))
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), *named(F.col(id_col), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))))
+    kept = keyed.groupBy("no_id", "own", "hash").agg(F.first("row").alias("row")).join(keepers, ["no_id", "own", "hash"])
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
