@@ -79,7 +79,7 @@ def central_point(df: DataFrame, by: list[str]) -> DataFrame:
     The two central longitudes must be less than 90 degrees apart, else there is an error and no longitude.
     """
     lons = df.select(*by, angles.normalize(F.col("longitude")).alias("lon")).distinct().join(_west(df, by), by)
-    off = F.array_sort(F.collect_list(F.pmod(F.col("lon") - F.col("west"), F.lit(360.0)))).alias("offs")  # as many as the grid has columns
+    off = F.sort_array(F.collect_list(F.pmod(F.col("lon") - F.col("west"), F.lit(360.0)))).alias("offs")  # as many as the grid has columns
     lon = lons.groupBy(*by).agg(off, F.first("west").alias("west"))
     n = F.size("offs")
     low, high = F.get("offs", F.floor((n - 1) / 2).cast("int")), F.get("offs", F.floor(n / 2).cast("int"))

@@ -1,8 +1,8 @@
 """What is sent for each answered request: bins of every asked variable, packed in canonical order, with a manifest.
 
 Binned variables take one hex digit a cell and part (a velocity has two parts, speed and direction),
-rounded ones four, a signed integer of two bytes. A variable that misses a value where only currents
-may is left out. Groups are one part of one variable of one request, which the manifest's limit bounds.
+rounded ones four, a signed integer of two bytes. A variable that misses a value, which only currents
+may, is left out. A group is the cells of one request, which the manifest's limit on a variable bounds.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from seagrid.functions import angles
 from seagrid.operators import quantize
 from seagrid.sources.dims import DIRECTION_EDGES, MASKED_EDGES, VARIABLES, variable_dim
 
+_MISSING = "?"
 ORDER = ["lead_hours", "realization", "lon_off", "lat_idx"]
 
 
@@ -42,30 +43,35 @@ def _parts(kind: str, columns: list[str], edges: list[float]) -> list[tuple[Colu
     return []
 
 
-def payloads(cells: DataFrame) -> DataFrame:
-    """Rows (request_id, variable, packed) from cells (request_id, variables, lead_hours, realization, lon_off, lat_idx, columns)."""
+def payloads(cells: DataFrame, requests: DataFrame) -> DataFrame:
+    """Rows (request_id, variable, packed) from cells (request_id, lead_hours, realization, lon_off, lat_idx, columns) and requests (request_id, variables).
+
+    A cell becomes one short text of the digits of all its parts, so that a request's cells are gathered and sorted once.
+    """
     have = set(source_columns(cells))
-    parts = []
+    texts, at, found = [], 1, []
     for name, kind, columns, _, edges, *_ in VARIABLES:
-        if set(columns) <= have:
-            for i, (number, digits) in enumerate(_parts(kind, columns, edges)):
-                parts.append(F.struct(F.lit(name).alias("variable"), F.lit(i).alias("part"), F.lpad(F.hex(number.cast("long")), digits, "0").alias("digits")))
-    asked = F.filter(F.array(*parts), lambda p: F.array_contains("variables", p["variable"]))
-    rows = cells.select("request_id", *ORDER, F.explode(asked).alias("p")).select("request_id", "p.variable", "p.part", *ORDER, "p.digits")
-    inside = F.transform(F.array_sort(F.collect_list(F.struct(*ORDER, "digits"))), lambda x: x["digits"])
-    got = rows.groupBy("request_id", "variable", "part").agg(F.array_join(inside, "").alias("text"), (F.count("digits") == F.count("*")).alias("whole"))
-    n = F.length("text")
-    even = F.when(n % 2 == 0, F.col("text")).otherwise(F.concat(F.substring("text", F.lit(1), n - 1), F.lit("0"), F.substring("text", n, F.lit(1))))
-    got = got.select("request_id", "variable", "part", F.when(F.col("whole"), even).alias("text"))
-    joined = got.groupBy("request_id", "variable").agg(F.array_sort(F.collect_list(F.struct("part", "text"))).alias("parts"), (F.count("text") == F.count("*")).alias("whole"))
-    texts = F.transform("parts", lambda x: x["text"])
-    alike = F.size(F.array_distinct(F.transform(texts, F.length))) == 1  # parts of one variable are equally long
-    return joined.where(F.col("whole") & alike).select("request_id", "variable", F.unhex(F.array_join(texts, "")).alias("packed"))
-
-
-def sent(cells: DataFrame) -> DataFrame:
+        if set(columns) <= have and (parts := _parts(kind, columns, edges)):
+            for number, digits in parts:
+                texts.append(F.coalesce(F.lpad(F.hex(number.cast("long")), digits, "0"), F.lit(_MISSING * digits)))
+            found.append((name, at, len(parts), parts[0][1]))
+            at += sum(digits for _, digits in parts)
+    rows = cells.groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct(*ORDER, F.concat(*texts).alias("text")))).alias("cells"))
+    rows = rows.select("request_id", F.transform("cells", lambda c: c["text"]).alias("texts")).join(requests.select("request_id", "variables"), "request_id")
+
+    def packed(start: int, digits: int) -> Column:
+        """The digits of one part of all cells; an odd last digit stands in the low half of its byte."""
+        text = F.array_join(F.transform("texts", lambda t: F.substring(t, start, digits)), "")
+        n = F.length(text)
+        return F.when(n % 2 == 0, text).otherwise(F.concat(F.substring(text, F.lit(1), n - 1), F.lit("0"), F.substring(text, n, F.lit(1))))
+
+    every = [F.struct(F.lit(name).alias("variable"), F.concat(*[packed(start + i * digits, digits) for i in range(n)]).alias("text")) for name, start, n, digits in found]
+    asked = F.array(*[F.when(F.array_contains("variables", name), x) for (name, *_), x in zip(found, every, strict=True)])
+    rows = rows.select("request_id", F.explode(F.array_compact(asked)).alias("x")).where(~F.contains("x.text", F.lit(_MISSING)))
+    return rows.select("request_id", "x.variable", F.unhex("x.text").alias("packed"))
+
+
+def sent(cells: DataFrame, requests: DataFrame) -> DataFrame:
     """Rows (request_id, version, entries, total_bytes, manifest_error, payloads) of each request with something to send."""
-    rows = payloads(cells)
-    manifest = quantize.payload_manifest(rows, variable_dim(cells.sparkSession)).withColumnRenamed("error", "manifest_error")
-    packed = rows.groupBy("request_id").agg(F.map_from_entries(F.collect_list(F.struct("variable", "packed"))).alias("payloads"))
-    return manifest.join(packed, "request_id")
+    manifest = quantize.payload_manifest(payloads(cells, requests), variable_dim(cells.sparkSession), with_payloads=True)
+    return manifest.withColumnRenamed("error", "manifest_error")

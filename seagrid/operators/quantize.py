@@ -152,7 +152,7 @@ def pack_bins(df: DataFrame, by: list[str], order: list[str], b: str = "bin", bi
     payload null. A group is one variable of one request, whose size the manifest bounds.
     """
     per = 8 // bits
-    got = df.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, b))), lambda x: x[b]).alias("bins"), F.max(b).alias("top"))
+    got = df.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct(*order, b))), lambda x: x[b]).alias("bins"), F.max(b).alias("top"))
     n = F.size("bins")
     whole = F.slice("bins", 1, F.expr(f"cast(cardinality(bins) div {per} * {per} as int)"))
     tail = F.slice("bins", F.expr(f"cast(cardinality(bins) div {per} * {per} + 1 as int)"), per)
@@ -182,10 +182,11 @@ def unpack_bins(df: DataFrame, by: list[str], bits: int = 4) -> DataFrame:
     return rows.select(*by, "nth", F.expr(f"shiftright(byte, shift) & {(1 << bits) - 1}").alias("bin"))
 
 
-def payload_manifest(payloads: DataFrame, variables: DataFrame, version: int = 1) -> DataFrame:
+def payload_manifest(payloads: DataFrame, variables: DataFrame, version: int = 1, with_payloads: bool = False) -> DataFrame:
     """Rows (request_id, version, entries, total_bytes, error) from rows (request_id, variable, packed).
 
-    Entries are in the registry's order; unknown variables and payloads over 2**24 bytes are errors.
+    Entries are in the registry's order; unknown variables and payloads over 2**24 bytes are errors. with_payloads adds
+    `payloads`, a map from variable to packed bytes.
     """
     met = payloads.join(F.broadcast(variables.select(F.col("name").alias("variable"), "ord")), "variable", "left")
     size = F.octet_length("packed")
@@ -193,8 +194,9 @@ def payload_manifest(payloads: DataFrame, variables: DataFrame, version: int = 1
         F.sort_array(F.collect_list(F.struct("ord", "variable", size.alias("size")))).alias("entries"),
         F.sum(size).alias("total_bytes"),
         F.max(F.when(F.col("ord").isNull(), "unknown variable").when(size > 1 << 24, "variable too large")).alias("error"),
+        *([F.map_from_entries(F.collect_list(F.struct("variable", "packed"))).alias("payloads")] if with_payloads else []),
     )
-    return got.select("request_id", F.lit(version).alias("version"), "entries", "total_bytes", "error")
+    return got.select("request_id", F.lit(version).alias("version"), "entries", "total_bytes", "error", *(["payloads"] if with_payloads else []))
 
 
 def read_manifest(manifest: DataFrame, version: int = 1) -> DataFrame:
@@ -215,7 +217,7 @@ def combined_payload(payloads: DataFrame, by: list[str], parts: list[str], name:
     A missing part or parts of different sizes are an error, and nothing is packed.
     """
     place = F.array_position(F.array(*[F.lit(p) for p in parts]), F.col("variable"))
-    got = payloads.where(F.col("variable").isin(parts)).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(place.alias("at"), F.hex("packed").alias("text")))).alias("parts"))
+    got = payloads.where(F.col("variable").isin(parts)).groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(place.alias("at"), F.hex("packed").alias("text")))).alias("parts"))
     texts = F.transform("parts", lambda p: p["text"])
     there = (F.size("parts") == len(parts)) & ~F.exists(texts, lambda t: t.isNull())
     alike = F.size(F.array_distinct(F.transform(texts, F.length))) == 1

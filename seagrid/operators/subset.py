@@ -23,7 +23,7 @@ def grid_spec(forecast: DataFrame) -> DataFrame:
     One pass over the cells; a row holds the values of two axes, as many as the grid has lines.
     """
     pairs = {"lat": F.struct(F.col("lat_idx").alias("i"), F.col("latitude").alias("x")), "lon": F.struct(F.col("lon_idx").alias("i"), F.col("longitude").alias("x"))}
-    axes = forecast.groupBy("model").agg(*[F.array_sort(F.collect_set(x)).alias(s) for s, x in pairs.items()])
+    axes = forecast.groupBy("model").agg(*[F.sort_array(F.collect_set(x)).alias(s) for s, x in pairs.items()])
     out = {}
     for s in pairs:
         values = F.transform(s, lambda v: v["x"])
