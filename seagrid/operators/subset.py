@@ -199,7 +199,8 @@ def _interpolated(corners: DataFrame, forecast: DataFrame, on: list[str], variab
             value = F.sum(F.col("weight") * F.col(name))
         return F.when(F.count(name) == F.count("*"), value).alias(name)
 
-    return met.groupBy("request_id", "lead_hours", "realization").agg(*[total(v) for v in variables])
+    by = met.groupBy("request_id", "lead_hours", "realization")
+    return by.agg(*[total(v) for v in variables]) if variables else by.agg(F.count("*")).drop("count(1)")
 
 
 def spot_interpolate(requests: DataFrame, forecast: DataFrame, spec: DataFrame, variables: list[str], circular: tuple[str, ...] = ()) -> DataFrame:

@@ -30,10 +30,10 @@ def answer_batch(messages: DataFrame, runs: DataFrame, forecast: DataFrame, spec
     met = met.withColumn("error", F.coalesce("error", "run_error")).drop("run_error").join(lines.select("request_id", "text"), "request_id")
 
     good = met.where("error is null").drop("error")
-    columns = source_columns(forecast)
-    cells = answer_requests(good, forecast, spec, columns)
+    asked = [r[0] for r in good.select(F.explode("variables")).distinct().collect()]  # of the registry's few names
+    cells = answer_requests(good, forecast, spec, source_columns(forecast, asked))
     missing = select_hours(good, forecast).where("not available").groupBy("request_id").agg(F.sort_array(F.collect_set("lead_hours")).alias("missing"))
-    met = met.join(sent(cells, good), "request_id", "left").join(missing, "request_id", "left")
+    met = met.join(sent(cells, good, asked), "request_id", "left").join(missing, "request_id", "left")
     nothing = F.when(F.col("version").isNull(), F.lit("nothing of the forecast fits the request"))
     met = met.withColumn("error", F.coalesce("error", "manifest_error", nothing)).drop("manifest_error")
     lacks = F.transform(F.coalesce("missing", F.array().cast("array<int>")), lambda h: F.concat(F.lit("no forecast for hour "), h.cast("string")))

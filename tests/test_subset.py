@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seagrid.operators import ensemble, runs, subset
+from seagrid.operators.payloads import payloads, sent
 from seagrid.plans import derived, queries
 from seagrid.sources import ingest
 from seagrid.streaming.answers import answer_batch, answer_stream
@@ -168,6 +169,19 @@ def test_stream_gives_what_the_batch_gives(spark):
     assert got.count() == want.count() > 0 and got.exceptAll(want).count() == 0 and got.where("total_bytes > 0").count() > 0
 
 
+def test_packed_cells_read_back(spark):
+    """Bins and rounded values of an odd number of cells, in canonical order; a missing value leaves its variable out."""
+    values = [(98000.0, 3.2, 1.0), (101000.0, -4.6, None), (105000.0, 20.5, 2.0)]
+    rows = [("a", 6, 0, i, 0, *v) for i, v in enumerate(values)] + [("b", 6, 0, 0, 0, 98000.0, 1.0, 0.3)]
+    cells = spark.createDataFrame(rows[::-1], "request_id string, lead_hours int, realization int, lon_off int, lat_idx int, air_pressure_at_sea_level double, air_temperature double, sea_surface_wave_significant_height double")
+    requests = spark.createDataFrame([("a", ["pressure", "temperature", "waveheight"]), ("b", ["waveheight"]), ("c", ["pressure"])], "request_id string, variables array<string>")
+    got = {(r["request_id"], r["variable"]): bytes(r["packed"]).hex() for r in payloads(cells, requests).collect()}
+    assert got == {("a", "pressure"): "170f", ("a", "temperature"): "0003fffb0014", ("b", "waveheight"): "02"}
+    assert payloads(cells, requests, ["current"]).count() == 0
+    row = {r["request_id"]: r for r in sent(cells, requests).collect()}["a"]
+    assert [(x["variable"], x["size"]) for x in row["entries"]] == [("temperature", 6), ("pressure", 2)] and row["total_bytes"] == 8 and set(row["payloads"]) == {"pressure", "temperature"}
+
+
 def test_messages_without_a_request_are_rows_of_the_batch(spark):
     messages = spark.createDataFrame([(1, "Hello\nsend nomodel:1n,2n,3e,4e"), (2, "please help"), (3, None)], "msg_id int, body string").withColumn("received_at", F.timestamp_seconds(F.lit(1704200000)))
     got = {(r["msg_id"], r["request_id"], r["text"], r["error"]) for r in answer_batch(messages, derived.runs(spark, SF), derived.forecast(spark, SF)).collect()}
