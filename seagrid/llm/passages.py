@@ -117,7 +117,7 @@ _marks: dict[bytes, int] = {}
 
 
 def _mark(words: list[bytes]) -> np.ndarray:
-    if len(_marks) > 500_000:
+    if len(_marks) > 250_000:
         _marks.clear()
     known = _marks
     for w in set(words).difference(known):
@@ -141,7 +141,7 @@ def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return named.where("text is not null")
 
 
-def _slices(texts: list[str], most: int = 2 << 20) -> Iterator[tuple[int, int]]:
+def _slices(texts: list[str], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     start = size = 0
     for i, t in enumerate(texts):
         if size and size + len(t) > most:
@@ -285,7 +285,8 @@ def paragraph_links(docs: DataFrame, rows: DataFrame, similarity: float = SIMILA
     members = materialise(among(banded, shared).distinct(), "members")
     met = members.join(members.groupBy("key").agg(F.count("*").alias("n")), "key")
     central = met.groupBy("h").agg(F.sum("n").alias("met"))
-    heads = members.join(central, "h").groupBy("key").agg(F.min_by("h", F.struct(-F.col("met"), F.col("h"))).alias("head"))
+    # Heads are stored, so that the join on a hot key is one of two plain shuffles, which Spark splits.
+    heads = materialise(members.join(central, "h").groupBy("key").agg(F.min_by("h", F.struct(-F.col("met"), F.col("h"))).alias("head")), "heads")
     wanted = materialise(members.select("h").distinct(), "wanted")
     shingles = materialise(_shingles_of(docs, rows, wanted, id_col, text_col), "shingles")
     stars = members.join(heads, "key").where("h <> head").select(F.col("h").alias("a"), F.col("head").alias("b")).distinct()
@@ -295,7 +296,7 @@ def paragraph_links(docs: DataFrame, rows: DataFrame, similarity: float = SIMILA
     rest = materialise(_unlinked_pairs(stars, similarity), "rest")
     links = stars.where("linked").select("a", "b").unionByName(_similar(rest, shingles, similarity).where("linked").select("a", "b"))
     links = materialise(links, "links")
-    release(shared, members, wanted, shingles, stars, rest)
+    release(shared, members, heads, wanted, shingles, stars, rest)
     return links
 
 
@@ -372,7 +373,7 @@ def _reaches(around: DataFrame) -> DataFrame:
     Where two texts agree on more than REACH words before or after a window, they share a chosen window there as well.
     """
     first = F.struct(*[F.col(c).alias(f"{c}0") for c in (*_OWNER, "first_word", "words")])
-    heads = around.groupBy("h").agg(F.min_by(first, _place("first_word")).alias("head")).select("h", "head.*")
+    heads = materialise(around.groupBy("h").agg(F.min_by(first, _place("first_word")).alias("head")).select("h", "head.*"), "heads")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -387,6 +388,7 @@ def _reaches(around: DataFrame) -> DataFrame:
     met = around.join(heads, "h").select(*_OWNER, "first_word", "h", "words", *[f"{c}0" for c in _OWNER], "first_word0", "words0").mapInPandas(read, schema)
     itself = F.struct(*_OWNER, "first_word") == F.struct(*[f"{c}0" for c in _OWNER], "first_word0")
     met = materialise(met.withColumn("keep", itself), "reaches")
+    release(heads)
     others = met.where("not keep").select(*_OWNER, "h", (F.col("first_word") - F.col("left")).alias("start"), (F.col("first_word") + WINDOW + F.col("right")).alias("end"), F.lit(False).alias("keep"))
     own = [F.when(F.col("keep"), 0).otherwise(F.col(c)) for c in ("left", "right")]
     firsts = met.groupBy("h", *[f"{c}0" for c in _OWNER], "first_word0").agg(F.max(own[0]).alias("left"), F.max(own[1]).alias("right"))
