@@ -867,7 +867,7 @@ answers AS (
   SELECT request_id, CASE WHEN list_contains(variables, 'wind') THEN concat({_evened('sd')}, {_evened('dd')}) END AS wind, CASE WHEN list_contains(variables, 'pressure') THEN {_evened('pd')} END AS pressure
   FROM packs JOIN requests USING (request_id))
 SELECT concat(t.msg_id, '-', t.request_id - 10 * t.msg_id) AS request_id, t.msg_id, kind, t.model, hours, variables,
-  CASE WHEN t.model = 'gefs' THEN 1388556000 END AS run_time, CAST((length(coalesce(wind, '')) + length(coalesce(pressure, ''))) // 2 AS BIGINT) AS total_bytes, md5(wind) AS wind, md5(pressure) AS pressure,
+  CASE WHEN t.model = 'gefs' THEN CAST(1388556000 AS BIGINT) END AS run_time, CAST((length(coalesce(wind, '')) + length(coalesce(pressure, ''))) // 2 AS BIGINT) AS total_bytes, md5(wind) AS wind, md5(pressure) AS pressure,
   CASE WHEN t.error IS NOT NULL THEN t.error WHEN t.model <> 'gefs' THEN 'no run available' WHEN a.request_id IS NULL THEN 'nothing of the forecast fits the request' END AS error
 FROM typed t LEFT JOIN answers a USING (request_id)
 UNION ALL SELECT NULL, msg_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'no request found' FROM messages WHERE msg_id NOT IN (SELECT msg_id FROM typed)""")

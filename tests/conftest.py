@@ -15,6 +15,7 @@ def spark() -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "4g")
         .config("spark.local.dir", tempfile.mkdtemp(prefix="spark-"))
+        .config("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="spark-"))
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
