@@ -33,6 +33,7 @@ from seagrid.llm.pieces import MARK, Paths, Pieces, UnitMemory, load
 
 CHUNK = 1 << 15
 BLOCK = 64
+TOGETHER = 64  # chunks that are traced at a time
 START = (-2, 0, 0)  # a state: piece, its characters, those beyond the cut
 State = tuple[int, int, int]
 Matrix = dict[State, dict[State, float]]
@@ -47,9 +48,6 @@ class ScanEncoder:
         """Ids of plain texts, unit by unit."""
         return (np.frombuffer(x, np.int32) for x in self.memory.of(texts))
 
-    def encode_marked(self, marked: str) -> np.ndarray:
-        return np.frombuffer(self.memory.of_marked([marked])[0], np.int32)
-
     def states(self, left: str, right: str) -> list[State]:
         """All states at a cut between two contexts."""
         p, out = self.pieces, []
@@ -128,13 +126,23 @@ class ScanEncoder:
             key = (before, last)
         return [i for part in reversed(ids) for i in part]
 
-    def trace(self, left: str, body: str, right: str, entry: State, goal: State, last: bool) -> list[int]:
-        """The ids of the pieces that start in a chunk, between its two states."""
-        if (cut := self._cuts(body, left)) is None:
-            return self._trace(body + right, entry, len(body), goal, last)
-        a, b = cut
-        head = self._trace(body[:a], entry, a, START, True) if entry[2] < a else []
-        return [*head, *self.encode_marked(body[a:b]).tolist(), *self._trace(body[b:] + right, START, len(body) - b, goal, last)]
+    def trace(self, chunks: list[tuple[str, str, str, State, State, bool]]) -> list[np.ndarray]:
+        """The ids of the pieces that start in each chunk (left, body, right, entry, goal, last), between its two states.
+
+        What lies between the first and the last place where all paths meet is encoded for all chunks together.
+        """
+        heads, middles, tails = [], [], []
+        for left, body, right, entry, goal, last in chunks:
+            if (cut := self._cuts(body, left)) is None:
+                heads.append(self._trace(body + right, entry, len(body), goal, last))
+                middles.append("")
+                tails.append([])
+                continue
+            a, b = cut
+            heads.append(self._trace(body[:a], entry, a, START, True) if entry[2] < a else [])
+            middles.append(body[a:b])
+            tails.append(self._trace(body[b:] + right, START, len(body) - b, goal, last))
+        return [np.concatenate([np.array(h, np.int32), np.frombuffer(m, np.int32), np.array(t, np.int32)]) for h, m, t in zip(heads, self.memory.of_marked(middles), tails, strict=True)]
 
 
 def packed(matrix: Matrix) -> tuple[bytes, bytes]:
@@ -261,7 +269,8 @@ def encode(docs: DataFrame, model: str, chunk_chars: int = CHUNK, id_col: str =
     def traced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = _encoder(model)
         for batch in batches:
-            batch["ids"] = [np.array(encoder.trace(r.before, r.body, r.after, *_two_states(r.ends), r.chunk == r.n_chunks - 1), np.int32) for r in batch.itertuples()]
+            chunks = [(r.before, r.body, r.after, *_two_states(r.ends), r.chunk == r.n_chunks - 1) for r in batch.itertuples()]
+            batch["ids"] = [ids for i in range(0, len(chunks), TOGETHER) for ids in encoder.trace(chunks[i : i + TOGETHER])]
             yield batch[["uid", "chunk", "doc_id", "no_id", "text_hash", "ids"]]
 
     spark = docs.sparkSession
