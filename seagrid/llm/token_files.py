@@ -44,6 +44,7 @@ _HEAD = struct.Struct("<4sHHIIQq")
 _PART = struct.Struct("<IIII")
 _SAMPLE = 64
 _LONG = 64
+_WORDS = 100
 _SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _OTHER_SPACE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
@@ -165,7 +166,7 @@ class UnitEncoder:
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         kind = f"<u{self.width}"
-        return [np.array(x.ids, kind).tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(x.ids, kind).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, missing: set[str]) -> None:
         """Remember units that follow a space."""
@@ -189,11 +190,12 @@ class UnitEncoder:
             known[u] = known[stem] + bare[u[len(stem) :]]
 
     def _learn_plain(self, missing: list[str]) -> None:
-        """Many words in one call: the ids of each begin at a piece with a space."""
+        """Many words in one text: the ids of each begin at a piece with a space."""
         kind = f"<u{self.width}"
-        for i in range(0, len(missing), 1000):
-            some = missing[i : i + 1000]
-            ids = np.array(self.tokenizer.encode(" " + " ".join(some), add_special_tokens=False).ids, kind)
+        groups = [missing[i : i + _WORDS] for i in range(0, len(missing), _WORDS)]
+        found = self.tokenizer.encode_batch_fast([" " + " ".join(some) for some in groups], add_special_tokens=False)
+        for some, x in zip(groups, found, strict=True):
+            ids = np.array(x.ids, kind)
             starts = np.flatnonzero(self.leads[ids])
             if len(starts) != len(some):
                 self.known.update(zip(some, self._ids([" " + u for u in some]), strict=True))
