@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seagrid.llm import exact_dedup, hilbert, isolation, mixing, passages, scan_encode, simhash, token_counts, token_files, url_filter
+from seagrid.llm import exact_dedup, hilbert, isolation, merkle, mixing, packing, passages, scan_encode, simhash, token_counts, token_files, url_filter, whitening
 from seagrid.llm.common import materialise, table
 
 #: Fixed values of the URL contract.
@@ -63,6 +63,18 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_verdicts(pages, rules, materialise(url_filter.repeated_urls(pages), "listed"))
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_and_read(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(table(spark, sf_dir, "documents"), shown={"text": merkle.tampered_text()})
+
+
 OP8_SQL = r"""
 WITH n AS (
   SELECT doc_id, length(coalesce(text, '')) AS n_cp,
@@ -114,6 +126,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_heavy_exact_dedup": op8,
         "op9_simhash_pigeonhole": op9,
         "op10_bloom_urls": op10,
+        "op11_match_packing": op11,
+        "op12_block_whitening": op12,
+        "op13_merkle_climb": op13,
     }
 
 

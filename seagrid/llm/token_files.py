@@ -266,7 +266,7 @@ class UnitEncoder:
 _encoders: dict[str, UnitEncoder] = {}
 
 
-def _encoder(path: str) -> UnitEncoder:
+def encoder_of(path: str) -> UnitEncoder:
     if path not in _encoders:
         _encoders[path] = UnitEncoder(path)
     return _encoders[path]
@@ -288,7 +288,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     """Encode every text and write the blocks under `path`."""
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = _encoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         end = np.array([end_id], f"<u{encoder.width}").tobytes()
         part, block, written = TaskContext.get().partitionId(), 0, 0
         ids: list[int | None] = []
