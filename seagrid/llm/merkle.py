@@ -8,9 +8,10 @@ whether the row is the one that the root vouches for.
 
 At scale: texts are read once and never shuffled, only digests are. Places come from a range sort of
 slim rows and one count a partition. A node's id is worked out from the place of its first leaf, so
-links need no join. Each level is an eighth of the one below, a group gathers eight digests, and the climb's
-joins are plain equi-joins, which Spark splits where the few nodes near the top are hot. A leaf's
-siblings are rows of their own until the end, so that a level shuffles a leaf's digest and no more.
+links need no join. Each level is an eighth of the one below and a group gathers eight digests. The few
+nodes near the top, which all leaves pass, are repeated for every `SPREAD` leaves below them, so that no key
+of the climb's joins has more rows than that. A leaf's siblings are rows of their own until the end, so that
+a level shuffles a leaf's digest and no more.
 
 Defined cases: a null field is written as `-`; a null group is a group and comes first; null ids come
 first in their group; rows of one id are ordered by their digest, and equal rows have equal digests, so
@@ -32,6 +33,8 @@ FAN = 8
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 _ROW_BITS = 33  # of monotonically_increasing_id, for the row in its partition
 _LEVEL_BITS = 6
+SPREAD = 4096
+_FILE_NODES = 100_000
 _UPPER = 32  # levels of the tree over the groups count from here
 _RESULT = "doc_id long, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean"
 
@@ -72,27 +75,29 @@ def _node(first: Column, level: int) -> Column:
     return F.shiftleft(first, _LEVEL_BITS).bitwiseOR(F.lit(level).cast("long"))
 
 
-def _levels(spark: SparkSession, nodes: DataFrame, path: str, base: int, biggest: int, above: tuple[Column, Column]) -> DataFrame:
-    """Write the levels of the trees over `nodes` (tree, start, size, first, digest) and return (tree, digest) of their tops.
+def _levels(spark: SparkSession, nodes: DataFrame, path: str, base: int, n_rows: int, biggest: int, above: tuple[Column, Column]) -> DataFrame:
+    """Write the levels of the trees over `nodes` (tree, start, size, first, lo, hi, digest) and return (tree, lo, hi, digest) of their tops.
 
-    `start` and `size` are the place of a tree's first leaf and how many it has; `above` are the parent and the place of a tree's top.
+    `start` and `size` are the place of a tree's first leaf and how many it has, lo and hi the first and the last row below a node;
+    `above` are the parent and the place of a tree's top.
     """
     level, span = 0, 1
-    tops = nodes.where("size = 1").select("tree", "digest")
+    tops = nodes.where("size = 1").select("tree", "lo", "hi", "digest")
     while span < biggest:
         level += 1
         wide = span * FAN
         nth = F.expr(f"(first - start) div {wide}")
-        runs = nodes.where(F.col("size") > span).groupBy("tree", "start", "size", nth.alias("nth")).agg(F.array_sort(F.collect_list(F.struct("first", "digest"))).alias("kids"))
+        runs = nodes.where(F.col("size") > span).groupBy("tree", "start", "size", nth.alias("nth")).agg(F.array_sort(F.collect_list(F.struct("first", "digest"))).alias("kids"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
         runs = runs.withColumn("first", F.col("start") + F.col("nth") * wide).withColumn("hex", F.array_join(F.transform("kids", lambda k: _hex(k["digest"])), ""))
         inner = F.col("size") > wide
         parent = F.when(inner, _node(F.col("start") + F.expr(f"nth div {FAN}") * (wide * FAN), base + level + 1)).otherwise(above[0])
         place = F.when(inner, F.col("nth") % FAN).otherwise(above[1]).cast("int")
-        stored = runs.select("tree", "start", "size", "first", _node(F.col("first"), base + level).alias("node"), parent.alias("parent"), place.alias("place"), F.unhex("hex").alias("kids"), F.unhex(sha(F.col("hex"))).alias("digest"))
+        stored = runs.select("tree", "start", "size", "first", "lo", "hi", _node(F.col("first"), base + level).alias("node"), parent.alias("parent"), place.alias("place"), F.unhex("hex").alias("kids"), F.unhex(sha(F.col("hex"))).alias("digest"))
         folder = f"{path}/level={base + level}"
-        stored.write.option("compression", "zstd").parquet(folder)
+        # Few files for the few nodes of the upper levels; a level has at most an eighth of the one below and one for each tree.
+        stored.coalesce(max(1, -(-n_rows // (wide * _FILE_NODES)))).write.option("compression", "zstd").parquet(folder)
         nodes = spark.read.schema(stored.schema).parquet(folder)
-        tops = tops.union(nodes.where((F.col("size") > span) & (F.col("size") <= wide)).select("tree", "digest"))
+        tops = tops.union(nodes.where((F.col("size") > span) & (F.col("size") <= wide)).select("tree", "lo", "hi", "digest"))
         span = wide
     return tops
 
@@ -120,7 +125,7 @@ def build(docs: DataFrame, fields: tuple[str, ...] = FIELDS, group: str = "lang"
     rows = numbered(materialise(slim, "leaves"), order, "sorted")
     groups = rows.groupBy("grp").agg(F.min("no").alias("start"), F.count("*").alias("size"))
     trees = materialise(numbered(groups, [F.asc("start")], "groups").withColumnRenamed("no", "tree").withColumnRenamed("grp", "g"), "trees")
-    n_trees, biggest = trees.agg(F.count("*"), F.max("size")).first()
+    n_trees, n_rows, biggest = trees.agg(F.count("*"), F.sum("size"), F.max("size")).first()
     if not n_trees:
         return None
     top_node = _node(F.expr(f"tree div {FAN}") * FAN, _UPPER + 1) if n_trees > 1 else F.lit(None).cast("long")
@@ -133,12 +138,12 @@ def build(docs: DataFrame, fields: tuple[str, ...] = FIELDS, group: str = "lang"
     place = F.when(alone, above[1]).otherwise(within % FAN).cast("int")
     leaves = materialise(met.select("no", "doc_id", "leaf", F.coalesce("other", "leaf").alias("shown"), "tree", "start", "size", node.alias("node"), place.alias("place")), "placed")
     path = new_path(spark, "nodes")
-    lowest = leaves.select("tree", "start", "size", F.col("no").alias("first"), F.col("leaf").alias("digest"))
-    subroots = materialise(_levels(spark, lowest, path, 0, biggest, above), "subroots")
+    lowest = leaves.select("tree", "start", "size", *[F.col("no").alias(c) for c in ("first", "lo", "hi")], F.col("leaf").alias("digest"))
+    subroots = materialise(_levels(spark, lowest, path, 0, n_rows, biggest, above), "subroots")
     nothing = (F.lit(None).cast("long"), F.lit(None).cast("int"))
-    upper = subroots.select(F.lit(0).cast("long").alias("tree"), F.lit(0).cast("long").alias("start"), F.lit(n_trees).cast("long").alias("size"), F.col("tree").alias("first"), "digest")
-    root = _levels(spark, upper, path, _UPPER, n_trees, nothing).select(_hex(F.col("digest"))).first()[0]
-    stored = "tree long, start long, size long, first long, node long, parent long, place int, kids binary, digest binary"
+    upper = subroots.select(F.lit(0).cast("long").alias("tree"), F.lit(0).cast("long").alias("start"), F.lit(n_trees).cast("long").alias("size"), F.col("tree").alias("first"), "lo", "hi", "digest")
+    root = _levels(spark, upper, path, _UPPER, n_trees, n_trees, nothing).select(_hex(F.col("digest"))).first()[0]
+    stored = "tree long, start long, size long, first long, lo long, hi long, node long, parent long, place int, kids binary, digest binary"
     nodes = spark.read.schema(stored).parquet(path) if max(biggest, n_trees) > 1 else spark.createDataFrame([], stored)
     return Manifest(leaves, nodes, subroots, root)
 
@@ -161,11 +166,12 @@ def climb(leaves: DataFrame, nodes: DataFrame) -> DataFrame:
               SELECT c.no, c.level + 1, n.parent, n.place,
                      unhex(sha2(CAST(lower(hex(concat(substring(n.kids, 1, 32 * c.place), c.folded, substring(n.kids, 32 * c.place + 33)))) AS BINARY), 256)),
                      concat(substring(n.kids, 1, 32 * c.place), substring(n.kids, 32 * c.place + 33))
-              FROM climb c JOIN {nodes} n ON c.node = n.node)
+              FROM climb c JOIN {nodes} n ON c.node = n.node AND c.no div {spread} = n.part)
             SELECT no, level, folded, siblings FROM climb
             """,
             leaves=leaves.select("no", "node", "place", "shown"),
-            nodes=nodes.select("node", "parent", "place", "kids"),
+            nodes=nodes.select("node", "parent", "place", "kids", F.explode(F.sequence(F.expr(f"lo div {SPREAD}"), F.expr(f"hi div {SPREAD}"))).alias("part")),
+            spread=SPREAD,
         )
         way = F.array_sort(F.collect_list(F.struct("level", "siblings")))  # a row for each level
         folded = steps.groupBy("no").agg(F.max_by("folded", "level").alias("folded"), way.alias("way"))

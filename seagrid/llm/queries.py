@@ -114,6 +114,47 @@ FROM v LEFT JOIN m USING (nth) LEFT JOIN c USING (nth) LEFT JOIN l ON c.url = l.
 """
 
 
+def _op13_sql(levels: int = 8, upper: int = 4) -> str:
+    """The trees level by level, for up to 8**levels rows of a language and 8**upper languages."""
+
+    def digest(text: str) -> str:
+        return "sha256(" + " || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    crc = """xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+        lambda a, b: list_reduce(range(0, 8), lambda v, k: xor(v >> 1, 3988292384 * (v & 1)), xor(a, b)), CAST(4294967295 AS BIGINT)), 4294967295)"""
+    parts = [
+        f"d AS (SELECT row_number() OVER () AS r, *, CASE WHEN {crc} % 3 = 0 THEN {lowered} ELSE text END AS shown_text FROM documents)",
+        f"o AS (SELECT r, doc_id, lang, {digest('text')} AS leaf, {digest('shown_text')} AS shown FROM d)",
+        "q AS (SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM o)",
+        "t0 AS (SELECT g, i, leaf AS h FROM q)",
+        "p0 AS (SELECT r, g, i, shown AS f, '' AS sib FROM q)",
+    ]
+
+    def climb(t: str, p: str, n: int) -> None:
+        for k in range(n):
+            parts.append(
+                f"{t}r{k} AS (SELECT g, i // 8 AS j, m, list(h ORDER BY i) AS kids FROM (SELECT *, count(*) OVER (PARTITION BY g) AS m FROM {t}{k}) GROUP BY g, i // 8, m)"
+            )
+            parts.append(f"{t}{k + 1} AS (SELECT g, j AS i, CASE WHEN m = 1 THEN kids[1] ELSE sha256(array_to_string(kids, '')) END AS h FROM {t}r{k})")
+            around = "array_to_string(kids[:i % 8], '')", "array_to_string(kids[i % 8 + 2:], '')"
+            parts.append(
+                f"{p}{k + 1} AS (SELECT r, g, j AS i, CASE WHEN m = 1 THEN f ELSE sha256({around[0]} || f || {around[1]}) END AS f, CASE WHEN m = 1 THEN sib ELSE sib || {around[0]} || {around[1]} END AS sib"
+                f" FROM {p}{k} JOIN (SELECT g AS rg, j, m, kids FROM {t}r{k}) ON g = rg AND i // 8 = j)"
+            )
+
+    climb("t", "p", levels)
+    parts.append(f"u0 AS (SELECT 0 AS g, g AS i, h FROM t{levels})")
+    parts.append(f"w0 AS (SELECT r, 0 AS g, g AS i, f, sib FROM p{levels})")
+    climb("u", "w", upper)
+    return f"""WITH {', '.join(parts)}
+SELECT doc_id, leaf, t.h AS subroot, u.h AS root, sha256(sib) AS proof_sha256, f AS folded_root, f = u.h AS verified
+FROM q JOIN w{upper} w USING (r) JOIN t{levels} t ON t.g = q.g, u{upper} u"""
+
+
+OP13_SQL = _op13_sql()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_paragraph_minhash": op1,
@@ -133,4 +174,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_heavy_exact_dedup": OP8_SQL, "op10_bloom_urls": OP10_SQL}
+    return {"op8_heavy_exact_dedup": OP8_SQL, "op10_bloom_urls": OP10_SQL, "op13_merkle_climb": OP13_SQL}
