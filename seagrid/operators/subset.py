@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from seagrid.functions import angles
 
-TILE = 2
+#: Tiles: nodes a side of the smallest, how many of a size make one of the next, sizes, and how many of the smallest used span a box.
+TILE, RATIO, LEVELS, DETAIL = 1, 4, 6, 32
 FEW = 64
 _EPS = 1e-9
 
@@ -38,11 +39,18 @@ def stride(resolution: Column, native: Column) -> Column:
     return F.greatest(F.lit(1), F.coalesce(F.bround(resolution / F.abs(native)), F.lit(1)).cast("int"))
 
 
+def _even(spec: DataFrame) -> Column:
+    """Whether both axes are even, as far as the spec says."""
+    known = [F.coalesce(F.col(c), F.lit(True)) for c in ("uniform_lat", "uniform_lon") if c in spec.columns]
+    return known[0] & known[1] if len(known) == 2 else F.lit(True)
+
+
 def snap_bounds(requests: DataFrame, spec: DataFrame) -> DataFrame:
     """Requests (with model, n, s, e, w, resolution) with lat_lo, lat_hi, lat_stride, lon_w, lon_span, lon_stride, error.
 
     The smallest covering range of each axis; a thinned range is lengthened to the next multiple of its
-    stride. Ranges that leave an axis are errors.
+    stride. Ranges that leave an axis are errors, and so are uneven grids: `axes.snap_bounds_on_axes` searches those.
+    A box whose sides are a whole turn apart takes the whole circle.
     """
     met = requests.join(F.broadcast(spec), "model", "left")
     up = F.col("dlat") > 0
@@ -58,6 +66,7 @@ def snap_bounds(requests: DataFrame, spec: DataFrame) -> DataFrame:
         }
     )
     box = F.pmod(F.col("e") - F.col("w"), F.lit(360.0))
+    box = F.when((box == 0) & (F.col("e") != F.col("w")), 360.0).otherwise(box)  # sides a whole turn apart
     start = F.pmod(F.col("w") - F.col("lon0"), F.lit(360.0)) / F.col("dlon")
     met = met.withColumn("lon_span", F.ceil(start + box / F.col("dlon") - F.col("__w") - _EPS).cast("int"))
     met = met.withColumns(
@@ -68,7 +77,7 @@ def snap_bounds(requests: DataFrame, spec: DataFrame) -> DataFrame:
         }
     )
     inside = F.col("lon_wraps") | (F.col("lon_w") + F.col("lon_span") < F.col("n_lon"))
-    error = F.when(F.col("lat0").isNull(), "no forecast").when((F.col("lat_lo") < 0) | (F.col("lat_hi") >= F.col("n_lat")), "latitude outside the forecast").when(~inside, "longitude outside the forecast")
+    error = F.when(F.col("lat0").isNull(), "no forecast").when(~_even(spec), "uneven grid").when((F.col("lat_lo") < 0) | (F.col("lat_hi") >= F.col("n_lat")), "latitude outside the forecast").when(~inside, "longitude outside the forecast")
     return met.withColumn("lon_span", F.when(F.col("lon_wraps"), F.least("lon_span", F.col("n_lon") - 1)).otherwise(F.col("lon_span"))).withColumn("error", error).drop("__w")
 
 
@@ -121,35 +130,75 @@ def _wanted(requests: DataFrame, run: list[str]) -> DataFrame:
     return requests.where("error is null").select(*keep, F.explode(F.array_distinct("hours")).alias("lead_hours"))
 
 
+def cover(requests: DataFrame, tile: int = TILE, detail: int = DETAIL) -> DataFrame:
+    """Snapped requests, each once for every rectangle (side_w, side_e, level, r0, r1, c0, c1) of the tiles that cover its box.
+
+    A tile of level k has tile * RATIO**k nodes a side. A box takes the largest tiles that lie in it whole, and at its edge
+    ever smaller ones, down to the size of which `detail` span it; of the last size also those that lie in it in part. So a
+    box makes as many tiles as its edge is long in tiles of that size, and not as many as it has nodes. A range over the seam is
+    two boxes, from side_w to side_e each, whose outermost tiles may be the same. A box that ends with the grid ends with the last tile.
+    """
+    last = F.col("lon_w") + F.col("lon_span")
+    sides = F.array(F.struct(F.col("lon_w").cast("int").alias("c0"), F.least(last, F.col("n_lon") - 1).cast("int").alias("c1")), F.struct(F.lit(0).alias("c0"), (last - F.col("n_lon")).cast("int").alias("c1")))
+    sizes = [tile * RATIO**k for k in range(LEVELS)]
+    beyond = lambda c, n: F.when(c >= n - 1, F.ceil(n / sizes[-1]) * sizes[-1] - 1).otherwise(c).cast("long")
+    extent = F.greatest(F.least("lat_hi", F.col("n_lat") - 1) - F.col("lat_lo"), F.col("__side.c1") - F.col("__side.c0")) + 1
+    least = F.size(F.filter(F.array(*[F.lit(s * detail) for s in sizes[:-1]]), lambda s: s < extent))
+    boxes = requests.where("error is null").withColumn("__side", F.explode(F.filter(sides, lambda x: x["c0"] <= x["c1"])))
+    ends = [F.col("lat_lo").cast("long").alias("__r0"), beyond(F.col("lat_hi"), F.col("n_lat")).alias("__r1"), F.col("__side.c0").cast("long").alias("__c0"), beyond(F.col("__side.c1"), F.col("n_lon")).alias("__c1")]
+    # Levels are rows, not expressions, so that the plan stays small.
+    rows = boxes.select(*requests.columns, "__side", *ends, least.alias("__least")).select("*", F.explode(F.sequence("__least", F.lit(LEVELS - 1))).alias("level"))
+    size = F.get(F.array(*[F.lit(s).cast("long") for s in sizes]), F.col("level"))
+    up = lambda c, s: F.expr(f"({c} + {s} - 1) div {s}")
+    down = lambda c, s: F.expr(f"({c}) div {s}")
+    part = F.col("level") == F.col("__least")
+    rows = rows.withColumns({"__size": size, "__next": F.when(F.col("level") < LEVELS - 1, size * RATIO)})
+    outer = {f"o{d}0": F.when(part, down(f"__{d}0", "__size")).otherwise(up(f"__{d}0", "__size")) for d in "rc"} | {f"o{d}1": F.when(part, down(f"__{d}1", "__size")).otherwise(down(f"__{d}1 + 1", "__size") - 1) for d in "rc"}
+    hole = {f"h{d}0": up(f"__{d}0", "__next") * RATIO for d in "rc"} | {f"h{d}1": down(f"__{d}1 + 1", "__next") * RATIO - 1 for d in "rc"}
+    one = F.array(F.struct(*[c.cast("int").alias(k) for k, c in (outer | hole).items()]))
+    rows = rows.select(*requests.columns, "__side", "level", F.explode(one).alias("t"))  # worked out once, then taken apart
+    t = lambda k: F.col(f"t.{k}")
+    rect = lambda r0, r1, c0, c1: F.struct(r0.alias("r0"), r1.alias("r1"), c0.alias("c0"), c1.alias("c1"))
+    frame = F.array(
+        rect(t("or0"), t("hr0") - 1, t("oc0"), t("oc1")), rect(t("hr1") + 1, t("or1"), t("oc0"), t("oc1")),
+        rect(t("hr0"), t("hr1"), t("oc0"), t("hc0") - 1), rect(t("hr0"), t("hr1"), t("hc1") + 1, t("oc1")),
+    )
+    open_ = F.coalesce((t("hr0") <= t("hr1")) & (t("hc0") <= t("hc1")), F.lit(False))
+    rects = F.when(open_, frame).otherwise(F.array(rect(t("or0"), t("or1"), t("oc0"), t("oc1"))))
+    real = F.filter(rects, lambda x: (x["r0"] <= x["r1"]) & (x["c0"] <= x["c1"]))
+    rows = rows.select(*requests.columns, "__side", "level", F.explode(real).alias("__rect"))
+    return rows.select(*requests.columns, F.col("__side.c0").alias("side_w"), F.col("__side.c1").alias("side_e"), "level", "__rect.*")
+
+
 def gridded_subset(requests: DataFrame, forecast: DataFrame, few: int = FEW, tile: int = TILE) -> DataFrame:
     """Cells of every snapped request: request_id, lon_off, and the forecast's columns.
 
-    Up to `few` requests are broadcast, which leaves the forecast where it is: Catalyst hashes on model and hour and tests
-    the ranges. More are dealt to tiles, as each cell of an hour would else meet every request of that hour.
+    Requests of up to `few` rectangles of tiles are broadcast, which leaves the forecast where it is: Catalyst hashes on model and
+    hour and tests the ranges. More are dealt to tiles, as each cell of an hour would else meet every request of that hour.
     """
-    if requests.limit(few + 1).count() > few:
-        return gridded_subset_tiled(requests, forecast, tile)
+    counts = {r["level"]: r["count"] for r in cover(requests, tile).groupBy("level").count().collect()}  # at most a row a level
+    if sum(counts.values()) > few:
+        return gridded_subset_tiled(requests, forecast, tile, sorted(counts))
     run = _run(requests, forecast)
     met = forecast.join(F.broadcast(_wanted(requests, run)), [*run, "lead_hours"]).where(lat_covers() & lon_covers())
     return met.select("request_id", *forecast.columns, lon_offset().alias("lon_off"))
 
 
-def gridded_subset_tiled(requests: DataFrame, forecast: DataFrame, tile: int = TILE) -> DataFrame:
-    """The same for large request tables: requests are dealt to the tiles they touch, and joined on the tile.
+def gridded_subset_tiled(requests: DataFrame, forecast: DataFrame, tile: int = TILE, levels: list[int] | None = None) -> DataFrame:
+    """The same for large request tables: requests are dealt to the tiles that cover them, cells to their tile of each level, and joined on it.
 
-    Each cell is in one tile, so nothing is met twice. A range over the seam touches the tiles from its western end to the
-    last, then those from the first to its eastern end.
+    The tiles of one side of a box do not overlap, so nothing is met twice. `levels` are those that occur, by default all; a cell is repeated for
+    each. A tile that many requests or cells share is one that Spark splits.
     """
-    of = lambda c: F.floor(c / tile)
-    last = F.col("lon_w") + F.col("lon_span")
-    plain = F.sequence(of(F.col("lon_w")), of(last))
-    seam = F.concat(F.sequence(of(F.col("lon_w")), of(F.col("n_lon") - 1)), F.sequence(F.lit(0).cast("bigint"), of(F.greatest(last - F.col("n_lon"), F.lit(0)))))
-    lons = F.when(last < F.col("n_lon"), plain).otherwise(F.array_distinct(seam))
-    lats = F.sequence(of(F.col("lat_lo")), of(F.least("lat_hi", F.col("n_lat") - 1)))
     run = _run(requests, forecast)
-    wanted = _wanted(requests, run).withColumn("lat_tile", F.explode(lats)).withColumn("lon_tile", F.explode(lons)).drop("n_lat")
-    cells = forecast.withColumns({"lat_tile": of(F.col("lat_idx")), "lon_tile": of(F.col("lon_idx"))})
-    met = cells.join(wanted, [*run, "lead_hours", "lat_tile", "lon_tile"]).where(lat_covers() & lon_covers())
+    keep = ["request_id", *run, "lat_lo", "lat_hi", "lat_stride", "lon_w", "lon_span", "lon_stride", "n_lon"]
+    wanted = cover(requests, tile).withColumn("lat_tile", F.explode(F.sequence("r0", "r1"))).withColumn("lon_tile", F.explode(F.sequence("c0", "c1")))
+    wanted = wanted.select(*keep, "side_w", "side_e", "level", "lat_tile", "lon_tile", F.explode(F.array_distinct("hours")).alias("lead_hours"))
+    sizes = [(k, tile * RATIO**k) for k in (range(LEVELS) if levels is None else levels)]
+    of = lambda c, size: F.floor(F.col(c) / size).cast("int")
+    tiles = F.array(*[F.struct(F.lit(k).alias("level"), of("lat_idx", size).alias("lat_tile"), of("lon_idx", size).alias("lon_tile")) for k, size in sizes])
+    cells = forecast.select(*forecast.columns, F.explode(tiles).alias("__tile")).select(*forecast.columns, "__tile.*")
+    met = cells.join(wanted, [*run, "lead_hours", "level", "lat_tile", "lon_tile"]).where(F.col("lon_idx").between(F.col("side_w"), F.col("side_e")) & lat_covers() & lon_covers())
     return met.select("request_id", *forecast.columns, lon_offset().alias("lon_off"))
 
 
@@ -160,10 +209,10 @@ def point_to_domain(requests: DataFrame) -> DataFrame:
 
 
 def _in_range(requests: DataFrame, spec: DataFrame) -> DataFrame:
-    """Spots with the columns of their model's grid and `inside`."""
+    """Spots with the columns of their model's grid and `inside`; never inside an uneven grid, see `axes.bilinear_weights_on_axes`."""
     met = requests.join(F.broadcast(spec), "model", "left")
     y, x = (F.col("lat") - F.col("lat0")) / F.col("dlat"), F.pmod(F.col("lon") - F.col("lon0"), F.lit(360.0)) / F.col("dlon")
-    inside = y.between(0, F.col("n_lat") - 1) & (F.col("lon_wraps") | (x <= F.col("n_lon") - 1))
+    inside = y.between(0, F.col("n_lat") - 1) & (F.col("lon_wraps") | (x <= F.col("n_lon") - 1)) & _even(spec)
     return met.withColumn("inside", F.coalesce(inside, F.lit(False)))
 
 
@@ -188,7 +237,8 @@ def bilinear_weights(requests: DataFrame, spec: DataFrame, carry: tuple[str, ...
     return rows.where("weight > 0")
 
 
-def _interpolated(corners: DataFrame, forecast: DataFrame, on: list[str], variables: list[str], circular: tuple[str, ...] = ()) -> DataFrame:
+def interpolated(corners: DataFrame, forecast: DataFrame, on: list[str], variables: list[str], circular: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (request_id, lead_hours, realization, variables...): weighted sums over the corners of each spot."""
     met = forecast.join(corners, on)
 
     def total(name: str) -> Column:
@@ -208,7 +258,7 @@ def spot_interpolate(requests: DataFrame, forecast: DataFrame, spec: DataFrame,
 
     A corner without a value makes the result null. Variables in `circular`, in degrees, go over unit vectors.
     """
-    return _interpolated(bilinear_weights(requests, spec), forecast, ["model", "lat_idx", "lon_idx"], variables, circular)
+    return interpolated(bilinear_weights(requests, spec), forecast, ["model", "lat_idx", "lon_idx"], variables, circular)
 
 
 def spot_subset(requests: DataFrame, forecast: DataFrame, spec: DataFrame, variables: list[str], circular: tuple[str, ...] = ()) -> DataFrame:
@@ -216,7 +266,7 @@ def spot_subset(requests: DataFrame, forecast: DataFrame, spec: DataFrame, varia
     run = _run(requests, forecast)
     corners = bilinear_weights(requests, spec, ("hours", *run[1:]))
     asked = corners.select("request_id", *run, "lat_idx", "lon_idx", "weight", F.explode(F.array_distinct("hours")).alias("lead_hours"))
-    return _interpolated(asked, forecast, [*run, "lead_hours", "lat_idx", "lon_idx"], variables, circular)
+    return interpolated(asked, forecast, [*run, "lead_hours", "lat_idx", "lon_idx"], variables, circular)
 
 
 def answer_requests(requests: DataFrame, forecast: DataFrame, spec: DataFrame, variables: list[str]) -> DataFrame:
@@ -234,11 +284,11 @@ def answer_requests(requests: DataFrame, forecast: DataFrame, spec: DataFrame, v
 
 
 def nearest_cell(points: DataFrame, spec: DataFrame) -> DataFrame:
-    """Points with the indices of the nearest node."""
+    """Points with the indices of the nearest node of an even grid; null on an uneven one, see `axes.nearest_node`."""
     met = points.join(F.broadcast(spec), "model")
     lat = F.greatest(F.lit(0), F.least(F.bround((F.col("lat") - F.col("lat0")) / F.col("dlat")).cast("int"), F.col("n_lat") - 1))
     lon = F.pmod(F.bround(F.pmod(F.col("lon") - F.col("lon0"), F.lit(360.0)) / F.col("dlon")).cast("int"), F.col("n_lon"))
-    return met.select(*points.columns, lat.alias("lat_idx"), lon.alias("lon_idx"))
+    return met.select(*points.columns, F.when(_even(spec), lat).alias("lat_idx"), F.when(_even(spec), lon).alias("lon_idx"))
 
 
 def take_index(df: DataFrame, axis: str, position: int, by: list[str]) -> DataFrame:

@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 FORECAST = """
 SELECT 'gefs' AS model, TIMESTAMP '2014-01-01 06:00:00' AS run_time, lead_hours, realization, lat_idx, lon_idx,
@@ -84,11 +85,19 @@ def forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _from(spark, sf_dir, "orders", FORECAST)
 
 
+#: Columns of the same cube on a grid whose steps grow northwards and eastwards; it still goes all around.
+UNEVEN = {"latitude": "CAST(-80 + 4 * lat_idx AS DOUBLE) + lat_idx * lat_idx * 0.5E0", "longitude": "CAST(10 * lon_idx AS DOUBLE) + lon_idx * lon_idx * 0.4375E0"}
+
+
+def uneven(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forecast(spark, sf_dir).withColumns({c: F.expr(x) for c, x in UNEVEN.items()})
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder that driver and executors share; a temporary one of this machine only in local mode."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir names no shared folder")
         named = "file://" + tempfile.mkdtemp(prefix="seagrid-")
     return f"{named.rstrip('/')}/seagrid-{uuid.uuid4().hex}"
@@ -110,3 +119,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 SPEC = "SELECT 'gefs' AS model, -84.0E0 AS lat0, 12.0E0 AS dlat, 15 AS n_lat, 0.0E0 AS lon0, 18.0E0 AS dlon, 20 AS n_lon"
 
 CTE = f"WITH forecast AS ({duck(FORECAST)}), requests AS ({duck(REQUESTS)}), runs AS ({duck(RUNS)}), messages AS ({duck(MESSAGES)}), spec AS ({SPEC})"
+
+#: The uneven grid and its axes, for the oracles.
+UNEVEN_CTE = f"""{CTE}, uneven AS (SELECT * REPLACE ({', '.join(f'{x} AS {c}' for c, x in UNEVEN.items())}) FROM forecast),
+lats AS (SELECT DISTINCT lat_idx AS i, latitude AS x FROM uneven), lons AS (SELECT DISTINCT lon_idx AS i, longitude AS x FROM uneven)"""

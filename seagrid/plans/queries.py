@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seagrid.functions import angles, units
-from seagrid.operators import ensemble, quantize, runs, subset
+from seagrid.operators import axes, ensemble, quantize, runs, subset
 from seagrid.operators import requests as rq
 from seagrid.plans import derived
 from seagrid.plans.derived import CTE
@@ -185,6 +185,15 @@ def a4_latest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.unix_seconds("as_of").alias("as_of"), "model", F.unix_seconds("run_time").alias("run_time"), "error")
 
 
+@query(
+    f"{CTE}, {_CANDIDATES}, arrived AS (SELECT model, run_time, min(arrived_at) AS arrived_at FROM runs GROUP BY ALL) SELECT CAST(epoch(c.as_of) AS BIGINT) AS as_of, c.model, CAST(epoch(max(r.run_time)) AS BIGINT) AS run_time, CASE WHEN max(r.run_time) IS NULL THEN 'no run available' END AS error FROM cand c LEFT JOIN arrived r ON r.model = c.model AND r.run_time = c.candidate AND r.arrived_at <= c.as_of GROUP BY c.as_of, c.model"
+)
+def a4_latest_run_arrived(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest run that had arrived at each hour: a run counts from its first arrival on."""
+    got = runs.latest_run_arrived(derived.runs(spark, sf_dir), _as_of(spark, sf_dir))
+    return got.select(F.unix_seconds("as_of").alias("as_of"), "model", F.unix_seconds("run_time").alias("run_time"), "error")
+
+
 def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cube as a source gives it: source names, kelvin, 0..360, labels from 5, times instead of hours, a level."""
     df = derived.forecast(spark, sf_dir)
@@ -394,6 +403,57 @@ def e16_nearest_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subset.nearest_cell(derived.requests(spark, sf_dir), subset.grid_spec(derived.forecast(spark, sf_dir))).select("request_id", "lat_idx", "lon_idx")
 
 
+_TURN = "({x} - 360 * floor({x} / 360))"
+
+
+@query(
+    f"""{derived.UNEVEN_CTE}, bounds AS (
+  SELECT request_id, greatest(1, coalesce(CAST(round_even(resolution / 11, 0) AS INT), 1)) AS ls, greatest(1, coalesce(CAST(round_even(resolution / 18.3125, 0) AS INT), 1)) AS os,
+    (SELECT max(i) FROM lats WHERE x <= s) AS south, (SELECT min(i) FROM lats WHERE x >= n) AS north,
+    coalesce((SELECT max(i) FROM lons WHERE x <= {_TURN.format(x='w')}), 19) AS west, coalesce((SELECT min(i) FROM lons WHERE x >= {_TURN.format(x='e')}), 0) AS east FROM requests),
+ranges AS (SELECT *, least(south, north) AS lat_lo, least(south, north) + ls * CAST(ceil((greatest(south, north) - least(south, north)) / ls) AS INT) AS lat_hi FROM bounds)
+SELECT request_id, lat_lo, lat_hi, ls AS lat_stride, west AS lon_w, least(os * CAST(ceil((east - west + 20) % 20 / os) AS INT), 19) AS lon_span, os AS lon_stride,
+  CASE WHEN south IS NULL OR north IS NULL OR lat_hi > 14 THEN 'latitude outside the forecast' END AS error FROM ranges"""
+)
+def e2_snap_bounds_uneven(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes on a grid whose steps differ, by search."""
+    got = axes.snap_bounds_on_axes(derived.requests(spark, sf_dir), derived.uneven(spark, sf_dir))
+    return got.select("request_id", "lat_lo", "lat_hi", "lat_stride", "lon_w", "lon_span", "lon_stride", "error")
+
+
+_UNEVEN_GAP = _norm("lon - o.x").replace("lon - o.x", "r.lon - o.x")
+
+
+@query(
+    f"{derived.UNEVEN_CTE} SELECT r.request_id, arg_min(a.i, (round(abs(r.lat - a.x), 9), a.i)) AS lat_idx, arg_min(o.i, (round(abs({_UNEVEN_GAP}), 9), o.i)) AS lon_idx FROM requests r, lats a, lons o GROUP BY r.request_id"
+)
+def e16_nearest_node_uneven(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest node of a grid whose steps differ: an as-of join from both sides."""
+    return axes.nearest_node(derived.requests(spark, sf_dir), derived.uneven(spark, sf_dir)).select("request_id", "lat_idx", "lon_idx")
+
+
+@query(
+    f"""{derived.UNEVEN_CTE}, spots AS (SELECT request_id, lat, {_TURN.format(x='lon')} AS lon FROM requests WHERE kind = 'spot'),
+near AS (
+  SELECT *, (SELECT max(x) FROM lats WHERE x <= lat) AS y0, (SELECT min(x) FROM lats WHERE x >= lat) AS y1,
+    (SELECT max(x) FROM lons WHERE x <= lon) AS x0, coalesce((SELECT min(x) FROM lons WHERE x >= lon), 360) AS x1 FROM spots),
+sides AS (
+  SELECT request_id, y0 AS y, CASE WHEN y1 > y0 THEN (y1 - lat) / (y1 - y0) ELSE 1 END AS wt, 'y' AS d FROM near WHERE y1 IS NOT NULL AND y0 IS NOT NULL
+  UNION ALL SELECT request_id, y1, (lat - y0) / (y1 - y0), 'y' FROM near WHERE y1 > y0
+  UNION ALL SELECT request_id, x0, CASE WHEN x1 > x0 THEN (x1 - lon) / (x1 - x0) ELSE 1 END, 'x' FROM near
+  UNION ALL SELECT request_id, x1 % 360, (lon - x0) / (x1 - x0), 'x' FROM near WHERE x1 > x0)
+SELECT a.request_id, lead_hours, realization, round(sum(a.wt * b.wt * x_wind), 8) + 0.0 AS x_wind
+FROM sides a JOIN sides b ON a.request_id = b.request_id AND a.d = 'y' AND b.d = 'x' AND a.wt > 0 AND b.wt > 0 JOIN uneven f ON f.latitude = a.y AND f.longitude = b.y
+GROUP BY a.request_id, lead_hours, realization"""
+)
+def e13_spot_interpolate_uneven(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spots between the nodes of a grid whose steps differ."""
+    forecast = derived.uneven(spark, sf_dir)
+    corners = axes.bilinear_weights_on_axes(derived.requests(spark, sf_dir).where("kind = 'spot'"), forecast)
+    got = subset.interpolated(corners, forecast, ["model", "lat_idx", "lon_idx"], ["x_wind"])
+    return got.select("request_id", "lead_hours", "realization", rnd("x_wind", 8).alias("x_wind"))
+
+
 @query("SELECT lat_idx, lon_idx, realization, x_wind FROM forecast WHERE lead_hours = 24")
 def e17_take_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subset.take_index(derived.forecast(spark, sf_dir), "lead_hours", -1, ["model", "realization"]).select("lat_idx", "lon_idx", "realization", "x_wind")
@@ -875,7 +935,7 @@ def s1_answer_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the stream does with each batch, over all messages at once: typed, matched with the latest run, cut out, packed, listed."""
     messages = derived.messages(spark, sf_dir).withColumn("received_at", F.timestamp_seconds(F.lit(1388556000 + 7200) + F.col("msg_id") % 7200))
     forecast = derived.forecast(spark, sf_dir)
-    got = answer_batch(messages, forecast.select("model", "run_time"), forecast)
+    got = answer_batch(messages, forecast.select("model", "run_time"), forecast, folder=derived.shared_folder(spark))
     packed = lambda v: F.md5(F.hex(F.try_element_at("payloads", F.lit(v))).cast("binary")).alias(v)
     total = F.when(F.col("request_id").isNotNull(), F.coalesce("total_bytes", F.lit(0))).alias("total_bytes")
     return got.select("request_id", "msg_id", "kind", "model", "hours", "variables", F.unix_seconds("run_time").alias("run_time"), total, packed("wind"), packed("pressure"), "error")

@@ -96,6 +96,34 @@ def test_tiles_meet_the_same_cells(spark):
     assert "lat_tile" in plans[0] and "lat_tile" not in plans[1]
 
 
+@pytest.mark.parametrize("tile, detail", [(1, 4), (2, 8), (1, 32)])
+def test_tiles_of_several_sizes_cover_boxes_once(spark, tile, detail):
+    rng, n_lat, n_lon = random.Random(detail), 90, 170
+    rows = []
+    for i in range(60):
+        lo, span = rng.choice([0, rng.randint(0, n_lat - 1)]), rng.choice([0, n_lon - 1, rng.randint(0, n_lon - 1)])
+        rows.append((i, lo, rng.choice([lo, n_lat - 1, rng.randint(lo, n_lat + 3)]), rng.randint(0, n_lon - 1), span, n_lat, n_lon, None))
+    df = spark.createDataFrame(rows, "request_id int, lat_lo int, lat_hi int, lon_w int, lon_span int, n_lat int, n_lon int, error string")
+    met: dict = {i: [] for i in range(60)}
+    for r in subset.cover(df, tile, detail).collect():
+        size = tile * subset.RATIO ** r["level"]
+        for y in range(r["r0"], r["r1"] + 1):
+            for x in range(r["c0"], r["c1"] + 1):
+                met[r["request_id"]] += [(a, b) for a in range(y * size, min(y * size + size, n_lat)) for b in range(x * size, min(x * size + size, n_lon)) if r["side_w"] <= b <= r["side_e"]]
+    for i, lo, hi, w, span, *_ in rows:
+        want = {(a, b % n_lon) for a in range(lo, min(hi, n_lat - 1) + 1) for b in range(w, w + span + 1)}
+        assert len(met[i]) == len(set(met[i])) and want <= set(met[i])
+        if max(min(hi, n_lat - 1) - lo, span) < tile * detail and tile == 1:
+            assert want == set(met[i])  # down to single nodes nothing else is met
+
+
+def test_large_boxes_make_few_tiles(spark):
+    rows = [(1, 0, 720, 100, 1439, 721, 1440, None), (2, 3, 717, 1001, 1001, 721, 1440, None), (3, 10, 20, 5, 10, 721, 1440, None)]
+    df = spark.createDataFrame(rows, "request_id int, lat_lo int, lat_hi int, lon_w int, lon_span int, n_lat int, n_lon int, error string")
+    n = {r["request_id"]: r["n"] for r in subset.cover(df).groupBy("request_id").agg(F.sum((F.col("r1") - F.col("r0") + 1) * (F.col("c1") - F.col("c0") + 1)).alias("n")).collect()}
+    assert n[1] < 200 and n[2] < 500 and n[3] < 11 * 11
+
+
 def test_plans_have_no_python_and_no_nested_loops(spark):
     at = tempfile.mkdtemp(prefix="spark-")
     for name, df in zip(("cube", "requests"), (derived.forecast(spark, SF), derived.requests(spark, SF)), strict=True):
