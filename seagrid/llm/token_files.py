@@ -129,7 +129,10 @@ class Block:
         return self.bounds[i], self.bounds[i + 1]
 
     def ids(self, i: int) -> np.ndarray:
-        a, b = self.span(i)
+        return self.between(*self.span(i))
+
+    def between(self, a: int, b: int) -> np.ndarray:
+        """The ids from one boundary to another."""
         return np.frombuffer(self._blob, f"<u{self.width}", b - a, self._from + a * self.width)
 
 
@@ -319,8 +322,10 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
 
     ready_workers(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    slim = docs.select(F.coalesce(F.col(id_col), F.lit(0)).cast("long").alias("doc_id"), F.col(id_col).isNull().alias("no_id"), text.alias("text"))
-    ordered = slim.repartitionByRange(F.desc("no_id"), "doc_id").sortWithinPartitions(F.desc("no_id"), "doc_id", F.xxhash64("text"))
+    slim = docs.select(F.coalesce(F.col(id_col), F.lit(0)).cast("long").alias("doc_id"), F.col(id_col).isNull().alias("no_id"), text.alias("text"), F.monotonically_increasing_id().alias("row"))
+    # Rows of one id, and rows without, are parted by their text and their place: no id is one task's work.
+    order = [F.desc("no_id"), F.asc("doc_id"), F.xxhash64("text"), F.asc("row")]
+    ordered = slim.repartitionByRange(*order).sortWithinPartitions(*order).drop("row")
     blocks = ordered.mapInPandas(encode, "part int, block int, start_in_part long, n_docs int, n_ids long, blob binary")
     blocks.write.option("compression", "zstd").option("maxRecordsPerFile", 32).parquet(path)
 
@@ -336,10 +341,11 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for part, nth, start, blob in zip(batch["part"], batch["block"], batch["start_in_part"], batch["blob"], strict=True):
                 block = Block(blob)
-                rows = []
+                rows, at = [], block.bounds[0]
                 for i in range(block.n):
-                    ids = block.ids(i)
-                    rows.append((block.doc_id(i), start + block.span(i)[0], len(ids), zlib.crc32(ids.astype("<u4").tobytes()), part, nth, i))
+                    end = block.bounds[i + 1]  # a document ends where the next one starts
+                    rows.append((block.doc_id(i), start + at, end - at, zlib.crc32(block.between(at, end).astype("<u4").tobytes()), part, nth, i))
+                    at = end
                 out = pd.DataFrame(rows, columns=["doc_id", "in_part", "n_tokens", "ids_crc32", "part", "block", "nth"])
                 yield out.assign(doc_id=pd.array([r[0] for r in rows], "Int64"))
 

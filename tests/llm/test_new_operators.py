@@ -10,9 +10,10 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from seagrid.llm import merkle, packing, queries, whitening
+from seagrid.llm import merkle, packing, queries, token_files, whitening
 from tests.llm.corpus import empty, frame
 from tests.oracle import SF, assert_same, connect
 
@@ -205,8 +206,9 @@ def _audit(df):
 
 
 def test_merkle(spark, docs, rows):
-    got = _audit(docs)
-    assert got == _audited(rows) and {r[-1] for r in got} == {True, False}
+    capitals = [r | {"text": None if r["text"] is None else r["text"] + " Ä B"} for r in rows]
+    got = _audit(docs.withColumn("text", F.concat("text", F.lit(" Ä B"))))
+    assert got == _audited(capitals) and {r[-1] for r in got} == {True, False}
 
 
 def test_merkle_of_few_rows_and_of_many_groups(spark):
@@ -223,3 +225,19 @@ def test_merkle_same_as_sql(spark):
     before = spark.conf.get("spark.sql.cteRecursionRowLimit")
     assert_same(queries.op13(spark, SF), queries.OP13_SQL, connect())
     assert spark.conf.get("spark.sql.cteRecursionRowLimit") == before
+
+
+# Hot keys
+
+
+@pytest.mark.parametrize("hot", [None, 7])
+def test_one_id_of_most_rows_is_split(spark, hot):
+    """Rows without an id, or of one id, make several parts of the token files."""
+    rows = [(hot, f"text {i % 500} of the hot id " * 3) for i in range(3000)] + [(i, f"other {i}") for i in range(300)]
+    got = token_files.encode_and_read(spark.createDataFrame(rows, "doc_id long, text string"), BYTES).cache()
+    parts = {r["part"]: r["count"] for r in got.where(f"doc_id <=> {'null' if hot is None else hot}").groupBy("part").count().collect()}
+    assert len(parts) > 1 and max(parts.values()) < 0.6 * 3000
+    starts = got.orderBy("start").collect()
+    assert [r["start"] for r in starts] == [0, *np.cumsum([r["n_tokens"] for r in starts])[:-1].tolist()]
+    ids = [-1 if r["doc_id"] is None else r["doc_id"] for r in starts]
+    assert ids == sorted(ids)
