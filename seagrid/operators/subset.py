@@ -154,6 +154,7 @@ def cover(requests: DataFrame, tile: int = TILE, detail: int = DETAIL) -> DataFr
     part = F.col("level") == F.col("__least")
     rows = rows.withColumns({"__size": size, "__next": F.when(F.col("level") < LEVELS - 1, size * RATIO)})
     outer = {f"o{d}0": F.when(part, down(f"__{d}0", "__size")).otherwise(up(f"__{d}0", "__size")) for d in "rc"} | {f"o{d}1": F.when(part, down(f"__{d}1", "__size")).otherwise(down(f"__{d}1 + 1", "__size") - 1) for d in "rc"}
+    outer |= {f"o{d}1": F.least(outer[f"o{d}1"], down(f"{n} - 1", "__size")) for d, n in (("r", "n_lat"), ("c", "n_lon"))}  # tiles that there are
     hole = {f"h{d}0": up(f"__{d}0", "__next") * RATIO for d in "rc"} | {f"h{d}1": down(f"__{d}1 + 1", "__next") * RATIO - 1 for d in "rc"}
     one = F.array(F.struct(*[c.cast("int").alias(k) for k, c in (outer | hole).items()]))
     rows = rows.select(*requests.columns, "__side", "level", F.explode(one).alias("t"))  # worked out once, then taken apart
@@ -161,7 +162,7 @@ def cover(requests: DataFrame, tile: int = TILE, detail: int = DETAIL) -> DataFr
     rect = lambda r0, r1, c0, c1: F.struct(r0.alias("r0"), r1.alias("r1"), c0.alias("c0"), c1.alias("c1"))
     frame = F.array(
         rect(t("or0"), t("hr0") - 1, t("oc0"), t("oc1")), rect(t("hr1") + 1, t("or1"), t("oc0"), t("oc1")),
-        rect(t("hr0"), t("hr1"), t("oc0"), t("hc0") - 1), rect(t("hr0"), t("hr1"), t("hc1") + 1, t("oc1")),
+        rect(t("hr0"), F.least(t("hr1"), t("or1")), t("oc0"), t("hc0") - 1), rect(t("hr0"), F.least(t("hr1"), t("or1")), t("hc1") + 1, t("oc1")),
     )
     open_ = F.coalesce((t("hr0") <= t("hr1")) & (t("hc0") <= t("hc1")), F.lit(False))
     rects = F.when(open_, frame).otherwise(F.array(rect(t("or0"), t("or1"), t("oc0"), t("oc1"))))
