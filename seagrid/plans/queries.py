@@ -9,11 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seagrid.functions import angles, units
-from seagrid.operators import axes, ensemble, quantize, runs, subset
+from seagrid.operators import axes, containers, ensemble, quantize, runs, subset
 from seagrid.operators import requests as rq
 from seagrid.plans import derived
 from seagrid.plans.derived import CTE
-from seagrid.sources import dims, ingest
+from seagrid.sources import dims, ingest, store
 from seagrid.streaming.answers import answer_batch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -337,6 +337,17 @@ def e4_e9_gridded_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _met(subset.gridded_subset(wanted, forecast))
 
 
+@query(f"{CTE}, {_MET} SELECT request_id, lead_hours, {_MET_SUM} FROM met GROUP BY request_id, lead_hours")
+def a12_e9_stored_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cube written by run, bucket and tile, then cut out: the requests go to the cells' buckets."""
+    path = derived.shared_folder(spark)
+    name = path.rpartition("/")[2].replace("-", "_")
+    store.write_runs(derived.forecast(spark, sf_dir), name, path, tile=2, buckets=8)
+    stored = store.open_store(spark, name, path, tile=2)
+    wanted = subset.snap_bounds(derived.requests(spark, sf_dir).where("kind = 'gridded'"), stored.spec).join(stored.index.select("model", "run_time"), "model")
+    return _met(store.stored_subset(wanted, stored))
+
+
 @query(f"{CTE}, {_MET} SELECT request_id, lead_hours, {_MET_SUM} FROM met GROUP BY request_id, lead_hours")
 def e9_gridded_subset_tiled(spark: SparkSession, sf_dir: str) -> DataFrame:
     forecast, wanted = _snapped(spark, sf_dir)
@@ -354,6 +365,18 @@ def e7_select_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subset.select_hours(derived.requests(spark, sf_dir), derived.forecast(spark, sf_dir)).select("request_id", "model", "lead_hours", "available")
 
 
+@query(
+    f"""{CTE}, there AS (SELECT DISTINCT lead_hours FROM forecast), asked AS (SELECT request_id, unnest(list_transform(hours, lambda h: CAST(h + 12 * (request_id % 4) AS INT))) AS h FROM requests)
+SELECT request_id, coalesce(list(h ORDER BY h) FILTER (h IN (SELECT lead_hours FROM there)), []) AS at_hours, coalesce(list(h ORDER BY h) FILTER (h NOT IN (SELECT lead_hours FROM there)), []) AS missing,
+  CASE WHEN count(*) FILTER (h IN (SELECT lead_hours FROM there)) = 0 THEN 'none of the hours is in the forecast' END AS error FROM asked GROUP BY request_id"""
+)
+def e7_resolve_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hours from an index of the runs: those there, those missing, and the error of requests that have none."""
+    index = containers.forecast_index(derived.forecast(spark, sf_dir))
+    asked = derived.requests(spark, sf_dir).withColumn("hours", F.transform("hours", lambda h: (h + 12 * (F.col("request_id") % 4)).cast("int")))
+    return store.resolve_hours(asked.join(F.broadcast(index.select("model", "run_time")), "model"), index)
+
+
 @query("SELECT request_id, (lat - lat0) / dlat BETWEEN 0 AND n_lat - 1 AS inside FROM requests JOIN spec USING (model) WHERE kind = 'spot'")
 def e10_e11_point_in_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     spots = subset.point_to_domain(derived.requests(spark, sf_dir).where("kind = 'spot'"))
