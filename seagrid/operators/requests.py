@@ -182,10 +182,20 @@ def resolve_variables(requests: DataFrame, key: str = "request_id", text: str =
 
 
 def parse_requests(lines: DataFrame) -> DataFrame:
-    """Typed requests from rows (request_id, msg_id, text); a projection, without a shuffle.
+    """Typed requests from rows (request_id, msg_id, text).
 
     request_id, msg_id, kind, model, n, s, e, w, lat, lon, resolution, hours, variables, send_image, warnings, error.
+    Requests repeat, so each text is parsed once: the texts that differ are counted out in partial aggregation, and what they mean is
+    joined back. The join is an ordinary one, which Spark turns into a broadcast where texts are few and splits where one is hot.
     """
+    texts = lines.select("text").distinct().withColumns({"request_id": F.lit(0), "msg_id": F.lit(0)})
+    meant = parse_lines(texts, "text").drop("request_id", "msg_id").withColumnRenamed("text", "__text")
+    met = lines.select("request_id", "msg_id", "text").join(meant, F.col("text").eqNullSafe(F.col("__text")), "left")
+    return met.drop("text", "__text")
+
+
+def parse_lines(lines: DataFrame, *keep: str) -> DataFrame:
+    """The same line by line, with some columns kept: a projection, without a shuffle."""
     field = lambda i: F.get("fields", F.lit(i))
     spot = F.col("kind") == "spot"
     value, r_warning, r_error = parse_resolution(field(1))
@@ -209,7 +219,7 @@ def parse_requests(lines: DataFrame) -> DataFrame:
     )
     error = F.coalesce(F.col("error"), F.when(spot, F.col("place.error")).otherwise(F.col("box.error")), F.when(F.col("hours").isNull(), F.lit("bad hours")), F.col("r_error"), F.col("v_error"))
     return got.select(
-        "request_id", "msg_id", "kind", "model",
+        "request_id", "msg_id", *keep, "kind", "model",
         *[F.col(f"box.{c}").alias(c) for c in "nsew"],
         *[F.col(f"place.{c}").alias(c) for c in ("lat", "lon")],
         "resolution", "hours", "variables", "send_image", F.concat("warnings", "more", "unknown").alias("warnings"), error.alias("error"),
