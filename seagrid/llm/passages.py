@@ -5,11 +5,12 @@ bands x rows values; paragraphs that agree in one band meet in a bucket. Tuned f
 of 3 rows find a pair of similarity 0.8 with probability 0.9992. In a bucket every member is compared
 by exact Jaccard similarity with the bucket's most central text, the one that meets most others in
 all its buckets, which in a group of edited copies is the unedited one. Members linked to it are
-linked to each other by it. Each other member is joined to all members of its buckets that can be
-similar enough, by the rarest shingles in which they differ from the central text; the bound on these
-is exact, so no link of a bucket is lost, whatever its size. Links of at least `similarity` form
-components, and all occurrences but the first of a component are to be removed. Shingles are compared
-by 64-bit hashes.
+linked to each other by it. The others are compared with leaders of their own, in rounds. Members that
+are then still in different components are joined if they can be similar enough, by the rarest
+shingles in which they differ from the central text; the bound on these is exact, so no two components
+with a link in a bucket stay apart, whatever its size. Links of at least `similarity` form components,
+and all occurrences but the first of a component are to be removed. Shingles are compared by 64-bit
+hashes.
 
 A repeated passage need not be a paragraph: it can stand inside longer lines or run over several. So
 the text's windows of `WINDOW` words are winnowed: of each `CHOICE` neighbouring windows the one with
@@ -32,6 +33,7 @@ an empty table gives an empty result; only the id and text columns are read.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import chain
 
 import numpy as np
@@ -249,33 +251,76 @@ def _similar(pairs: DataFrame, shingles: DataFrame, similarity: float, unlike: b
     return met.select("a", "b", (F.col("both") >= similarity * (F.size("sa") + F.size("sb") - F.col("both"))).alias("linked"), *more)
 
 
-def _unlinked_pairs(stars: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of members of one head, one of them not linked to it, that can be similar enough; none that is gets lost.
+def _leaders(stars: DataFrame, similarity: float, least: int = 4, most: int = 8) -> DataFrame:
+    """Links (a, b) between members of one head that are not linked to it, at one comparison a member and round.
+
+    In a round the open members of a head are parted by the least hash of the shingles in which they differ from it, with
+    another seed each time, so that members like each other tend to meet. The one with fewest differences leads its part,
+    and those linked to their leader are open no more. After `least` rounds it ends when one links less than a tenth of them.
+    """
+    now = stars.where(~F.col("linked")).select(F.col("b").alias("head"), F.col("a").alias("h"), F.col("na").alias("n"), "apart")
+    links, kept = [stars.limit(0).select("a", "b")], []
+    for k in range(most):
+        seed = F.lit(k)
+        now = materialise(now.withColumn("part", F.array_min(F.transform("apart", lambda x: F.xxhash64(seed, x)))), "open")  # noqa: B023
+        lead = now.groupBy("head", "part").agg(F.min(F.struct(F.size("apart").alias("size"), "h")).alias("lead"), F.count("*").alias("members")).where("members > 1")
+        lead = lead.select("head", "part", F.col("lead.h").alias("h")).join(now, ["head", "part", "h"])
+        # Leaders are stored, so that Spark splits the join on a hot part.
+        lead = materialise(lead.select("head", "part", F.col("h").alias("c"), F.col("n").alias("nc"), F.col("apart").alias("apart_c")), "leaders")
+        shared = F.size(F.array_intersect("apart", "apart_c"))
+        both = (F.col("n") + F.col("nc") - F.size("apart") - F.size("apart_c")) / 2 + shared
+        met = now.join(lead, ["head", "part"]).where("h <> c").where(both >= similarity * (F.col("n") + F.col("nc") - both))
+        met = materialise(met.select("head", "h", "c"), "led")
+        links.append(met.select(F.col("h").alias("a"), F.col("c").alias("b")))
+        kept += [now, lead, met]
+        n_open, n_led = now.count(), met.count()
+        now = now.join(met.select("head", "h"), ["head", "h"], "left_anti").drop("part")
+        if not n_open or (k + 1 >= least and n_led * 10 < n_open):
+            break
+    found = materialise(reduce(DataFrame.unionByName, links), "led")
+    release(*kept)
+    return found
+
+
+def _unlinked_pairs(stars: DataFrame, similarity: float, classes: DataFrame | None = None) -> DataFrame:
+    """Pairs (a, b) of members of one head that can be similar enough and are of different classes; none that is gets lost.
+
+    `classes` has rows (h, class) of members known to be connected, those linked to one head among them; a member without
+    a row is a class of its own. Left out, the classes are the members linked to the head and each other member.
 
     With A and B the shingles in which the members differ from the head c, |a ^ b| = |A| + |B| - 2 |A & B|, and similar
     enough means |a ^ b| <= r (|a| + |b|) with r = (1 - s) / (1 + s). So A and B share at least
     (|A| + |B| - r (|a| + |b|)) / 2 of them, which is above 0 where |A| > r (|a| + |c|), and then the first shared one,
-    in any order, stands early in both. In the order from the rarest on, few others share an early one.
+    in any order, stands early in both. In the order from the rarest on, few others share an early one. Of those that
+    do, one is always outside of the commonest class, so members of one class are never joined to each other.
     """
     r, eps = (1 - similarity) / (1 + similarity), 1e-6
-    open_heads = stars.where(~F.col("linked")).select("b").distinct()
-    group = stars.join(open_heads, "b", "left_semi").select(F.col("b").alias("head"), F.col("a").alias("h"), "linked", F.col("na").alias("n"), F.col("nb").alias("nc"), F.size("apart").alias("size"), "apart")
+    group = stars.select(F.col("b").alias("head"), F.col("a").alias("h"), "linked", F.col("na").alias("n"), F.col("nb").alias("nc"), F.size("apart").alias("size"), "apart")
+    if classes is None:
+        group = group.withColumn("class", F.when(F.col("linked"), F.col("head")).otherwise(F.col("h")))
+    else:
+        group = group.join(classes, "h", "left").withColumn("class", F.coalesce("class", "h"))
+    mixed = group.groupBy("head").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("head")
+    group = materialise(group.join(mixed, "head", "left_semi"), "group")
     each = group.select("head", "h", F.explode("apart").alias("x"))
     often = each.groupBy("head", "x").agg(F.count("*").alias("often")).where("often > 1")
     # Shingles that one member alone has come first in the order, and match none.
     ranked = each.join(often, ["head", "x"]).groupBy("head", "h").agg(F.sort_array(F.collect_list(F.struct("often", "x"))).alias("xs"))
-    ranked = ranked.join(group.drop("apart"), ["head", "h"]).select("head", "h", "linked", "n", "nc", "size", (F.col("size") - F.size("xs")).alias("alone"), F.posexplode("xs").alias("at", "x"))
-    ranked = ranked.select("head", "h", "linked", "n", "size", "nc", (F.col("alone") + F.col("at") + 1).alias("at"), F.col("x.x").alias("x"))
+    ranked = ranked.join(group.drop("apart"), ["head", "h"]).select("head", "h", "class", "linked", "n", "nc", "size", (F.col("size") - F.size("xs")).alias("alone"), F.posexplode("xs").alias("at", "x"))
+    ranked = ranked.select("head", "h", "class", "linked", "n", "size", "nc", (F.col("alone") + F.col("at") + 1).alias("at"), F.col("x.x").alias("x"))
     least = lambda shared: F.greatest(F.ceil(shared / 2 - eps), F.lit(1))
     any_other = least(F.col("size") - r * (F.col("n") + F.col("nc")))
     a_lone = least(F.col("size") + r * (F.col("nc") - F.col("n")))
     early = materialise(ranked.where(F.col("at") <= F.col("size") - F.when(F.col("linked"), a_lone).otherwise(F.least(any_other, a_lone)) + 1), "early")
-    left = early.where("not linked").select("head", "x", F.col("h").alias("a"), F.col("n").alias("an"), F.col("size").alias("as"), F.col("at").alias("aa"))
-    right = early.where(F.col("at") <= F.col("size") - a_lone + 1).select("head", "x", F.col("h").alias("b"), "linked", F.col("n").alias("bn"), F.col("size").alias("bs"), F.col("at").alias("ba"))
-    shared = least(F.col("as") + F.col("bs") - r * (F.col("an") + F.col("bn")))
-    fits = (F.col("l.head") == F.col("r.head")) & (F.col("l.x") == F.col("r.x")) & (F.col("linked") | (F.col("a") < F.col("b")))
-    fits &= (F.col("aa") <= F.col("as") - shared + 1) & (F.col("ba") <= F.col("bs") - shared + 1)
-    return left.alias("l").join(right.alias("r"), fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    sizes = early.groupBy("head", "x", "class").agg(F.count("*").alias("of_class"))
+    commonest = sizes.groupBy("head", "x").agg(F.max_by("class", F.struct("of_class", "class")).alias("commonest"), F.count("*").alias("several")).where("several > 1").drop("several")
+    early = materialise(early.join(commonest, ["head", "x"]), "met")
+    side = lambda p: early.select("head", "x", "commonest", *[F.col(c).alias(f"{p}_{c}") for c in ("h", "class", "n", "size", "at")])
+    left = side("l").where("l_class <> commonest").drop("commonest")
+    shared = least(F.col("l_size") + F.col("r_size") - r * (F.col("l_n") + F.col("r_n")))
+    once = (F.col("r_class") == F.col("commonest")) | (F.col("l_h") < F.col("r_h"))
+    fits = (F.col("l_class") != F.col("r_class")) & once & (F.col("l_at") <= F.col("l_size") - shared + 1) & (F.col("r_at") <= F.col("r_size") - shared + 1)
+    return left.join(side("r"), ["head", "x"]).where(fits).select(F.least("l_h", "r_h").alias("a"), F.greatest("l_h", "r_h").alias("b")).distinct()
 
 
 def paragraph_links(docs: DataFrame, rows: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -292,11 +337,14 @@ def paragraph_links(docs: DataFrame, rows: DataFrame, similarity: float = SIMILA
     stars = members.join(heads, "key").where("h <> head").select(F.col("h").alias("a"), F.col("head").alias("b")).distinct()
     stars = materialise(_similar(stars, shingles, similarity, unlike=True), "stars")
 
-    # Members linked to the head are linked to each other by it; the others are joined to all that can be like them.
-    rest = materialise(_unlinked_pairs(stars, similarity), "rest")
-    links = stars.where("linked").select("a", "b").unionByName(_similar(rest, shingles, similarity).where("linked").select("a", "b"))
+    # Members linked to a head or a leader are linked to each other by it; pairs of what is still apart are compared.
+    led = _leaders(stars, similarity)
+    first = materialise(stars.where("linked").select("a", "b").unionByName(led), "links")
+    classes = materialise(connected_components(first).select(F.col("node").alias("h"), F.col("component").alias("class")), "classes")
+    rest = materialise(_unlinked_pairs(stars, similarity, classes), "rest")
+    links = classes.select(F.col("h").alias("a"), F.col("class").alias("b")).unionByName(_similar(rest, shingles, similarity).where("linked").select("a", "b"))
     links = materialise(links, "links")
-    release(shared, members, heads, wanted, shingles, stars, rest)
+    release(shared, members, heads, wanted, shingles, stars, led, first, classes, rest)
     return links
 
 
@@ -415,16 +463,20 @@ def _own_spans(some: list[tuple[int, int, int, bool]]) -> list[tuple[int, int, b
     """
     some.sort()
     gone, kept = (_joined([x[:3] for x in some if x[3] is k]) for k in (False, True))
-    out = []
+    out, i = [], 0
     for start, end, hs in kept:
         at, over = start, []
         pieces = []
-        for g in gone:
-            if g[0] < end and g[1] > start:
-                over.append(g)
-                if g[0] > at:
-                    pieces.append((at, g[0]))
-                at = max(at, g[1])
+        while i < len(gone) and gone[i][1] <= start:
+            i += 1
+        k = i
+        while k < len(gone) and gone[k][0] < end:
+            g = gone[k]
+            k += 1
+            over.append(g)
+            if g[0] > at:
+                pieces.append((at, g[0]))
+            at = max(at, g[1])
         if at < end:
             pieces.append((at, end))
         out += [(x, y, True, hs) for x, y in pieces]

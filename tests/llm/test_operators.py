@@ -212,6 +212,40 @@ def test_unlinked_pairs_hold_every_similar_pair(spark, seed):
     assert want and want <= got
 
 
+@pytest.mark.parametrize("n", [200, 400])
+def test_members_like_each_other_but_unlike_their_head_make_no_pairs(spark, n):
+    """Near copies of a head, and as many texts like each other that are unlike it; two of them are like near copies."""
+    head = set(range(60))
+    near = [head - {i % 60} | {1000 + i} for i in range(n)]
+    far = [set(range(8, 60)) | set(range(100, 108)) | {5000 + i} for i in range(n)]
+    sets = [head, *near, *far]
+    similar = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    assert not any(similar(s, head) for s in far)
+    rows = [(i, 0, similar(s, head), len(s), len(head), [int(x) for x in s ^ head]) for i, s in enumerate(sets) if i]
+    stars = spark.createDataFrame(rows, "a long, b long, linked boolean, na int, nb int, apart array<long>").repartition(8)
+    led = [(r["a"], r["b"]) for r in passages._leaders(stars, 0.8).collect()]
+    assert len(led) <= n and all(similar(sets[a], sets[b]) for a, b in led)
+    linked = [(r["a"], r["b"]) for r in stars.where("linked").collect()] + led
+    parts = _components(range(len(sets)), linked)
+    classes = spark.createDataFrame(list(parts.items()), "h long, class long")
+    rest = [(r["a"], r["b"]) for r in passages._unlinked_pairs(stars, 0.8, classes).collect()]
+    assert len(rest) <= 4 * n
+    want = _components(range(len(sets)), [(i, j) for i in range(len(sets)) for j in range(i) if similar(sets[i], sets[j])])
+    assert _components(range(len(sets)), linked + [(a, b) for a, b in rest if similar(sets[a], sets[b])]) == want
+
+
+def test_kept_and_removed_spans_are_merged_in_one_pass():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        some = [(int(a), int(a + rng.integers(1, 12)), i, bool(rng.integers(2))) for i, a in enumerate(rng.integers(0, 120, rng.integers(1, 30)))]
+        gone = {x for a, b, _, keep in some if not keep for x in range(a, b)}
+        kept = {x for a, b, _, keep in some if keep for x in range(a, b)} - gone
+        found = passages._own_spans(list(some))
+        assert {x for a, b, keep, _ in found if keep for x in range(a, b)} == kept
+        assert sorted(x for a, b, keep, _ in found if not keep for x in range(a, b)) == sorted(gone)
+        assert {h for *_, hs in found for h in hs} == set(range(len(some)))
+
+
 def _words(k, prefix):
     return [f"{prefix}{i}" for i in range(k)]
 
