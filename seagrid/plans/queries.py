@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -321,8 +322,9 @@ def e2_e3_snap_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _met(df: DataFrame) -> DataFrame:
+    """Of cells whose members are summed up."""
     return df.groupBy("request_id", "lead_hours").agg(
-        F.count("*").alias("n"), rnd(F.sum("x_wind"), 4).alias("x"), F.min("lat_idx").alias("lat_lo"), F.max("lat_idx").alias("lat_hi"), F.max("lon_off").alias("lon_off")
+        F.sum("n_members").alias("n"), rnd(F.sum("x_wind"), 4).alias("x"), F.min("lat_idx").alias("lat_lo"), F.max("lat_idx").alias("lat_hi"), F.max("lon_off").alias("lon_off")
     )
 
 
@@ -334,7 +336,8 @@ def _snapped(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 @query(f"{CTE}, {_MET} SELECT request_id, lead_hours, {_MET_SUM} FROM met GROUP BY request_id, lead_hours")
 def e4_e9_gridded_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     forecast, wanted = _snapped(spark, sf_dir)
-    return _met(subset.gridded_subset(wanted, forecast))
+    cells = subset.over_members(forecast, ["x_wind"])
+    return subset.answered_once(wanted, subset.BOX, lambda r: _met(subset.gridded_subset(r, cells)))
 
 
 @query(f"{CTE}, {_MET} SELECT request_id, lead_hours, {_MET_SUM} FROM met GROUP BY request_id, lead_hours")
@@ -345,13 +348,15 @@ def a12_e9_stored_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     store.write_runs(derived.forecast(spark, sf_dir), name, path, tile=2, buckets=8)
     stored = store.open_store(spark, name, path, tile=2)
     wanted = subset.snap_bounds(derived.requests(spark, sf_dir).where("kind = 'gridded'"), stored.spec).join(stored.index.select("model", "run_time"), "model")
-    return _met(store.stored_subset(wanted, stored))
+    summed = replace(stored, cells=subset.over_members(stored.cells, ["x_wind"]))
+    return _met(store.stored_subset(wanted, summed))
 
 
 @query(f"{CTE}, {_MET} SELECT request_id, lead_hours, {_MET_SUM} FROM met GROUP BY request_id, lead_hours")
 def e9_gridded_subset_tiled(spark: SparkSession, sf_dir: str) -> DataFrame:
     forecast, wanted = _snapped(spark, sf_dir)
-    return _met(subset.gridded_subset_tiled(wanted, forecast))
+    cells = subset.over_members(forecast, ["x_wind"])
+    return _met(subset.gridded_subset_tiled(wanted, cells))
 
 
 @query("SELECT lead_hours, count(*) AS n, round(sum(y_wind), 4) + 0.0 AS y FROM forecast WHERE lead_hours <= 12 GROUP BY lead_hours")
