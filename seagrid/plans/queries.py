@@ -356,7 +356,7 @@ def a12_e9_stored_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
 def e9_gridded_subset_tiled(spark: SparkSession, sf_dir: str) -> DataFrame:
     forecast, wanted = _snapped(spark, sf_dir)
     cells = subset.over_members(forecast, ["x_wind"])
-    return _met(subset.gridded_subset_tiled(wanted, cells))
+    return subset.answered_once(wanted, subset.BOX, lambda r: _met(subset.gridded_subset_tiled(r, cells)))
 
 
 @query("SELECT lead_hours, count(*) AS n, round(sum(y_wind), 4) + 0.0 AS y FROM forecast WHERE lead_hours <= 12 GROUP BY lead_hours")
