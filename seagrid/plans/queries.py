@@ -721,27 +721,29 @@ offs AS (SELECT request_id, list_sort(list(lon - west - 360 * floor((lon - west)
 mid AS (SELECT request_id, (l[(len(l) + 1) // 2] + l[len(l) // 2 + 1]) / 2 AS off, l[len(l) // 2 + 1] - l[(len(l) + 1) // 2] AS apart FROM offs)"""
 
 
-def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _of_places(spark: SparkSession, sf_dir: str, answer: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """answer(places of requests), for each box."""
     forecast, wanted = _snapped(spark, sf_dir)
-    return subset.gridded_subset(wanted, forecast)
+    places = subset.over_members(forecast)
+    return subset.answered_once(wanted, subset.BOX, lambda r: answer(subset.gridded_subset(r, places)))
 
 
 @query(f"{CTE}, {_BOXES} SELECT request_id, round({_norm('west - 1')}, 6) AS west, round({_norm('east + 1')}, 6) AS east, lo - 1 AS south, hi + 1 AS north FROM west JOIN lats USING (request_id)")
 def g7_bounding_box(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = ensemble.bounding_box(_cells(spark, sf_dir), ["request_id"], pad_degrees=1.0)
+    got = _of_places(spark, sf_dir, lambda places: ensemble.bounding_box(places, ["request_id"], pad_degrees=1.0))
     return got.select("request_id", rnd("west").alias("west"), rnd("east").alias("east"), "south", "north")
 
 
 @query(f"{CTE}, {_BOXES} SELECT request_id, CASE WHEN apart < 90 THEN round({_norm('west + off')}, 6) END AS lon, lat, CASE WHEN apart >= 90 THEN 'the centre is not defined' END AS error FROM west JOIN lats USING (request_id) JOIN mid USING (request_id)")
 def g8_central_point(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ensemble.central_point(_cells(spark, sf_dir), ["request_id"]).select("request_id", rnd("lon").alias("lon"), "lat", "error")
+    return _of_places(spark, sf_dir, lambda places: ensemble.central_point(places, ["request_id"])).select("request_id", rnd("lon").alias("lon"), "lat", "error")
 
 
 @query(
     f"{CTE}, {_BOXES} SELECT request_id, round(2 * 2 * 6370997.0 * asin(sqrt(least(1.0, cos(radians(lat)) * cos(radians(lat)) * pow(sin(radians((east - west - 360 * floor((east - west) / 360)) / 2) / 2), 2)))), 3) AS width, round(2 * 6370997.0 * asin(sqrt(pow(sin(radians(hi - lo) / 2), 2))), 3) AS height FROM west JOIN lats USING (request_id)"
 )
 def g9_box_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ensemble.box_size(_cells(spark, sf_dir), ["request_id"]).select("request_id", rnd("width", 3).alias("width"), rnd("height", 3).alias("height"))
+    return _of_places(spark, sf_dir, lambda places: ensemble.box_size(places, ["request_id"])).select("request_id", rnd("width", 3).alias("width"), rnd("height", 3).alias("height"))
 
 
 @query(f"SELECT lead_hours, median(step) AS step FROM (SELECT lead_hours, {_norm('latitude - before')} AS step FROM (SELECT *, lag(latitude) OVER (PARTITION BY lead_hours ORDER BY latitude) AS before FROM (SELECT DISTINCT lead_hours, latitude FROM forecast))) GROUP BY lead_hours")
