@@ -501,7 +501,8 @@ def e17_single_value(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def e17_forecast_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     forecast, wanted = _snapped(spark, sf_dir)
-    return subset.forecast_kind(subset.gridded_subset(wanted, forecast))
+    places = subset.over_members(forecast)
+    return subset.answered_once(wanted, subset.BOX, lambda r: subset.forecast_kind(subset.gridded_subset(r, places)))
 
 
 # Quantisation
