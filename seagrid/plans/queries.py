@@ -493,7 +493,8 @@ def e17_take_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def e17_single_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where one hour and one latitude are required, requests with several are in error."""
     forecast, wanted = _snapped(spark, sf_dir)
-    return subset.single_value(subset.gridded_subset(wanted, forecast), ["lead_hours", "latitude"], ["request_id"])
+    places = subset.over_members(forecast)
+    return subset.answered_once(wanted, subset.BOX, lambda r: subset.single_value(subset.gridded_subset(r, places), ["lead_hours", "latitude"], ["request_id"]))
 
 
 @query(
