@@ -422,8 +422,13 @@ def e13_spot_interpolate(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def e14_e15_answer_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     forecast = derived.forecast(spark, sf_dir)
-    got = subset.answer_requests(derived.requests(spark, sf_dir), forecast, subset.grid_spec(forecast), ["x_wind", "y_wind"])
-    return got.groupBy("kind", "request_id", "lead_hours").agg(F.count("*").alias("n"), rnd(F.sum("x_wind"), 8).alias("x"))
+    spec = subset.grid_spec(forecast)
+
+    def answer(r: DataFrame) -> DataFrame:
+        got = subset.answer_requests(r, forecast, spec, ["x_wind", "y_wind"])
+        return got.groupBy("kind", "request_id", "lead_hours").agg(F.count("*").alias("n"), rnd(F.sum("x_wind"), 8).alias("x"))
+
+    return subset.answered_once(derived.requests(spark, sf_dir), subset.ASKED, answer)
 
 
 @query("SELECT request_id, CAST(greatest(0, least(round_even((lat - lat0) / dlat, 0), n_lat - 1)) AS INT) AS lat_idx, CAST(round_even((lon - lon0 - 360 * floor((lon - lon0) / 360)) / dlon, 0) % n_lon AS INT) AS lon_idx FROM requests JOIN spec USING (model)")
