@@ -690,9 +690,13 @@ def g2_spot_force_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every spot request, the share of members in each wind force at each hour."""
     forecast = derived.forecast(spark, sf_dir)
     spots = derived.requests(spark, sf_dir).where("kind = 'spot'")
-    at = _wind(subset.spot_subset(spots, forecast, subset.grid_spec(forecast), ["x_wind", "y_wind"]))
-    got = ensemble.bin_probabilities(at, "wind_speed", dims.WIND_EDGES, ["request_id", "lead_hours"])
-    return got.withColumn("prob", rnd("prob"))
+    spec = subset.grid_spec(forecast)
+
+    def answer(r: DataFrame) -> DataFrame:
+        at = _wind(subset.spot_subset(r, forecast, spec, ["x_wind", "y_wind"]))
+        return ensemble.bin_probabilities(at, "wind_speed", dims.WIND_EDGES, ["request_id", "lead_hours"]).withColumn("prob", rnd("prob"))
+
+    return subset.answered_once(spots, subset.SPOT, answer)
 
 
 _EMB = "e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v FROM embeddings)"
