@@ -349,7 +349,7 @@ def a12_e9_stored_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = store.open_store(spark, name, path, tile=2)
     wanted = subset.snap_bounds(derived.requests(spark, sf_dir).where("kind = 'gridded'"), stored.spec).join(stored.index.select("model", "run_time"), "model")
     summed = replace(stored, cells=subset.over_members(stored.cells, ["x_wind"]))
-    return _met(store.stored_subset(wanted, summed))
+    return subset.answered_once(wanted, subset.BOX, lambda r: _met(store.stored_subset(r, summed)))
 
 
 @query(f"{CTE}, {_MET} SELECT request_id, lead_hours, {_MET_SUM} FROM met GROUP BY request_id, lead_hours")
