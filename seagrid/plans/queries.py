@@ -413,8 +413,13 @@ _SPOT = f"""{_CORNERS}, spot AS (
 def e13_spot_interpolate(spark: SparkSession, sf_dir: str) -> DataFrame:
     forecast = derived.forecast(spark, sf_dir)
     spots = derived.requests(spark, sf_dir).where("kind = 'spot'")
-    got = subset.spot_interpolate(spots, forecast, subset.grid_spec(forecast), ["x_wind", "y_wind", "sea_water_x_velocity"])
-    return got.select("request_id", "lead_hours", "realization", rnd("x_wind", 11).alias("x_wind"), rnd("y_wind", 11).alias("y_wind"), rnd("sea_water_x_velocity", 11).alias("current"))
+    spec = subset.grid_spec(forecast)
+
+    def answer(r: DataFrame) -> DataFrame:
+        got = subset.spot_interpolate(r, forecast, spec, ["x_wind", "y_wind", "sea_water_x_velocity"])
+        return got.select("request_id", "lead_hours", "realization", rnd("x_wind", 11).alias("x_wind"), rnd("y_wind", 11).alias("y_wind"), rnd("sea_water_x_velocity", 11).alias("current"))
+
+    return subset.answered_once(spots, subset.SPOT, answer)
 
 
 @query(
