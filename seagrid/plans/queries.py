@@ -487,9 +487,12 @@ GROUP BY a.request_id, lead_hours, realization"""
 def e13_spot_interpolate_uneven(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spots between the nodes of a grid whose steps differ."""
     forecast = derived.uneven(spark, sf_dir)
-    corners = axes.bilinear_weights_on_axes(derived.requests(spark, sf_dir).where("kind = 'spot'"), forecast)
-    got = subset.interpolated(corners, forecast, ["model", "lat_idx", "lon_idx"], ["x_wind"])
-    return got.select("request_id", "lead_hours", "realization", rnd("x_wind", 8).alias("x_wind"))
+
+    def answer(r: DataFrame) -> DataFrame:
+        got = subset.interpolated(axes.bilinear_weights_on_axes(r, forecast), forecast, ["model", "lat_idx", "lon_idx"], ["x_wind"])
+        return got.select("request_id", "lead_hours", "realization", rnd("x_wind", 8).alias("x_wind"))
+
+    return subset.answered_once(derived.requests(spark, sf_dir).where("kind = 'spot'"), subset.SPOT, answer)
 
 
 @query("SELECT lat_idx, lon_idx, realization, x_wind FROM forecast WHERE lead_hours = 24")
