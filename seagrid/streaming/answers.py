@@ -14,6 +14,7 @@ from seagrid.operators.requests import delivery_policy, extract_request_lines, p
 from seagrid.operators.runs import latest_run, latest_run_arrived
 from seagrid.operators.subset import answer_requests, grid_spec, select_hours, snap_bounds
 
+_ASKED = ["kind", "model", "run_time", "n", "s", "e", "w", "lat", "lon", "resolution", "hours", "variables"]
 _SNAPPED = ["lat_lo", "lat_hi", "lat_stride", "lon_w", "lon_span", "lon_stride", "n_lat", "n_lon"]
 
 
@@ -56,22 +57,29 @@ def answer_batch(messages: DataFrame, runs: DataFrame, forecast: DataFrame, spec
         made.write.mode("overwrite").parquet(folder)
         staged = messages.sparkSession.read.schema(made.schema).parquet(folder)
     good = staged.where("error is null").drop("error")
+    # Requests that ask the same are answered once, under the smallest request_id of those alike; answers join their requests last.
+    alike = good.groupBy(*_ASKED, *_SNAPPED, "place_error").agg(F.min("request_id").alias("request_id"))
     asked = [r[0] for r in good.select(F.explode("variables")).distinct().collect()]  # of the registry's few names
 
-    axes = containers.request_axes(good.where("place_error is null"), index)
-    cells = answer_requests(good.drop(*_SNAPPED, "place_error"), forecast, spec, source_columns(forecast, asked))
+    axes = containers.request_axes(alike.where("place_error is null"), index)
+    cells = answer_requests(alike.drop(*_SNAPPED, "place_error"), forecast, spec, source_columns(forecast, asked))
     packed = containers.containers(cells, axes, asked).withColumnRenamed("error", "no_container").withColumnRenamed("missing", "lacks")
+    packed = packed.withColumn("sent", F.col("container").isNotNull()).withColumn("container", containers.deflated("container"))
     hours = index.select("model", "run_time", F.explode("run_hours").alias("lead_hours"))
     missing = select_hours(good, hours).where("not available").groupBy("request_id").agg(F.sort_array(F.collect_set("lead_hours")).alias("missing"))
-    met = staged.drop(*_SNAPPED).join(packed, "request_id", "left").join(missing, "request_id", "left")
-    nothing = F.when(F.col("container").isNull(), F.lit("nothing of the forecast fits the request"))
+    firsts = alike.select(F.col("request_id").alias("answer_id"), *[F.col(c).alias(f"__{c}") for c in _ASKED])
+    whose = good.join(firsts, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in _ASKED]).select("request_id", "answer_id")
+    met = staged.drop(*_SNAPPED).join(missing, "request_id", "left").join(whose, "request_id", "left").withColumn("answer_id", F.coalesce("answer_id", "request_id"))
+    if "sender" in messages.columns:
+        met = met.join(messages.select("msg_id", "sender"), "msg_id")
+    met = met.join(packed.withColumnRenamed("request_id", "answer_id"), "answer_id", "left").drop("answer_id")
+    nothing = F.when(~F.coalesce("sent", F.lit(False)), F.lit("nothing of the forecast fits the request"))
     none = F.array().cast("array<string>")
     lacks = F.transform(F.coalesce("missing", F.array().cast("array<int>")), lambda h: F.concat(F.lit("no forecast for hour "), h.cast("string")))
     met = met.withColumns({"reason": F.when(F.col("error").isNull(), F.coalesce("place_error", "no_container")), "warnings": F.concat("warnings", lacks, F.coalesce("lacks", none)), "error": F.coalesce("error", nothing)})
-    met = met.drop("missing", "lacks", "place_error", "no_container")
-    met = met.withColumn("container", containers.deflated("container"))
+    met = met.drop("missing", "lacks", "place_error", "no_container", "sent")
     if "sender" in messages.columns:
-        met = delivery_policy(met.join(messages.select("msg_id", "sender"), "msg_id").withColumn("payload", F.col("container")))
+        met = delivery_policy(met.withColumn("payload", F.col("container")))
         held = F.col("rejected") & F.col("container").isNotNull()
         met = met.withColumns({"delivery_error": F.when(held, F.lit("too large for the sender")), "container": F.when(~held, F.col("container"))}).drop("rejected", "payload", "sender")
     times = messages.select("msg_id", F.date_trunc("hour", "received_at").alias("as_of"))

@@ -83,3 +83,18 @@ def test_over_members_keeps_counts_and_sums(spark):
     cells = spark.createDataFrame([("m", 0, 0, 0, 1.0, 2.0, i, v) for i, v in enumerate([1.0, None, 2.5])] + [("m", 6, 0, 0, 1.0, 2.0, 0, None)], "model string, lead_hours int, lat_idx int, lon_idx int, latitude double, longitude double, realization int, x double")
     got = {r["lead_hours"]: (r["n_members"], r["x"]) for r in subset.over_members(cells, ["x"]).collect()}
     assert got == {0: (3, 3.5), 6: (1, None)}
+
+
+def test_messages_that_ask_the_same_are_answered_once(spark, monkeypatch):
+    from seagrid.streaming import answers
+
+    body = "send gefs:10n,30n,60w,40w|native|24|wind"
+    messages = spark.createDataFrame([(i, body if i < 5 else body.replace("24", "12")) for i in range(6)], "msg_id long, body string")
+    messages = messages.withColumn("received_at", F.timestamp_seconds(F.lit(1388556000 + 7200)))
+    met, real = [], answers.answer_requests
+    monkeypatch.setattr(answers, "answer_requests", lambda requests, *more: met.append(requests.count()) or real(requests, *more))
+    forecast = derived.forecast(spark, SF)
+    got = answers.answer_batch(messages, forecast.select("model", "run_time"), forecast).select("msg_id", "error", "container").collect()
+    assert met == [2]
+    assert len(got) == 6 and {r["error"] for r in got} == {None}
+    assert len({bytes(r["container"]) for r in got if r["msg_id"] < 5}) == 1 and len({bytes(r["container"]) for r in got}) == 2
