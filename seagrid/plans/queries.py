@@ -419,7 +419,7 @@ def e13_spot_interpolate(spark: SparkSession, sf_dir: str) -> DataFrame:
         got = subset.spot_interpolate(r, forecast, spec, ["x_wind", "y_wind", "sea_water_x_velocity"])
         return got.select("request_id", "lead_hours", "realization", rnd("x_wind", 11).alias("x_wind"), rnd("y_wind", 11).alias("y_wind"), rnd("sea_water_x_velocity", 11).alias("current"))
 
-    return subset.answered_once(spots, subset.SPOT, answer)
+    return subset.answered_once(spots, subset.SPOT, answer, subset.members_and_hours())
 
 
 @query(
