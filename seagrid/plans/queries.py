@@ -489,10 +489,10 @@ def e13_spot_interpolate_uneven(spark: SparkSession, sf_dir: str) -> DataFrame:
     forecast = derived.uneven(spark, sf_dir)
 
     def answer(r: DataFrame) -> DataFrame:
-        got = subset.interpolated(axes.bilinear_weights_on_axes(r, forecast), forecast, ["model", "lat_idx", "lon_idx"], ["x_wind"])
+        got = subset.interpolated(axes.bilinear_weights_on_axes(r, forecast), forecast, ["model", "lat_idx", "lon_idx"], ["x_wind"], few=subset.few_spots(r))
         return got.select("request_id", "lead_hours", "realization", rnd("x_wind", 8).alias("x_wind"))
 
-    return subset.answered_once(derived.requests(spark, sf_dir).where("kind = 'spot'"), subset.SPOT, answer)
+    return subset.answered_once(derived.requests(spark, sf_dir).where("kind = 'spot'"), subset.SPOT, answer, subset.members_and_hours())
 
 
 @query("SELECT lat_idx, lon_idx, realization, x_wind FROM forecast WHERE lead_hours = 24")

@@ -12,6 +12,7 @@ from seagrid.operators import subset
 from seagrid.plans import derived
 
 SF = "/root/testdata/sf0.001"
+NAMES = ["e13_spot_interpolate", "e13_spot_interpolate_uneven"]
 BY_PLACE = r"hashpartitioning\((model#\w+, )?lat_idx"
 
 
@@ -33,7 +34,7 @@ def _rows(df):
     return sorted(map(str, map(tuple, df.collect())))
 
 
-@pytest.mark.parametrize("name", ["e13_spot_interpolate"])
+@pytest.mark.parametrize("name", NAMES)
 def test_forecast_stays_and_answers_are_joined_packed(spark, no_broadcast, name):
     plan = _plan(entry.queries()[name](spark, SF))
     assert not re.search(BY_PLACE, plan)  # neither cells nor corners are dealt by their place
@@ -42,14 +43,15 @@ def test_forecast_stays_and_answers_are_joined_packed(spark, no_broadcast, name)
     assert joins and all("BroadcastHashJoin" in x for x in joins), joins
 
 
-def test_many_spots_are_shuffled(spark, no_broadcast, monkeypatch):
+@pytest.mark.parametrize("name", NAMES)
+def test_many_spots_are_shuffled(spark, no_broadcast, monkeypatch, name):
     monkeypatch.setattr(subset, "FEW_SPOTS", 3)
     monkeypatch.setattr(subset, "FEW_IDS", 3)
-    df = entry.queries()["e13_spot_interpolate"](spark, SF)
+    df = entry.queries()[name](spark, SF)
     assert re.search(BY_PLACE, _plan(df))
     many = _rows(df)
     monkeypatch.undo()
-    assert many == _rows(entry.queries()["e13_spot_interpolate"](spark, SF))
+    assert many == _rows(entry.queries()[name](spark, SF))
 
 
 @pytest.mark.parametrize("few", [1 << 20, 0])
@@ -70,10 +72,11 @@ def test_packed_answers_are_the_answers(spark, monkeypatch, few):
     assert _rows(packed) == _rows(plain) and packed.count() == 319 * 50
 
 
-def test_every_spot_has_its_rows(spark, monkeypatch):
+@pytest.mark.parametrize("name", NAMES)
+def test_every_spot_has_its_rows(spark, monkeypatch, name):
     """Three times the requests, three times the rows, each as before."""
     real = derived.requests
-    once = _rows(entry.queries()["e13_spot_interpolate"](spark, SF))
+    once = _rows(entry.queries()[name](spark, SF))
     monkeypatch.setattr(derived, "requests", lambda *of: real(*of).withColumn("request_id", F.explode(F.array(*[F.col("request_id") + i * 100_000 for i in range(3)]))))
-    thrice = entry.queries()["e13_spot_interpolate"](spark, SF).withColumn("request_id", F.col("request_id") % 100_000)
+    thrice = entry.queries()[name](spark, SF).withColumn("request_id", F.col("request_id") % 100_000)
     assert _rows(thrice) == sorted(once * 3)
